@@ -274,11 +274,14 @@ def train_horizons(
     """Select, refit and score one model per horizon; test predictions of all horizons.
 
     The feature list decides between the plain and the weather-augmented models.
+    The needed columns are materialised once, because every fit reads them.
     """
+    targets = [f"{target_prefix}{label}" for label in labels]
+    needed = dict.fromkeys([*keep, "split", *features, *targets])
+    table = cut_lineage(df.select(*needed))
     parts = []
-    for label in labels:
-        target = f"{target_prefix}{label}"
-        prepared = prepare_features(df, target=target, features=features, impute=impute)
+    for label, target in zip(labels, targets):
+        prepared = prepare_features(table, target=target, features=features, impute=impute)
         best, _ = search_candidates(prepared, target=target, features=features, candidates=candidates)
         scored = refit_and_score_test(
             prepared, target=target, features=features, config=best, keep=keep

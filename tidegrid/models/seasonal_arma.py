@@ -191,8 +191,9 @@ def search_orders(
     A candidate that fails is recorded with its error; all failing is an error.
     """
     common = {"value": value, "ts": ts, "series_keys": tuple(series_keys), "step": step}
-    train = df.where(F.col("split") == "train")
-    validation = df.where(F.col("split") == "validation").select(*series_keys, ts, value)
+    table = cut_lineage(df.select(*series_keys, ts, value, "split"))
+    train = table.where(F.col("split") == "train")
+    validation = table.where(F.col("split") == "validation").drop("split")
     results, best, best_rmse = [], None, math.inf
     for spec in candidates:
         try:
@@ -209,10 +210,10 @@ def search_orders(
             best, best_rmse = spec, metrics["rmse"]
     if best is None:
         raise RuntimeError(f"no seasonal ARMA candidate could be fitted: {results}")
-    table = df.sparkSession.createDataFrame(
+    summary = df.sparkSession.createDataFrame(
         results, "model_name string, mae double, rmse double, aic double, error string"
     )
-    return best, table
+    return best, summary
 
 
 def refit_and_score_test(

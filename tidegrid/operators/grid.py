@@ -39,9 +39,14 @@ def _bounds(
     df: DataFrame, ts: str, keys: list[str], step: str, start: Column | None, end: Column | None
 ) -> DataFrame:
     """First and last grid position per series, observed or fixed by the caller."""
+    fixed_low = None if start is None else C.grid_position(start, step)
+    fixed_high = None if end is None else C.grid_position(end, step)
+    if not keys and fixed_low is not None and fixed_high is not None:
+        one_row = df.sparkSession.range(1)
+        return one_row.select(fixed_low.alias(_LOW), fixed_high.alias(_HIGH))
     position = C.grid_position(F.col(ts), step)
-    low = F.min(position) if start is None else F.max(C.grid_position(start, step))
-    high = F.max(position) if end is None else F.max(C.grid_position(end, step))
+    low = F.min(position) if fixed_low is None else F.max(fixed_low)
+    high = F.max(position) if fixed_high is None else F.max(fixed_high)
     return df.groupBy(*keys).agg(low.alias(_LOW), high.alias(_HIGH))
 
 
