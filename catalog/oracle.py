@@ -341,7 +341,7 @@ ORACLE: dict[str, str] = {
         filled AS (SELECT * REPLACE (coalesce(l1, (SELECT median(l1) FROM lagged WHERE split = 'train')) AS l1) FROM lagged)
         SELECT event_type, ts, {r('value', 'value')}, {r('l1', 'load_lag_1')}, {r('l24', 'load_lag_24')}, split FROM filled
         WHERE value IS NOT NULL AND l1 IS NOT NULL AND l24 IS NOT NULL""",
-    "row_position": f"SELECT ts, event_type, user_id, row_number() OVER {TYPE_ORDER} AS position FROM events",
+    "row_position": f"WITH {USERS} SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS position FROM users WHERE value IS NOT NULL",
     "seasonal_naive": f"WITH {KNOWN} SELECT event_type, ts, {r('value', 'value')}, split, {r(f'lag(value, 168) OVER {TYPE_ORDER}', 'forecast')} FROM known",
     "seasonal_naive_time": f"""WITH {KNOWN} SELECT k.event_type, k.ts, {r('k.value', 'value')}, k.split, {r('p.value', 'forecast')}
         FROM known k LEFT JOIN known p ON p.event_type = k.event_type AND p.ts = k.ts - INTERVAL 168 HOUR""",

@@ -398,8 +398,8 @@ def train_median_impute(spark, sf_dir):
 
 
 def row_position(spark, sf_dir):
-    rows = events(spark, sf_dir).select("ts", "event_type", "user_id")
-    return add_row_number(rows, ts="ts", series_keys=["event_type"], name="position")
+    known = AU.present_rows(by_user(spark, sf_dir), "value").select("user_id", "ts")
+    return add_row_number(known, ts="ts", series_keys=["user_id"], name="position")
 
 
 def known_split(spark: SparkSession, sf_dir: str) -> DataFrame:

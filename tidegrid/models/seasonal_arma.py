@@ -168,6 +168,7 @@ def forecast_seasonal_arma(
 def _run(train: DataFrame, scored: DataFrame, spec: Mapping[str, object], common: dict, steps: int):
     options = {**common, "order": spec["order"], "seasonal_order": spec["seasonal_order"]}
     fits, residuals = fit_seasonal_arma(train, **options)
+    fits = cut_lineage(fits)
     forecasts = forecast_seasonal_arma(fits, residuals, steps=steps, **options)
     keys = list(common["series_keys"])
     joined = scored.join(forecasts, [*keys, common["ts"]]).withColumn(

@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegrid.session import shuffle_partitions
+
 CHUNK_ROWS = 8192
+MAX_SALTS = 64
 
 POSITION = "_position"
 CHUNK = "_chunk"
@@ -127,7 +130,8 @@ def add_row_number(
     """1-based position of each row in its series, without sorting the series in one task.
 
     Rows are numbered inside their chunk of time and shifted by the number of
-    rows in earlier chunks. Times are unique per series (see collapse_duplicates).
+    rows in earlier chunks. A series has at most one row per step (resample first),
+    so a chunk never holds more than ``CHUNK_ROWS`` rows; some steps may be absent.
     """
     time_type(df, ts)
     size = rows or CHUNK_ROWS
@@ -158,15 +162,17 @@ def salted_lookup(
 ) -> DataFrame:
     """Left join per-key values to ``big`` while spreading hot keys over many tasks.
 
-    The salt is a hash of row content, so a recomputed task repeats it. When the
-    values turn out small at run time, adaptive execution broadcasts them within
-    its own size threshold. Without keys the single row comes as a scalar subquery.
+    The salt is a hash of row content, so a recomputed task repeats it. The values
+    are copied once per salt, hence the limit on their number; adaptive execution
+    splits a part that is still too large, and broadcasts the values instead when
+    their measured size is within its threshold. Without keys the single row comes
+    as a scalar subquery.
     """
     values = [c for c in small.columns if c not in keys]
     if not keys:
         row = small.select(F.struct(*values).alias("_row")).scalar()
         return big.withColumn("_row", row).select(*big.columns, *[F.col(f"_row.{v}") for v in values])
-    n = salts or int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = salts or min(MAX_SALTS, shuffle_partitions(big.sparkSession))
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(n)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return salted.join(copies, [*keys, "_salt"], "left").select(*big.columns, *values)

@@ -35,6 +35,18 @@ def collapse_duplicates(
     )
 
 
+def _within(
+    df: DataFrame, ts: str, step: str, start: Column | None, end: Column | None
+) -> DataFrame:
+    """Rows whose slot lies in a fixed range, as plain time limits that reach the scan."""
+    data_type = C.time_type(df, ts)
+    if start is not None:
+        df = df.where(F.col(ts) >= C.slot_start(C.grid_position(start, step), step, data_type))
+    if end is not None:
+        df = df.where(F.col(ts) < C.slot_start(C.grid_position(end, step) + 1, step, data_type))
+    return df
+
+
 def _bounds(
     df: DataFrame, ts: str, keys: list[str], step: str, start: Column | None, end: Column | None
 ) -> DataFrame:
@@ -106,15 +118,12 @@ def resample_mean(
     data_type = C.time_type(df, ts)
     keys, values = list(series_keys), _as_list(value)
     kept = _keys_present(df, [*keys, ts]).select(*keys, ts, *values)
-    per_time = collapse_duplicates(kept, ts=ts, value=values, series_keys=keys).select(
+    inside = _within(kept, ts, step, start, end)
+    per_time = collapse_duplicates(inside, ts=ts, value=values, series_keys=keys).select(
         *keys, C.grid_position(F.col(ts), step).alias(C.POSITION), *values
     )
     empty = _expand(_bounds(kept, ts, keys, step, start, end), keys)
     slots = per_time.unionByName(empty, allowMissingColumns=True)
-    if start is not None:
-        slots = slots.where(F.col(C.POSITION) >= C.grid_position(start, step))
-    if end is not None:
-        slots = slots.where(F.col(C.POSITION) <= C.grid_position(end, step))
     return (
         slots.groupBy(*keys, C.POSITION)
         .agg(*[F.avg(v).alias(v) for v in values])
@@ -172,8 +181,16 @@ def missing_timestamps(
 
 
 def timestamp_difference(expected: DataFrame, observed: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of ``expected`` whose time is not in ``observed`` (set difference)."""
-    return expected.join(observed.select(*on), list(on), "left_anti").select(*on).distinct()
+    """Distinct times of ``expected`` that are not in ``observed`` (set difference).
+
+    One hash aggregate with map-side combine: repeated observations shrink before
+    the shuffle.
+    """
+    columns = list(on)
+    both = expected.select(*columns, F.lit(0).alias("_seen")).unionByName(
+        observed.select(*columns, F.lit(1).alias("_seen"))
+    )
+    return both.groupBy(*columns).agg(F.max("_seen").alias("_seen")).where(F.col("_seen") == 0).drop("_seen")
 
 
 def join_on_time(

@@ -30,10 +30,8 @@ HOUR_JSON_SCHEMA = "properties struct<parameter map<string, map<string, double>>
 
 def read_documents(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """Whole text files as ``(path, content)``, one row each."""
-    reader = spark.read.option("wholetext", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    text = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
+    return text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def parse_series_xml(

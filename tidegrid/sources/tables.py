@@ -51,7 +51,7 @@ def read_table(
 
 def read_json_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Each JSON file as one row ``(path, payload)`` with an open-schema payload."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(
         F.col("_metadata.file_path").alias("path"), F.parse_json("value").alias("payload")
     )
