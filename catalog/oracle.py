@@ -368,10 +368,14 @@ ORACLE: dict[str, str] = {
         k AS (SELECT *, row_number() OVER (PARTITION BY horizon, event_type ORDER BY score) AS rn, count(*) OVER (PARTITION BY horizon, event_type) AS n FROM s)
         SELECT horizon, event_type, max(n) AS n, {r('max(score) FILTER (rn = ceil((n + 1) * 0.8 - 1e-9))', 'adjustment')} FROM k GROUP BY 1, 2""",
     "conformal_calibrate_intervals": f"WITH {CALIBRATED} SELECT ts, event_type, horizon, split, {r('adjustment', 'adjustment')}, {r('cal_low', 'calibrated_lower')}, {r('cal_high', 'calibrated_upper')} FROM cal",
-    "conformal_comparison": f"""WITH {CALIBRATED} SELECT horizon, split, {r('max(adjustment)', 'adjustment')}, {r(M['mae'], 'mae')}, {r(M['rmse'], 'rmse')},
-        {r(M['coverage_80'], 'coverage_80')}, {r(M['width_80'], 'width_80')},
-        {r(measures('cal_low', 'cal_high')['coverage_80'], 'calibrated_coverage_80')}, {r('avg(cal_high - cal_low)', 'calibrated_width_80')}
-        FROM cal GROUP BY 1, 2""",
+    "conformal_comparison": f"""WITH {CALIBRATED} SELECT horizon AS horizon_label, {r('max(adjustment)', 'conformal_adjustment_mw')},
+        {r(M['coverage_80'], 'test_raw_coverage_80')}, {r(measures('cal_low', 'cal_high')['coverage_80'], 'test_calibrated_coverage_80')},
+        {r(M['width_80'], 'test_raw_interval_width')}, {r('avg(cal_high - cal_low)', 'test_calibrated_interval_width')},
+        {r(M['rmse'], 'test_rmse_q50')} FROM cal WHERE split = 'test' GROUP BY 1""",
+    "calibration_metrics": f"""WITH {CALIBRATED},
+        both_ AS (SELECT horizon, split, 'raw' AS interval, target, pred_q10, pred_q50, pred_q90 FROM cal
+            UNION ALL SELECT horizon, split, 'calibrated', target, cal_low, pred_q50, cal_high FROM cal)
+        SELECT horizon, split, interval, count(*) AS row_count, {', '.join(r(e, k) for k, e in M.items())} FROM both_ GROUP BY 1, 2, 3""",
     "model_pivot": f"WITH {MODELS} SELECT horizon, {', '.join(r(f'''max(rmse) FILTER (model = '{m}')''', m) for m in ('hourly_normal', 'persistence', 'trailing_day'))} FROM mr GROUP BY 1",
     "best_model": f"""WITH {MODELS} SELECT horizon, {', '.join(r(f'''max(rmse) FILTER (model = '{m}')''', m) for m in ('hourly_normal', 'persistence', 'trailing_day'))},
         arg_min(model, rmse) AS best_model, {r('min(rmse)', 'best_rmse')} FROM mr GROUP BY 1""",
@@ -381,6 +385,9 @@ ORACLE: dict[str, str] = {
     "model_summaries": f"WITH {MODELS} SELECT horizon, model, {r('rmse', 'rmse')} FROM mr",
     "horizon_report": f"""WITH {REPORT} SELECT horizon, lead_steps, model_name,
         {', '.join(r(c, c) for c in _BASE_COLUMNS)}, {LABEL.format(c='test_coverage_80')} AS test_calibration_assessment FROM rep""",
+    "horizon_comparison": f"""WITH {REPORT} SELECT horizon AS horizon_label, lead_steps AS lead_hours, model_name AS selected_model_name,
+        'HourlyNormal' AS model_family, {', '.join(r(c, c) for c in _BASE_COLUMNS)}, 'models/' || horizon AS source_summary_path,
+        {LABEL.format(c='test_coverage_80')} AS test_calibration_assessment FROM rep""",
     "best_and_worst_horizon": f"""WITH {REPORT} SELECT * FROM (SELECT horizon, lead_steps, {r('test_rmse', 'test_rmse')}, {r('test_mae', 'test_mae')}, 'best' AS place FROM rep ORDER BY rep.test_rmse LIMIT 1)
         UNION ALL SELECT * FROM (SELECT horizon, lead_steps, {r('test_rmse', 'test_rmse')}, {r('test_mae', 'test_mae')}, 'worst' AS place FROM rep ORDER BY rep.test_rmse DESC LIMIT 1)""",
     "horizon_statement": f"""WITH {REPORT} SELECT printf('The strongest horizon is %s with test RMSE %.2f, the weakest is %s with test RMSE %.2f. The 80%% prediction intervals are %s.',

@@ -7,7 +7,6 @@ types are labels, users are many short series. Each query reads whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -500,20 +499,11 @@ def conformal_calibrate_intervals(spark, sf_dir):
 
 
 def conformal_comparison(spark, sf_dir):
-    """Coverage and width before and after calibration, in one aggregation."""
-    rows = calibrated(spark, sf_dir).withColumnsRenamed(
-        {"calibrated_lower": "cal_low", "calibrated_upper": "cal_high"}
-    )
-    raw = M.quantile_metrics(F.col("target"), F.col("pred_q50"), {}, {80: ("pred_q10", "pred_q90")})
-    wide = M.quantile_metrics(F.col("target"), F.col("pred_q50"), {}, {80: ("cal_low", "cal_high")})[2:]
-    names = ("calibrated_coverage_80", "calibrated_width_80")
-    return rounded(
-        rows.groupBy("horizon", "split").agg(
-            F.max("adjustment").alias("adjustment"),
-            *raw,
-            *[c.alias(n) for c, n in zip(wide, names)],
-        )
-    )
+    return rounded(RP.conformal_report(calibrated(spark, sf_dir), actual="target"))
+
+
+def calibration_metrics(spark, sf_dir):
+    return rounded(RP.calibration_metrics(calibrated(spark, sf_dir), actual="target"))
 
 
 def model_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -580,6 +570,13 @@ def horizon_report(spark, sf_dir):
     return rounded(RP.horizon_report(normal_forecasts(spark, sf_dir), actual="target"))
 
 
+def horizon_comparison(spark, sf_dir):
+    report = RP.horizon_report(normal_forecasts(spark, sf_dir), actual="target")
+    return rounded(
+        RP.horizon_comparison(report, model_family="HourlyNormal", source_path=F.concat(F.lit("models/"), "horizon"))
+    )
+
+
 def best_and_worst_horizon(spark, sf_dir):
     report = RP.horizon_report(normal_forecasts(spark, sf_dir), actual="target")
     return rounded(RP.best_and_worst_horizon(report))
@@ -600,8 +597,8 @@ def coverage_by_horizon(spark, sf_dir):
     return rounded(RP.coverage_by_horizon(covered.select("horizon", F.parse_json(text).alias("payload"))))
 
 
-def _summary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric documents of three baselines in their own shapes, from the t+24 forecasts."""
+def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary documents of three baselines in their own shapes, read into one table."""
     rows = normal_forecasts(spark, sf_dir).where(F.col("horizon") == "t_plus_24")
     quantile = M.metric_table(rows, actual="target", by=["split"])
     points = M.point_metrics(
@@ -610,44 +607,14 @@ def _summary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         actual="target", forecast="forecast", by=["split", "model"],
     )
-
-    def pick(split: str, column: str) -> Column:
-        return F.max(F.when(F.col("split") == split, F.col(column)))
-
-    flat = [
-        F.struct(pick(s, "mae").alias("MAE"), pick(s, "rmse").alias("RMSE")).alias(f"{s}_metrics")
-        for s in ("validation", "test")
-    ]
-    deep = [
-        F.struct(
-            F.struct(pick(s, "mae").alias("MAE"), pick(s, "rmse").alias("RMSE")).alias("point_metrics"),
-            F.struct(*[pick(s, f"pinball_{q}").alias(f"pinball_{q}") for q in ("q10", "q50", "q90")]).alias("pinball_metrics"),
-            pick(s, "coverage_80").alias("coverage_80_interval"),
-        ).alias(f"{s}_metrics")
-        for s in ("validation", "test")
-    ]
-    naive = points.where(F.col("model") == "persistence").agg(
-        F.to_json(F.struct(F.lit("persistence").alias("model"), *flat)).alias("text")
-    )
-    arma = points.where(F.col("model") == "trailing_day").agg(
-        F.to_json(F.struct(F.lit("trailing_day").alias("selected_model_name"), *flat)).alias("text")
+    naive = RP.point_summary(points.where(F.col("model") == "persistence"), "persistence")
+    arma = RP.point_summary(
+        points.where(F.col("model") == "trailing_day"), "trailing_day", name_field="selected_model_name"
     )
-    boosted = quantile.agg(
-        F.to_json(F.struct(F.lit("hourly_normal").alias("selected_model_name"), *deep)).alias("text")
-    )
-    parts = {"naive": naive, "arma": arma, "quantile": boosted}
-    return reduce(
-        DataFrame.unionByName,
-        [df.select(F.lit(k).alias("kind"), F.parse_json("text").alias("payload")) for k, df in parts.items()],
-    )
-
-
-def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _summary_documents(spark, sf_dir)
     return RP.baseline_comparison(
-        RP.normalize_naive_summary(documents.where(F.col("kind") == "naive")),
-        RP.normalize_arma_summary(documents.where(F.col("kind") == "arma")),
-        RP.normalize_quantile_summary(documents.where(F.col("kind") == "quantile")),
+        RP.normalize_naive_summary(naive),
+        RP.normalize_arma_summary(arma),
+        RP.normalize_quantile_summary(RP.quantile_summary(quantile, "hourly_normal")),
     )
 
 
@@ -829,9 +796,9 @@ QUERIES: dict[str, Query] = {
         split_embargo, before_test, train_median, train_median_impute, row_position,
         seasonal_naive, seasonal_naive_time, naive_evaluation, walk_forward_forecasts,
         walk_forward, point_metrics, metric_table, interval_levels, conformal_rank,
-        conformal_calibrate_intervals, conformal_comparison, model_pivot, best_model,
+        conformal_calibrate_intervals, conformal_comparison, calibration_metrics, model_pivot, best_model,
         best_model_per_horizon, rmse_by_horizon, model_summaries, horizon_report,
-        best_and_worst_horizon, horizon_statement, coverage_by_horizon, baseline_report,
+        horizon_comparison, best_and_worst_horizon, horizon_statement, coverage_by_horizon, baseline_report,
         baseline_interpretation, last_n, last_n_overall, position_to_timestamp,
         resolution_minutes, points_to_hourly, redact_url, text_to_number, json_hour_map,
         xml_points, quantile_boost, seasonal_arma,

@@ -33,6 +33,12 @@ def test_resample_is_mean_of_means_and_emits_empty_hours(spark):
     assert [(r.ts, r.y) for r in out] == [(at(0), 22.5), (at(1), None), (at(2), 7.0)]
 
 
+def test_unique_times_skip_the_duplicate_average(spark):
+    rows = [(at(0), 10.0), (at(0, 20), 20.0), (at(2), 7.0)]
+    out = G.resample_mean(frame(spark, rows), ts="ts", value="y", unique_times=True).orderBy("ts")
+    assert [r.y for r in out.collect()] == [15.0, None, 7.0]
+
+
 def test_grouped_resample_uses_own_range(spark):
     rows = [("a", at(h), 1.0) for h in (0, 5)] + [("b", at(h), 1.0) for h in (2, 3)]
     out = G.resample_mean(frame(spark, rows, True), ts="ts", value="y", series_keys=["series"])

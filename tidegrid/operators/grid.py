@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +16,7 @@ _LOW, _HIGH = "_low", "_high"
 
 
 def _keys_present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    for c in columns:
-        df = df.where(F.col(c).isNotNull())
-    return df
+    return df.where(reduce(and_, [F.col(c).isNotNull() for c in columns]))
 
 
 def _as_list(value: str | Sequence[str]) -> list[str]:
@@ -107,6 +107,7 @@ def resample_mean(
     step: str = "1 hour",
     start: Column | None = None,
     end: Column | None = None,
+    unique_times: bool = False,
 ) -> DataFrame:
     """Mean per left-closed, left-labelled slot, after averaging duplicates.
 
@@ -114,14 +115,18 @@ def resample_mean(
     of each series appears, an empty one with NULL. The empty slots enter the
     slot aggregation as NULL rows, so aligning costs no join: one hash aggregate
     with map-side combine serves both.
+
+    ``unique_times=True`` promises at most one row per series and time. The
+    duplicate average is then skipped, and raw rows combine to one per slot before
+    the only shuffle.
     """
     data_type = C.time_type(df, ts)
     keys, values = list(series_keys), _as_list(value)
     kept = _keys_present(df, [*keys, ts]).select(*keys, ts, *values)
     inside = _within(kept, ts, step, start, end)
-    per_time = collapse_duplicates(inside, ts=ts, value=values, series_keys=keys).select(
-        *keys, C.grid_position(F.col(ts), step).alias(C.POSITION), *values
-    )
+    if not unique_times:
+        inside = collapse_duplicates(inside, ts=ts, value=values, series_keys=keys)
+    per_time = inside.select(*keys, C.grid_position(F.col(ts), step).alias(C.POSITION), *values)
     empty = _expand(_bounds(kept, ts, keys, step, start, end), keys)
     slots = per_time.unionByName(empty, allowMissingColumns=True)
     return (

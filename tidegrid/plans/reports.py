@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.functions import errors as E
 from tidegrid.functions import scalars as P
 from tidegrid.operators import ranking as R
 from tidegrid.operators.metrics import metric_table
@@ -33,6 +34,11 @@ BASELINE_COLUMNS = (
     "selection_metric_name",
 )
 _METRIC_COLUMNS = BASELINE_COLUMNS[2:14]
+_HORIZON_METRICS = [
+    f"{split}_{m}"
+    for split in ("validation", "test")
+    for m in ("mae", "rmse", "pinball_q10", "pinball_q50", "pinball_q90", "coverage_80")
+]
 
 # Order of horizons in figures.
 HORIZON_ORDER = ("t_plus_1", "t_plus_24", "t_plus_168")
@@ -92,6 +98,36 @@ def normalize_quantile_summary(summaries: DataFrame) -> DataFrame:
     return _normalized(summaries, name, family, _quantile_paths())
 
 
+def _pick(split: str, column: str) -> Column:
+    return F.max(F.when(F.col("split") == split, F.col(column)))
+
+
+def _point_block(split: str) -> Column:
+    return F.struct(_pick(split, "mae").alias("MAE"), _pick(split, "rmse").alias("RMSE"))
+
+
+def point_summary(metrics: DataFrame, name: str, *, name_field: str = "model") -> DataFrame:
+    """Summary document of a point model from its metrics per split."""
+    blocks = [_point_block(s).alias(f"{s}_metrics") for s in ("validation", "test")]
+    text = F.to_json(F.struct(F.lit(name).alias(name_field), *blocks))
+    return metrics.agg(F.parse_json(text).alias("payload"))
+
+
+def quantile_summary(metrics: DataFrame, name: str) -> DataFrame:
+    """Summary document of a quantile model from its metric table per split."""
+    blocks = []
+    for s in ("validation", "test"):
+        losses = [_pick(s, f"pinball_{q}").alias(f"pinball_{q}") for q in ("q10", "q50", "q90")]
+        block = F.struct(
+            _point_block(s).alias("point_metrics"),
+            F.struct(*losses).alias("pinball_metrics"),
+            _pick(s, "coverage_80").alias("coverage_80_interval"),
+        )
+        blocks.append(block.alias(f"{s}_metrics"))
+    text = F.to_json(F.struct(F.lit(name).alias("selected_model_name"), *blocks))
+    return metrics.agg(F.parse_json(text).alias("payload"))
+
+
 def baseline_comparison(*normalized: DataFrame) -> DataFrame:
     """Normalised summaries of all models in one table, absent metrics NULL."""
     return reduce(
@@ -167,6 +203,52 @@ def horizon_report(predictions: DataFrame, *, actual: str, by: Sequence[str] = (
     )
 
 
+def horizon_comparison(
+    report: DataFrame, *, model_family: str, source_path: Column | None = None
+) -> DataFrame:
+    """The horizon report under its published column names and order."""
+    source = F.lit(None).cast("string") if source_path is None else source_path
+    return report.select(
+        F.col("horizon").alias("horizon_label"),
+        F.col("lead_steps").alias("lead_hours"),
+        F.col("model_name").alias("selected_model_name"),
+        F.lit(model_family).alias("model_family"),
+        *_HORIZON_METRICS,
+        source.alias("source_summary_path"),
+        "test_calibration_assessment",
+    )
+
+
+def calibration_metrics(
+    calibrated: DataFrame, *, actual: str, by: Sequence[str] = ("horizon", "split")
+) -> DataFrame:
+    """All measures of the raw and of the calibrated interval, one row each, from one pass."""
+    bounds = {
+        "raw": ("pred_q10", "pred_q90"),
+        "calibrated": ("calibrated_lower", "calibrated_upper"),
+    }
+    versions = [
+        F.struct(F.lit(k).alias("interval"), F.col(low).alias("pred_q10"), F.col(high).alias("pred_q90"))
+        for k, (low, high) in bounds.items()
+    ]
+    stacked = calibrated.select(*by, actual, "pred_q50", F.inline(F.array(*versions)))
+    return metric_table(stacked, actual=actual, by=[*by, "interval"])
+
+
+def conformal_report(calibrated: DataFrame, *, actual: str) -> DataFrame:
+    """Adjustment, coverage and width on the test rows before and after, one row per horizon."""
+    test = calibrated.where((F.col("split") == "test") & F.col(actual).isNotNull())
+    a, low, high = F.col(actual), F.col("calibrated_lower"), F.col("calibrated_upper")
+    return test.groupBy(F.col("horizon").alias("horizon_label")).agg(
+        F.max("adjustment").alias("conformal_adjustment_mw"),
+        E.coverage(a, F.col("pred_q10"), F.col("pred_q90")).alias("test_raw_coverage_80"),
+        E.coverage(a, low, high).alias("test_calibrated_coverage_80"),
+        E.width(F.col("pred_q10"), F.col("pred_q90")).alias("test_raw_interval_width"),
+        E.width(low, high).alias("test_calibrated_interval_width"),
+        E.rmse(a, F.col("pred_q50")).alias("test_rmse_q50"),
+    )
+
+
 def best_and_worst_horizon(report: DataFrame) -> DataFrame:
     """The horizons with the lowest and the highest test RMSE, labelled ``best`` and ``worst``."""
     columns = ("horizon", "lead_steps", "test_rmse", "test_mae")
