@@ -221,6 +221,22 @@ def wide_targets() -> str:
     return ", ".join(parts)
 
 
+EXOGENOUS = f"""{SERIES},
+    joined AS (SELECT s.event_type, s.ts, s.value AS own, p.value AS purchase_raw, g.value AS signup_raw FROM series s
+        LEFT JOIN series p ON p.ts = s.ts AND p.event_type = 'purchase'
+        LEFT JOIN series g ON g.ts = s.ts AND g.event_type = 'signup'),
+    pur AS (SELECT event_type, ts, purchase_raw AS value FROM joined),
+    {interpolated('pur', 'pur_f', 'event_type', 6, 'time').strip()},
+    sig AS (SELECT event_type, ts, signup_raw AS value FROM joined),
+    {interpolated('sig', 'sig_f', 'event_type', 6, 'time').strip()},
+    exo AS (SELECT j.event_type, j.ts, own AS value, purchase_raw, signup_raw, p.value AS purchase_fill, g.value AS signup_fill
+        FROM joined j JOIN pur_f p ON p.event_type = j.event_type AND p.ts = j.ts
+        JOIN sig_f g ON g.event_type = j.event_type AND g.ts = j.ts)"""
+EXOGENOUS_COLUMNS = ", ".join(
+    f"{r(f'{c}_fill', c)}, ({c}_raw IS NULL)::INTEGER AS {c}_missing_flag_raw, "
+    f"({c}_fill IS NULL)::INTEGER AS {c}_missing_flag_postfill"
+    for c in ("purchase", "signup")
+)
 FOLD_SPECS = [(k + 1, f"TIMESTAMP '2024-01-10 23:00:00' + INTERVAL {72 * k} HOUR") for k in range(6)]
 FOLDS = f"""{SERIES},
     folds AS (SELECT * FROM (VALUES {', '.join(f"({k}::INTEGER, {o})" for k, o in FOLD_SPECS)}) f(fold, origin)),
@@ -307,19 +323,11 @@ ORACLE: dict[str, str] = {
             (wind IS NULL)::INTEGER AS wind_missing_flag_postfill, {calendar()},
             {history('load_mw', 'load', '')}, (load_mw IS NOT NULL)::INTEGER AS target_available_for_training
         FROM merged""",
-    "exogenous_join": f"""WITH {SERIES},
-        joined AS (SELECT s.event_type, s.ts, s.value AS own, p.value AS purchase, g.value AS signup FROM series s
-            LEFT JOIN series p ON p.ts = s.ts AND p.event_type = 'purchase'
-            LEFT JOIN series g ON g.ts = s.ts AND g.event_type = 'signup'),
-        pur AS (SELECT event_type, ts, purchase AS value FROM joined),
-        {interpolated('pur', 'pur_f', 'event_type', 6, 'time').strip()},
-        sig AS (SELECT event_type, ts, signup AS value FROM joined),
-        {interpolated('sig', 'sig_f', 'event_type', 6, 'time').strip()}
-        SELECT j.event_type, j.ts, {r('own', 'value')}, {r('p.value', 'purchase')}, {r('g.value', 'signup')},
-            (purchase IS NULL)::INTEGER AS purchase_missing_flag_raw, (signup IS NULL)::INTEGER AS signup_missing_flag_raw,
-            (p.value IS NULL)::INTEGER AS purchase_missing_flag_postfill, (g.value IS NULL)::INTEGER AS signup_missing_flag_postfill
-        FROM joined j JOIN pur_f p ON p.event_type = j.event_type AND p.ts = j.ts
-            JOIN sig_f g ON g.event_type = j.event_type AND g.ts = j.ts""",
+    "exogenous_join": f"""WITH {EXOGENOUS} SELECT event_type, ts, {r('value', 'value')}, {EXOGENOUS_COLUMNS} FROM exo""",
+    "weather_horizons": f"""WITH {EXOGENOUS},{targets('exo', 'tg', BY_TYPE)}
+        SELECT event_type, ts, {r('value', 'value')}, {EXOGENOUS_COLUMNS}, {wide_targets()} FROM tg""",
+    "run_lineage": f"""WITH {SERIES} SELECT 'events' AS source, 'https://feed.example/api?securityToken=REDACTED&step=1h' AS resolved_url,
+        count(*) AS row_count, min(ts) AS start_utc, max(ts) AS end_utc, '1 hour' AS step, 'event_type,ts,value' AS columns FROM series""",
     "horizon_targets": f"WITH {SERIES},{targets('series', 'tg', BY_TYPE)} SELECT event_type, ts, {r('value', 'value')}, {wide_targets()} FROM tg",
     "user_targets": f"""WITH {USERS},{targets('users', 'tg', 'PARTITION BY user_id')} SELECT horizon, lead_steps, count(*) AS row_count,
         count(target) AS available_count, count(*) - count(target) AS missing_count, min(ts) AS start_utc, max(ts) AS end_utc

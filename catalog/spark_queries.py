@@ -32,6 +32,7 @@ from tidegrid.plans import modeling as ML
 from tidegrid.plans import reports as RP
 from tidegrid.plans.walk_forward import fold_metrics, summarise_folds
 from tidegrid.sources import documents as D
+from tidegrid.sources import sinks
 from tidegrid.sources.constants import CALENDAR_FEATURES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -325,16 +326,39 @@ def modeling_table(spark, sf_dir):
     return rounded(ML.build_modeling_table(load, wind, ts="ts"))
 
 
-def exogenous_join(spark, sf_dir):
-    """Each type's series with the overall hourly mean and weather-like columns, filled and flagged."""
+def weather_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type's series with two weather-like columns, filled and flagged."""
     others = wide_types(spark, sf_dir).select("ts", "purchase", "signup")
+    return ML.add_weather(
+        by_type(spark, sf_dir), others, ["purchase", "signup"], ts="ts", series_keys=["event_type"]
+    )
+
+
+def exogenous_join(spark, sf_dir):
+    return rounded(weather_augmented(spark, sf_dir))
+
+
+def weather_horizons(spark, sf_dir):
+    """Weather-augmented rows with the targets of all horizons and their times."""
     return rounded(
-        ML.add_weather(
-            by_type(spark, sf_dir), others, ["purchase", "signup"], ts="ts", series_keys=["event_type"]
+        H.add_horizon_targets(
+            weather_augmented(spark, sf_dir), value="value", ts="ts", series_keys=["event_type"]
         )
     )
 
 
+def run_lineage(spark, sf_dir):
+    """Provenance of the hourly table, without its time stamp."""
+    row = sinks.lineage_row(
+        by_type(spark, sf_dir), ts="ts", source="events", parameters={"step": "1 hour"},
+        url="https://feed.example/api?securityToken=TESTTOKEN&step=1h",
+    )
+    return row.select(
+        "source", "resolved_url", "row_count", "start_utc", "end_utc",
+        F.col("parameters")["step"].alias("step"), F.array_join("columns", ",").alias("columns"),
+    )
+
+
 def horizon_targets(spark, sf_dir):
     return rounded(
         H.add_horizon_targets(
@@ -791,7 +815,8 @@ QUERIES: dict[str, Query] = {
         label_profile, coverage_profile, distinct_labels, duplicate_count, null_hours,
         interpolate_columns, column_quality, interpolate_linear, interpolate_time,
         interpolate_forward, calendar_features, lag_features, rolling_features,
-        rolling_exclude_current, supplier_history, modeling_table, exogenous_join, horizon_targets,
+        rolling_exclude_current, supplier_history, modeling_table, exogenous_join, weather_horizons, run_lineage,
+        horizon_targets,
         user_targets, supervised_table, time_split, time_split_closed, split_summary,
         split_embargo, before_test, train_median, train_median_impute, row_position,
         seasonal_naive, seasonal_naive_time, naive_evaluation, walk_forward_forecasts,

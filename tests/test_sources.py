@@ -126,6 +126,14 @@ def test_tables_and_guard(spark, tmp_path):
         tables.read_table(spark, str(tmp_path / "e"))
 
 
+def test_zoned_times_in_csv(spark, tmp_path):
+    (tmp_path / "load.csv").write_text("timestamp_utc,load_mw\n2024-01-01 00:00:00+00:00,1.5\n2024-01-01 02:00:00+01:00,\n")
+    df = tables.read_table(spark, str(tmp_path / "load.csv"), schema="timestamp_utc timestamp, load_mw double", format="csv")
+    assert sorted(df.collect()) == [(dt.datetime(2024, 1, 1, 0), 1.5), (dt.datetime(2024, 1, 1, 1), None)]
+    text = spark.createDataFrame([("2024-01-01 02:00:00+01:00",)], "t string")
+    assert text.select(P.parse_utc(F.col("t"))).first()[0] == dt.datetime(2024, 1, 1, 1)
+
+
 def run_file(folder, stamp, entries):
     payload = {"run_generated_at_utc": stamp, "datasets": entries}
     (folder / f"run_metadata_{stamp}.json").write_text(json.dumps(payload, indent=2))
