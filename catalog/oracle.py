@@ -387,6 +387,12 @@ ORACLE: dict[str, str] = {
     "model_pivot": f"WITH {MODELS} SELECT horizon, {', '.join(r(f'''max(rmse) FILTER (model = '{m}')''', m) for m in ('hourly_normal', 'persistence', 'trailing_day'))} FROM mr GROUP BY 1",
     "best_model": f"""WITH {MODELS} SELECT horizon, {', '.join(r(f'''max(rmse) FILTER (model = '{m}')''', m) for m in ('hourly_normal', 'persistence', 'trailing_day'))},
         arg_min(model, rmse) AS best_model, {r('min(rmse)', 'best_rmse')} FROM mr GROUP BY 1""",
+    "combined_metrics": f"""WITH {MODELS}
+        SELECT horizon, model_name, count(*) AS row_count, {', '.join(r(e, k) for k, e in M.items())}
+        FROM fc WHERE split = 'test' GROUP BY 1, 2
+        UNION ALL BY NAME SELECT horizon, model AS model_name, count(*) AS row_count, {r('avg(abs(target - forecast))', 'mae')},
+            {r('sqrt(avg((target - forecast) * (target - forecast)))', 'rmse')}
+        FROM mf WHERE split = 'test' AND model = 'persistence' AND forecast IS NOT NULL GROUP BY 1, 2""",
     "best_model_per_horizon": f"WITH {MODELS} SELECT horizon, arg_min(model, rmse) AS model, {r('min(rmse)', 'rmse')} FROM mr GROUP BY 1",
     "rmse_by_horizon": f"""WITH {MODELS} SELECT horizon, model, {r('rmse', 'rmse')},
         CASE horizon WHEN 't_plus_1' THEN 1 WHEN 't_plus_24' THEN 2 ELSE 3 END::BIGINT AS horizon_order FROM mr""",

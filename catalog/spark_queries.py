@@ -561,6 +561,17 @@ def best_model(spark, sf_dir):
     return rounded(RP.model_comparison(model_rmse(spark, sf_dir), MODELS))
 
 
+def combined_metrics(spark, sf_dir):
+    """Test metrics of a quantile model and of a point model, which lacks the quantile measures."""
+    test = normal_forecasts(spark, sf_dir).where(F.col("split") == "test")
+    quantile = M.metric_table(test, actual="target", by=["horizon", "model_name"])
+    persistence = AU.present_rows(model_forecasts(spark, sf_dir), "forecast").where(
+        (F.col("split") == "test") & (F.col("model") == "persistence")
+    )
+    point = M.point_metrics(persistence, actual="target", forecast="forecast", by=["horizon", "model"])
+    return rounded(RP.combine_metrics(quantile, point.withColumnRenamed("model", "model_name")))
+
+
 def best_model_per_horizon(spark, sf_dir):
     return rounded(
         R.best_by(model_rmse(spark, sf_dir), "rmse", "model", columns=["model", "rmse"], by=["horizon"])
@@ -822,7 +833,7 @@ QUERIES: dict[str, Query] = {
         seasonal_naive, seasonal_naive_time, naive_evaluation, walk_forward_forecasts,
         walk_forward, point_metrics, metric_table, interval_levels, conformal_rank,
         conformal_calibrate_intervals, conformal_comparison, calibration_metrics, model_pivot, best_model,
-        best_model_per_horizon, rmse_by_horizon, model_summaries, horizon_report,
+        combined_metrics, best_model_per_horizon, rmse_by_horizon, model_summaries, horizon_report,
         horizon_comparison, best_and_worst_horizon, horizon_statement, coverage_by_horizon, baseline_report,
         baseline_interpretation, last_n, last_n_overall, position_to_timestamp,
         resolution_minutes, points_to_hourly, redact_url, text_to_number, json_hour_map,

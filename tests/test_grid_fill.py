@@ -39,6 +39,17 @@ def test_unique_times_skip_the_duplicate_average(spark):
     assert [r.y for r in out.collect()] == [15.0, None, 7.0]
 
 
+@pytest.mark.parametrize("end", [None, 4])
+def test_materialized_resample_is_the_same(spark, end):
+    rows = [("a", at(h, m), float(h + m)) for h in (0, 2, 5) for m in (0, 0, 30)] + [("b", at(9), 1.0)]
+    df = frame(spark, rows, True)
+    options = dict(ts="ts", value="y", series_keys=["series"])
+    if end:
+        options |= {"start": F.lit(at(1)), "end": F.lit(at(end))}
+    lazy, stored = (G.resample_mean(df, materialize=m, **options) for m in (False, True))
+    assert sorted(lazy.collect()) == sorted(stored.collect()) and lazy.count() == (8 if end else 7)
+
+
 def test_grouped_resample_uses_own_range(spark):
     rows = [("a", at(h), 1.0) for h in (0, 5)] + [("b", at(h), 1.0) for h in (2, 3)]
     out = G.resample_mean(frame(spark, rows, True), ts="ts", value="y", series_keys=["series"])
@@ -161,3 +172,12 @@ def test_impute_uses_train_only(spark):
     assert sorted((r.split, r.x) for r in out) == [
         ("test", 2.0), ("test", 100.0), ("train", 1.0), ("train", 2.0), ("train", 3.0)
     ]
+    rough = impute_train_median(df, ["x"], exact=False)
+    assert rough.where("x is null").count() == 0
+
+
+def test_impute_per_series(spark):
+    rows = [("a", "train", 1.0), ("a", "test", None), ("b", "train", 9.0), ("b", "test", None)]
+    df = spark.createDataFrame(rows, "s string, split string, x double")
+    out = impute_train_median(df, ["x"], keys=["s"], salt_on=["split"]).where("split = 'test'")
+    assert sorted((r.s, r.x) for r in out.collect()) == [("a", 1.0), ("b", 9.0)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.operators import chunks as C
-from tidegrid.operators.order_stats import median
+from tidegrid.operators.order_stats import approximate_median, median
 
 
 def interpolate(
@@ -113,11 +113,16 @@ def impute_train_median(
     train: str = "train",
     keys: Sequence[str] = (),
     salt_on: Sequence[str] = (),
+    exact: bool = True,
 ) -> DataFrame:
-    """Fill features with their median over the training rows only, in every split."""
+    """Fill features with their median over the training rows only, in every split.
+
+    ``exact=False`` takes a one-pass sketch instead of the exact median.
+    """
+    fit = median if exact else approximate_median
     result = df
     for name in columns:
-        fitted = median(df.where(F.col(split) == train), name, keys=keys).withColumnRenamed(
+        fitted = fit(df.where(F.col(split) == train), name, keys=keys).withColumnRenamed(
             "median", "_median"
         )
         result = (

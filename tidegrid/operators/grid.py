@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators import chunks as C
-from tidegrid.session import shuffle_partitions
+from tidegrid.session import cut_lineage, shuffle_partitions
 
 _LOW, _HIGH = "_low", "_high"
 
@@ -108,6 +108,7 @@ def resample_mean(
     start: Column | None = None,
     end: Column | None = None,
     unique_times: bool = False,
+    materialize: bool = False,
 ) -> DataFrame:
     """Mean per left-closed, left-labelled slot, after averaging duplicates.
 
@@ -118,13 +119,19 @@ def resample_mean(
 
     ``unique_times=True`` promises at most one row per series and time. The
     duplicate average is then skipped, and raw rows combine to one per slot before
-    the only shuffle.
+    the only shuffle. The range of each series takes a second pass over its times;
+    ``materialize=True`` stores the averaged rows first, for inputs that are costly
+    to compute twice, such as parsed documents.
     """
     data_type = C.time_type(df, ts)
     keys, values = list(series_keys), _as_list(value)
     kept = _keys_present(df, [*keys, ts]).select(*keys, ts, *values)
+    if materialize:
+        kept = cut_lineage(
+            kept if unique_times else collapse_duplicates(kept, ts=ts, value=values, series_keys=keys)
+        )
     inside = _within(kept, ts, step, start, end)
-    if not unique_times:
+    if not unique_times and not materialize:
         inside = collapse_duplicates(inside, ts=ts, value=values, series_keys=keys)
     per_time = inside.select(*keys, C.grid_position(F.col(ts), step).alias(C.POSITION), *values)
     empty = _expand(_bounds(kept, ts, keys, step, start, end), keys)

@@ -21,14 +21,17 @@ WIND_LIMIT = 3
 WEATHER_LIMIT = 6
 
 
-def hourly_load(points: DataFrame, ts: str = "timestamp_utc", step: str = "1 hour") -> DataFrame:
+def hourly_load(
+    points: DataFrame, ts: str = "timestamp_utc", step: str = "1 hour", materialize: bool = False
+) -> DataFrame:
     """Points with rebuilt times to one hourly load series."""
-    return resample_mean(
-        points.withColumnRenamed("quantity", "load_mw"), ts=ts, value="load_mw", step=step
-    )
+    named = points.withColumnRenamed("quantity", "load_mw")
+    return resample_mean(named, ts=ts, value="load_mw", step=step, materialize=materialize)
 
 
-def hourly_generation(points: DataFrame, ts: str = "timestamp_utc", step: str = "1 hour") -> DataFrame:
+def hourly_generation(
+    points: DataFrame, ts: str = "timestamp_utc", step: str = "1 hour", materialize: bool = False
+) -> DataFrame:
     """Points to one hourly series per generation type, each over its own time range."""
     labelled = points.withColumn("psr_type", label_or_unknown(F.col("psr_type")))
     return resample_mean(
@@ -37,6 +40,7 @@ def hourly_generation(points: DataFrame, ts: str = "timestamp_utc", step: str =
         value="generation_mw",
         series_keys=("psr_type", "business_type"),
         step=step,
+        materialize=materialize,
     )
 
 

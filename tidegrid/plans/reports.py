@@ -40,6 +40,13 @@ _HORIZON_METRICS = [
     for m in ("mae", "rmse", "pinball_q10", "pinball_q50", "pinball_q90", "coverage_80")
 ]
 
+# Fixed value: wording of the baseline summary.
+BASELINE_SENTENCE = (
+    "The strongest current point-forecast baseline is %s, and the strongest probabilistic "
+    "baseline is %s. The observed 80%% interval coverage is %s, which is %s relative to the "
+    "nominal target."
+)
+
 # Order of horizons in figures.
 HORIZON_ORDER = ("t_plus_1", "t_plus_24", "t_plus_168")
 
@@ -128,11 +135,14 @@ def quantile_summary(metrics: DataFrame, name: str) -> DataFrame:
     return metrics.agg(F.parse_json(text).alias("payload"))
 
 
+def combine_metrics(*tables: DataFrame) -> DataFrame:
+    """Metric tables of several models under each other; a column one lacks is NULL."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def baseline_comparison(*normalized: DataFrame) -> DataFrame:
     """Normalised summaries of all models in one table, absent metrics NULL."""
-    return reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True), normalized
-    ).select(*BASELINE_COLUMNS)
+    return combine_metrics(*normalized).select(*BASELINE_COLUMNS)
 
 
 def ranked_baselines(comparison: DataFrame) -> DataFrame:
@@ -169,9 +179,7 @@ def baseline_interpretation(comparison: DataFrame) -> DataFrame:
     )
     label = P.calibration_label(F.col("_p.test_coverage_80"))
     sentence = F.format_string(
-        "The strongest current point-forecast baseline is %s, and the strongest probabilistic "
-        "baseline is %s. The observed 80%% interval coverage is %s, which is %s relative to the "
-        "nominal target.",
+        BASELINE_SENTENCE,
         F.col("best_point_forecast_model"),
         F.col("_p.name"),
         F.coalesce(F.format_string("%.4f", F.col("_p.test_coverage_80")), F.lit("unknown")),
