@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import byte_bpe
+from tidegrid.llm import byte_bpe, exact_dedup
 from tidegrid.llm.storage import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,23 @@ def register(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_documents(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_tokens=False)
+
+
+@register
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op5_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare
+  FROM documents
+)
+SELECT doc_id,
+       first_value(doc_id) OVER (PARTITION BY bare ORDER BY points DESC, doc_id) AS keep_id,
+       count(*) OVER (PARTITION BY bare) AS group_size,
+       row_number() OVER (PARTITION BY bare ORDER BY points DESC, doc_id) = 1 AS kept,
+       sha256(bare) AS text_sha256
+FROM d
+"""
