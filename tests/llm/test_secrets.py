@@ -1,0 +1,86 @@
+import hashlib
+import random
+import re
+
+from tidegrid.llm import secrets as S
+from tidegrid.llm.queries import QUERIES
+
+KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+
+
+def plain_base(text):
+    """Base spans by stepping through the text, without the module's patterns."""
+    value, found, low = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), [], text
+    i = 0
+    while i < len(text):
+        for k in KEYWORDS:
+            if [c.lower() if c.isascii() else c for c in low[i : i + len(k)]] == list(k):
+                j = i + len(k)
+                j += text[j : j + 1] in ('"', "'") and text[j : j + 1] != ""
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] in ("", *"abc") or text[j] not in ":=":
+                    continue
+                j += 1
+                while text[j : j + 1] == " ":
+                    j += 1
+                j += text[j : j + 1] in ('"', "'") and text[j : j + 1] != ""
+                e = j
+                while e < len(text) and text[e] in value:
+                    e += 1
+                if e > j:
+                    if e - j >= 6:
+                        found.append(("assign", i, e))
+                    i = e - 1
+                    break
+        i += 1
+    for m in re.finditer("AKIA", text):
+        if m.start() >= max((e for k, _, e in found if k == "access"), default=0):
+            e = m.end()
+            while e < len(text) and text[e] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789":
+                e += 1
+            if e - m.start() >= 20:
+                found.append(("access", m.start(), e))
+    run = 0
+    for i, c in enumerate(text + "!"):
+        if c in "0123456789abcdef":
+            run += 1
+        else:
+            found += [("hex", i - run, i)] if run >= 24 else []
+            run = 0
+    return sorted(found, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def test_base_spans_against_brute_force():
+    pick = random.Random(5)
+    parts = ["password", "Token", "api_key", "API-KEY", "ſecret", "secret", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGH12345678", "abc", "0123456789abcdef", "zz", "\n", "é"]
+    for _ in range(3000):
+        text = "".join(pick.choice(parts) for _ in range(pick.choice((2, 8, 20))))
+        assert S.base_spans(text) == plain_base(text), text
+
+
+def test_weak_parts_need_their_complements():
+    secret = "aZ9xQ7bR2cT5dU8eV1fW"
+    assert S.linked([], S.weak_spans(f"see {secret} there")) == []
+    both = f"user: jdoe1 then {secret} at https://db.example.com/x"
+    assert {s[0] for s in S.linked([], S.weak_spans(both))} == {"endpoint", "user", "opaque"}
+    far = "user: jdoe1" + " " * 1000 + secret
+    assert S.linked([], S.weak_spans(far)) == []
+    assert S.linked([], S.weak_spans("go to https://db.example.com/x now")) == []
+
+
+def test_query_on_whole_table(spark, sf_dir, documents):
+    got = {r.doc_id: r for r in QUERIES["op10_secret_scan"](spark, sf_dir).collect()}
+    assert got.keys() == documents.keys()
+    for i, text in documents.items():
+        base = plain_base(text or "")
+        line = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(b[0] == k for b in base) for k in S.BASE)
+        assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert set(line.split(",")) - {""} <= set(got[i].spans.split(","))
+
+
+def test_nulls_repeats_and_empty_table(spark, docs):
+    got = S.scan(docs([(1, None), (1, None), (None, "token=abcdef"), (2, "")], "spans")).collect()
+    assert sorted((r.n_assign, r.spans) for r in got) == [(0, ""), (0, ""), (0, ""), (1, "assign:0:12")]
+    assert S.scan(docs([])).count() == 0
