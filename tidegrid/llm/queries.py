@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import byte_bpe, exact_dedup, secrets
+from tidegrid.llm import byte_bpe, exact_dedup, secrets, token_files
 from tidegrid.llm.storage import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,8 @@ FROM d
 @register
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
+@register
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.tokens_on_file(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
