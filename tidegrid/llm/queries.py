@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import byte_bpe, exact_dedup, secrets, token_files
+from tidegrid.llm import byte_bpe, exact_dedup, quality, secrets, token_files, toxicity
 from tidegrid.llm.storage import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokens_on_file(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels"), "quality"))
+
+
+@register
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels"), "toxic"))
