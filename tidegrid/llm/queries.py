@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import byte_bpe, exact_dedup, quality, secrets, token_files, toxicity
+from tidegrid.llm import byte_bpe, exact_dedup, ngram_join, quality, secrets, token_files, toxicity
 from tidegrid.llm.storage import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels"), "toxic"))
+
+
+@register
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_links(read_table(spark, sf_dir, "documents")).drop("row_hash", "leads")
