@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import byte_bpe, exact_dedup, ngram_join, quality, secrets, token_files, toxicity
+from tidegrid.llm import byte_bpe, decontaminate, exact_dedup, ngram_join, quality, secrets, token_files, toxicity
 from tidegrid.llm.storage import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_links(read_table(spark, sf_dir, "documents")).drop("row_hash", "leads")
+
+
+@register
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
