@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.storage import stored, text_or_empty
+from tidegrid.llm.storage import checked_broadcast, stored, text_or_empty
 
 N = 5
 THRESHOLD = 0.8
@@ -91,11 +91,6 @@ def item_table(items: DataFrame, n: int = N, item_column: str = "item_id", text_
     return stored(hashed.withColumn("print", simhash(F.col("grams"))).drop("w"), "items")
 
 
-def _checked(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def candidate_starts(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc_id, row_hash, size, width, starts): windows with enough places that match shingles of one item.
 
@@ -137,7 +132,7 @@ def contamination(
     starts = candidate_starts(docs.select("doc_id", "row_hash", word_hashes(F.col("text")).alias("w")), items, n, threshold)
     starts = stored(starts, "window-starts")
     same_row = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.row_hash") == F.col("s.row_hash"))
-    found = docs.alias("d").join(_checked(starts, BROADCAST_ROWS).alias("s"), same_row)
+    found = docs.alias("d").join(checked_broadcast(starts, BROADCAST_ROWS).alias("s"), same_row)
     found = found.select("d.doc_id", "size", "width", "starts", word_hashes(F.col("text")).alias("w"))
     found = found.select("doc_id", "size", "width", "w", F.explode("starts").alias("start"))
     windows = found.select("doc_id", "start", "size", "width", F.slice("w", F.col("start") + 1, F.col("size")).alias("w")).distinct()
@@ -156,3 +151,9 @@ def contamination(
         .select("doc_id", "item_id", "start", F.col("size").alias("n_words"), distance.cast("int").alias("distance"), "similarity")
         .distinct()
     )
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without a window within the threshold of an item."""
+    found = stored(contamination(docs, items, id_column=id_column, **options).select(F.col("doc_id").alias("_leak_id")).distinct(), "leaks")
+    return docs.join(checked_broadcast(found), F.col(id_column).cast("bigint").eqNullSafe(F.col("_leak_id")), "left_anti")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.components import components
-from tidegrid.llm.storage import map_texts, split_batch, stored, text_or_empty
+from tidegrid.llm.storage import checked_broadcast, map_texts, split_batch, stored, text_or_empty
 
 N = 5
 THRESHOLD = 0.8
@@ -274,3 +274,16 @@ def jaccard_links(
         .join(named.alias("c"), same_set)
         .select("r.doc_id", "r.row_hash", "class_id", "class_size", "n_links", F.col("head.doc_id").alias("group_id"), kept.alias("leads"))
     )
+
+
+def one_of_each_group(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of ``df``, with all their columns, that lead their near-duplicate group; of repeated rows one stays."""
+    links = jaccard_links(df, id_column=id_column, text_column=text_column, **options)
+    links = stored(links.select("doc_id", "row_hash", "leads").groupBy("doc_id", "row_hash").agg(F.first("leads").alias("leads"), F.count(F.lit(1)).alias("n")), "ngram-leads")
+    gone = checked_broadcast(links.where("NOT leads").select(F.col("doc_id").alias("_gone_id"), F.col("row_hash").alias("_gone_hash")))
+    row_hash = F.xxhash64(text_or_empty(df, text_column))
+    same_row = F.col(id_column).cast("bigint").eqNullSafe(F.col("_gone_id")) & (row_hash == F.col("_gone_hash"))
+    left = df.join(gone, same_row, "left_anti")
+    if links.where("leads AND n > 1").isEmpty():
+        return left
+    return left.withColumn("_row_hash", row_hash).dropDuplicates([id_column, "_row_hash"]).drop("_row_hash")

@@ -97,3 +97,21 @@ _ARROW = {
 
 def arrow_type(kind: T.DataType) -> pa.DataType:
     return _ARROW[kind.simpleString()]
+
+
+def keep_rows(df: DataFrame, keep: Callable[[list[str]], list[bool]], text: str = "text") -> DataFrame:
+    """Rows of ``df``, with all their columns, whose text ``keep`` accepts; nulls count as empty text."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in split_batch(batch):
+                if part.num_rows:
+                    yield part.filter(pa.array(keep([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most so many (narrow) rows; joined by a shuffle beyond."""
+    return F.broadcast(df) if df.count() <= rows else df
