@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, ngram_join, quality, secrets, token_files, toxicity
+from tidegrid.llm import byte_bpe, decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, quality, secrets, token_files, toxicity
 from tidegrid.llm.storage import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@register
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
