@@ -306,6 +306,9 @@ ORACLE: dict[str, str] = {
     "interpolate_forward": f"WITH {USERS},{interpolated('users', 'filled', 'user_id', 3, 'linear', both=False)} SELECT user_id, ts, {r('value', 'value')} FROM filled",
     "calendar_features": f"SELECT o_orderkey, ts, {calendar()} FROM (SELECT o_orderkey, o_orderdate AS ts FROM orders)",
     "lag_features": f"WITH {SERIES} SELECT event_type, ts, {r('value', 'value')}, {history('value', 'load', BY_TYPE, n=None)} FROM series",
+    "lag_features_sparse": f"""WITH {USERS}, observed AS (SELECT * FROM users WHERE value IS NOT NULL)
+        SELECT o.user_id, o.ts, {r('o.value', 'value')}, {', '.join(r(f'l{k}.value', f'load_lag_{k}') for k in (1, 24, 48, 168))} FROM observed o
+        {' '.join(f'LEFT JOIN observed l{k} ON l{k}.user_id = o.user_id AND l{k}.ts = o.ts - INTERVAL {k} HOUR' for k in (1, 24, 48, 168))}""",
     "rolling_features": f"WITH {SERIES},{interpolated('series', 'filled', 'event_type', 3, 'linear')} SELECT event_type, ts, {r('value', 'value')}, {history('value', 'load', BY_TYPE, lags=())} FROM filled",
     "rolling_exclude_current": f"WITH {SERIES},{interpolated('series', 'filled', 'event_type', 3, 'linear')} SELECT event_type, ts, {r('value', 'value')}, {history('value', 'load', BY_TYPE, lags=(), shift=1)} FROM filled",
     "supplier_history": f"""WITH per_day AS (SELECT l_suppkey, l_shipdate AS ts, avg(l_quantity) AS v FROM lineitem GROUP BY ALL),
@@ -354,14 +357,14 @@ ORACLE: dict[str, str] = {
     "seasonal_naive_time": f"""WITH {KNOWN} SELECT k.event_type, k.ts, {r('k.value', 'value')}, k.split, {r('p.value', 'forecast')}
         FROM known k LEFT JOIN known p ON p.event_type = k.event_type AND p.ts = k.ts - INTERVAL 168 HOUR""",
     "naive_evaluation": f"""WITH {KNOWN}, f AS (SELECT *, lag(value, 168) OVER {TYPE_ORDER} AS forecast FROM known)
-        SELECT split, count(*) AS row_count, {r('avg(abs(value - forecast))', 'mae')},
+        SELECT split, count(forecast) AS row_count, count(*) - count(forecast) AS unscored_count, {r('avg(abs(value - forecast))', 'mae')},
             {r('sqrt(avg((value - forecast) * (value - forecast)))', 'rmse')}, 'seasonal_naive_weekly' AS model_name
-        FROM f WHERE split <> 'train' AND forecast IS NOT NULL GROUP BY split""",
+        FROM f WHERE split <> 'train' GROUP BY split""",
     "walk_forward_forecasts": f"WITH {FOLDS} SELECT event_type, ts, {r('value', 'value')}, fold, lead_steps, {r('forecast', 'forecast')} FROM wf",
     "walk_forward": f"""WITH {FOLDS}, pf AS (SELECT event_type, fold, avg(abs(value - forecast)) AS mae,
-            sqrt(avg((value - forecast) * (value - forecast))) AS rmse FROM wf
-            WHERE value IS NOT NULL AND forecast IS NOT NULL GROUP BY 1, 2)
-        SELECT event_type, count(*) AS folds, {r('avg(mae)', 'mae_mean')}, {r('stddev_samp(mae)', 'mae_std')},
+            sqrt(avg((value - forecast) * (value - forecast))) AS rmse, count(*) - count(forecast) AS lost FROM wf
+            WHERE value IS NOT NULL GROUP BY 1, 2)
+        SELECT event_type, count(*) AS folds, sum(lost)::BIGINT AS unscored_count, {r('avg(mae)', 'mae_mean')}, {r('stddev_samp(mae)', 'mae_std')},
             {r('avg(rmse)', 'rmse_mean')}, {r('stddev_samp(rmse)', 'rmse_std')} FROM pf GROUP BY 1""",
     "point_metrics": f"WITH {FORECASTS} SELECT horizon, event_type, split, count(*) AS row_count, {r(M['mae'], 'mae')}, {r(M['rmse'], 'rmse')} FROM fc GROUP BY 1, 2, 3",
     "metric_table": f"WITH {FORECASTS} SELECT horizon, model_name, split, count(*) AS row_count, {', '.join(r(e, k) for k, e in M.items())} FROM fc GROUP BY 1, 2, 3",

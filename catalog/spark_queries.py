@@ -222,6 +222,7 @@ def wide_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One column per event type on the common hourly grid."""
     wide = (
         by_type(spark, sf_dir)
+        .withColumn("event_type", R.listed("event_type", EVENT_TYPES))
         .groupBy("ts")
         .pivot("event_type", list(EVENT_TYPES))
         .agg(F.max("value"))
@@ -279,6 +280,14 @@ def lag_features(spark, sf_dir):
     )
 
 
+def lag_features_sparse(spark, sf_dir):
+    """Lags on observed hours only: a lag is a time, not a number of rows."""
+    observed = by_user(spark, sf_dir).where(F.col("value").isNotNull())
+    return rounded(
+        add_history_features(observed, value="value", ts="ts", series_keys=["user_id"], rolling=())
+    )
+
+
 def rolling_features(spark, sf_dir):
     filled = interpolate(by_type(spark, sf_dir), "value", ts="ts", limit=3, series_keys=["event_type"])
     return rounded(
@@ -447,7 +456,7 @@ def naive_evaluation(spark, sf_dir):
     return rounded(
         N.evaluate_seasonal_naive(
             S.add_split(by_type(spark, sf_dir), split_label()), value="value", ts="ts",
-            series_keys=["event_type"],
+            series_keys=["event_type"], strict=False,
         )
     )
 
@@ -837,6 +846,6 @@ QUERIES: dict[str, Query] = {
         horizon_comparison, best_and_worst_horizon, horizon_statement, coverage_by_horizon, baseline_report,
         baseline_interpretation, last_n, last_n_overall, position_to_timestamp,
         resolution_minutes, points_to_hourly, redact_url, text_to_number, json_hour_map,
-        xml_points, quantile_boost, seasonal_arma,
+        lag_features_sparse, xml_points, quantile_boost, seasonal_arma,
     )
 }

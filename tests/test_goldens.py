@@ -13,18 +13,76 @@ from tidegrid.operators.fill import drop_incomplete
 from tidegrid.operators.features import add_history_features
 from tidegrid.plans import modeling as ML
 
-# Start and length in hours of every run of missing load values in 2024,
-# and the one hour without a row.
-NULL_RUNS = """
-02-13 13 1, 02-17 22 2, 02-18 04 1, 02-18 08 1, 02-18 14 2, 02-19 02 1, 02-22 12 1, 02-23 01 1,
-02-27 15 1, 03-01 10 1, 03-04 01 1, 03-04 06 1, 03-05 22 1, 03-06 09 1, 03-06 15 1, 03-06 20 1,
-03-08 00 1, 03-10 00 1, 03-10 18 1, 03-11 10 1, 03-12 14 1, 03-12 22 1, 03-14 13 2, 03-15 18 2,
-03-15 21 1, 03-16 08 1, 03-20 14 3, 03-25 12 1, 03-25 18 1, 03-26 20 1, 03-28 10 1, 03-28 18 1,
-03-29 20 1, 04-04 04 1, 04-06 18 2, 04-07 17 1, 04-09 16 1, 04-10 16 1, 04-11 03 1, 04-11 10 1,
-04-11 23 1, 04-12 18 1, 04-13 21 1, 04-14 18 1, 04-14 20 1, 04-15 10 1, 04-15 19 1, 04-15 21 1,
-04-16 18 3, 04-18 16 1, 04-18 21 1, 04-20 05 1, 04-20 12 1, 09-20 09 1, 10-15 14 1, 10-26 23 2,
-11-20 05 1
-"""
+# The hours of missing load values in 2024 in their published order, and the one hour without a row.
+NULL_HOURS = (
+    "2024-02-13 13:00",
+    "2024-02-17 22:00",
+    "2024-02-17 23:00",
+    "2024-02-18 04:00",
+    "2024-02-18 08:00",
+    "2024-02-18 14:00",
+    "2024-02-18 15:00",
+    "2024-02-19 02:00",
+    "2024-02-22 12:00",
+    "2024-02-23 01:00",
+    "2024-02-27 15:00",
+    "2024-03-01 10:00",
+    "2024-03-04 01:00",
+    "2024-03-04 06:00",
+    "2024-03-05 22:00",
+    "2024-03-06 09:00",
+    "2024-03-06 15:00",
+    "2024-03-06 20:00",
+    "2024-03-08 00:00",
+    "2024-03-10 00:00",
+    "2024-03-10 18:00",
+    "2024-03-11 10:00",
+    "2024-03-12 14:00",
+    "2024-03-12 22:00",
+    "2024-03-14 13:00",
+    "2024-03-14 14:00",
+    "2024-03-15 18:00",
+    "2024-03-15 19:00",
+    "2024-03-15 21:00",
+    "2024-03-16 08:00",
+    "2024-03-20 14:00",
+    "2024-03-20 15:00",
+    "2024-03-20 16:00",
+    "2024-03-25 12:00",
+    "2024-03-25 18:00",
+    "2024-03-26 20:00",
+    "2024-03-28 10:00",
+    "2024-03-28 18:00",
+    "2024-03-29 20:00",
+    "2024-04-04 04:00",
+    "2024-04-06 18:00",
+    "2024-04-06 19:00",
+    "2024-04-07 17:00",
+    "2024-04-09 16:00",
+    "2024-04-10 16:00",
+    "2024-04-11 03:00",
+    "2024-04-11 10:00",
+    "2024-04-11 23:00",
+    "2024-04-12 18:00",
+    "2024-04-13 21:00",
+    "2024-04-14 18:00",
+    "2024-04-14 20:00",
+    "2024-04-15 10:00",
+    "2024-04-15 19:00",
+    "2024-04-15 21:00",
+    "2024-04-16 18:00",
+    "2024-04-16 19:00",
+    "2024-04-16 20:00",
+    "2024-04-18 16:00",
+    "2024-04-18 21:00",
+    "2024-04-20 05:00",
+    "2024-04-20 12:00",
+    "2024-09-20 09:00",
+    "2024-10-15 14:00",
+    "2024-10-26 23:00",
+    "2024-10-27 00:00",
+    "2024-11-20 05:00",
+)
 MISSING_HOUR = dt.datetime(2024, 12, 31, 23)
 START, END = "2024-01-01 00:00:00", "2024-12-31 23:00:00"
 TRAIN_END, VALIDATION_START = "2024-09-30 23:00:00", "2024-10-01 00:00:00"
@@ -36,12 +94,7 @@ def at(text):
 
 
 def null_hours():
-    hours = set()
-    for run in NULL_RUNS.replace("\n", " ").split(","):
-        day, hour, length = run.split()
-        first = dt.datetime.strptime(f"2024-{day} {hour}", "%Y-%m-%d %H")
-        hours |= {first + dt.timedelta(hours=i) for i in range(int(length))}
-    return hours
+    return {dt.datetime.strptime(h, "%Y-%m-%d %H:%M") for h in NULL_HOURS}
 
 
 @pytest.fixture(scope="module")

@@ -46,12 +46,12 @@ def long_lags(order: Sequence[int], seasonal_order: Sequence[int]) -> list[int]:
 
 def _stationary(df: DataFrame, value: str, d: int, keys: Sequence[str]) -> DataFrame:
     y = F.col(value)
-    z = y - F.lag(y, 1).over(C.chunk_window(keys)) if d else y
+    z = y - C.at_step(y, -1, C.chunk_window(keys)) if d else y
     return df.withColumn("_z", z)
 
 
 def _lagged(column: str, lags: Sequence[int], stem: str, keys: Sequence[str]) -> dict[str, Column]:
-    return {f"{stem}{k}": F.lag(column, k).over(C.chunk_window(keys)) for k in lags}
+    return {f"{stem}{k}": C.at_step(column, -k, C.chunk_window(keys)) for k in lags}
 
 
 def fit_seasonal_arma(
@@ -108,10 +108,12 @@ def forecast_seasonal_arma(
     series_keys: Sequence[str] = (),
     step: str = "1 hour",
 ) -> DataFrame:
-    """Recursive forecast of ``steps`` steps after the last row of each series.
+    """Recursive forecast up to ``steps`` steps after the last row of all series.
 
-    The state holds as many recent values as the longest lag. A gap in it counts
-    as the recent mean, a missing residual as zero.
+    Every series runs from its own last row to that common end. The state holds as
+    many recent values as the longest lag. A gap in it counts as the recent mean, a
+    missing residual as zero. With a difference, the path starts from the last known
+    value of the series, however long ago; a fitted series without one fails the job.
     """
     keys, d = list(series_keys), order[1]
     ar, ma = arma_lags(order, seasonal_order)
@@ -119,24 +121,29 @@ def forecast_seasonal_arma(
     data_type = C.time_type(residuals, ts)
     newest = Window.partitionBy(*keys).orderBy(F.col(ts).desc())
     recent = residuals.withColumn("_age", F.row_number().over(newest)).where(F.col("_age") <= memory)
-    level = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(ts)))
+    known = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(ts)))
+    last = residuals.groupBy(*keys).agg(
+        known.cast("double").alias("_level"), F.max(C.grid_position(F.col(ts), step)).alias("_origin")
+    )
+    end = residuals.agg(F.max(C.grid_position(F.col(ts), step)) + steps).scalar()
     state = recent.groupBy(*keys).agg(
-        F.max(C.grid_position(F.col(ts), step)).alias("_origin"),
         F.coalesce(F.avg("_z"), F.lit(0.0)).alias("_mean"),
-        level.alias("_level"),
         F.sort_array(F.collect_list(F.struct(ts, "_z", "_e"))).alias("_rows"),
     )
     ready = fits.select(*keys, "coefficients")
-    joined = (
-        state.join(ready, keys) if keys
-        else state.withColumn("coefficients", ready.scalar()).where(F.col("coefficients").isNotNull())
-    )
+    if keys:
+        joined = state.join(last, keys).join(ready, keys)
+    else:
+        joined = C.salted_lookup(state, last, [], salt_on=[]).withColumn("coefficients", ready.scalar())
+        joined = joined.where(F.col("coefficients").isNotNull())
+    no_level = F.raise_error(F.lit("a differenced series has no known value to start from")).cast("double")
+    joined = joined.withColumn("_steps", (end - F.col("_origin")).cast("int"))
     z0 = F.transform("_rows", lambda r: F.coalesce(r["_z"], F.col("_mean")))
     e0 = F.transform("_rows", lambda r: F.coalesce(r["_e"], F.lit(0.0)))
     initial = F.struct(
         z0.alias("z"),
         e0.alias("e"),
-        F.coalesce(F.col("_level"), F.lit(0.0)).alias("level"),
+        (F.coalesce(F.col("_level"), no_level) if d else F.lit(0.0)).alias("level"),
         F.array().cast("array<double>").alias("out"),
     )
     b = F.col("coefficients")
@@ -156,7 +163,7 @@ def forecast_seasonal_arma(
             F.concat(s["out"], F.array(level)).alias("out"),
         )
 
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), initial, advance, lambda s: s["out"])
+    path = F.aggregate(F.sequence(F.lit(1), F.col("_steps")), initial, advance, lambda s: s["out"])
     return joined.select(*keys, "_origin", F.posexplode(path).alias("_i", "forecast")).select(
         *keys,
         C.slot_start(F.col("_origin") + F.col("_i") + 1, step, data_type).alias(ts),
@@ -171,7 +178,7 @@ def _run(train: DataFrame, scored: DataFrame, spec: Mapping[str, object], common
     fits = cut_lineage(fits)
     forecasts = forecast_seasonal_arma(fits, residuals, steps=steps, **options)
     keys = list(common["series_keys"])
-    joined = scored.join(forecasts, [*keys, common["ts"]]).withColumn(
+    joined = scored.join(forecasts, [*keys, common["ts"]], "left").withColumn(
         "model_name", F.lit(spec["name"])
     )
     return fits, joined
@@ -189,30 +196,34 @@ def search_orders(
 ) -> tuple[Mapping[str, object], DataFrame]:
     """Fit each candidate on train, score validation, keep the lowest RMSE (first wins ties).
 
-    A candidate that fails is recorded with its error; all failing is an error.
+    Candidates that leave fewer known rows without a forecast come first; their number is
+    reported. A candidate that fails is recorded with its error; all failing is an error.
     """
     common = {"value": value, "ts": ts, "series_keys": tuple(series_keys), "step": step}
     table = cut_lineage(df.select(*series_keys, ts, value, "split"))
     train = table.where(F.col("split") == "train")
     validation = table.where(F.col("split") == "validation").drop("split")
-    results, best, best_rmse = [], None, math.inf
+    results, best, best_rank = [], None, (math.inf, math.inf)
     for spec in candidates:
         try:
             fits, joined = _run(train, validation, spec, common, steps)
             metrics = point_metrics(joined, actual=value, forecast="forecast").first()
+            lost = F.col(value).isNotNull() & F.col("forecast").isNull()
+            unforecast = joined.where(lost).count()
             aic = fits.agg(F.sum("aic")).first()[0]
             if metrics["rmse"] is None or aic is None:
                 raise ValueError("no series could be fitted")
         except (PySparkException, ValueError) as error:
-            results.append((spec["name"], None, None, None, str(error).split("\n")[0]))
+            results.append((spec["name"], None, None, None, None, str(error).split("\n")[0]))
             continue
-        results.append((spec["name"], metrics["mae"], metrics["rmse"], aic, None))
-        if metrics["rmse"] < best_rmse:
-            best, best_rmse = spec, metrics["rmse"]
+        results.append((spec["name"], metrics["mae"], metrics["rmse"], aic, unforecast, None))
+        if (unforecast, metrics["rmse"]) < best_rank:
+            best, best_rank = spec, (unforecast, metrics["rmse"])
     if best is None:
         raise RuntimeError(f"no seasonal ARMA candidate could be fitted: {results}")
     summary = df.sparkSession.createDataFrame(
-        results, "model_name string, mae double, rmse double, aic double, error string"
+        results,
+        "model_name string, mae double, rmse double, aic double, unforecast_rows bigint, error string",
     )
     return best, summary
 
@@ -227,7 +238,10 @@ def refit_and_score_test(
     series_keys: Sequence[str] = (),
     step: str = "1 hour",
 ) -> DataFrame:
-    """Refit on train and validation, forecast the test span; actuals may be missing."""
+    """Refit on train and validation, forecast the test span; actuals may be missing.
+
+    Every test row stays; rows of a series that could not be fitted have no forecast.
+    """
     common = {"value": value, "ts": ts, "series_keys": tuple(series_keys), "step": step}
     test = df.where(F.col("split") == "test").select(*series_keys, ts, value)
     return _run(before_test(df), test, spec, common, steps)[1]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators import chunks as C
-from tidegrid.operators.metrics import point_metrics
+from tidegrid.operators.metrics import scored_metrics
 from tidegrid.operators.splits import RollingOrigin
 
 # One week of hours, and the name under which results are reported.
@@ -68,12 +68,12 @@ def evaluate_seasonal_naive(
     step: str = "1 hour",
     season: int = WEEK_STEPS,
     mode: str = "rows",
-    strict: bool = False,
+    strict: bool = True,
 ) -> DataFrame:
     """MAE and RMSE per scored split; history runs through all earlier splits.
 
-    ``strict=True`` makes a scored row without history an error, else it is left
-    out of the mean.
+    A scored row without history is an error; with ``strict=False`` it is left out
+    of the means and counted as ``unscored_count``.
     """
     known = df.where(F.col(value).isNotNull())
     forecasts = seasonal_naive(
@@ -81,10 +81,8 @@ def evaluate_seasonal_naive(
     )
     if strict:
         forecasts = require_history(forecasts)
-    scored = forecasts.where(F.col("split").isin("validation", "test") & F.col("forecast").isNotNull())
-    return point_metrics(scored, actual=value, forecast="forecast", by=["split"]).withColumn(
-        "model_name", F.lit(MODEL_NAME)
-    )
+    scored = forecasts.where(F.col("split").isin("validation", "test"))
+    return scored_metrics(scored, actual=value, by=["split"]).withColumn("model_name", F.lit(MODEL_NAME))
 
 
 def walk_forward_naive(

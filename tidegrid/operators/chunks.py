@@ -103,6 +103,15 @@ def chunk_window(series_keys: Sequence[str] = (), *, descending: bool = False) -
     return Window.partitionBy(*series_keys, CHUNK).orderBy(order)
 
 
+def at_step(value: Column | str, steps: int, window: WindowSpec) -> Column:
+    """The value exactly ``steps`` grid steps ahead (behind if negative); NULL where that row is absent.
+
+    The frame is a range of positions, so absent rows and rows with NULL give the same, and
+    nothing depends on where chunks begin.
+    """
+    return F.max(value).over(window.rangeBetween(steps, steps))
+
+
 def drop_halo(df: DataFrame) -> DataFrame:
     """Keep one copy of each row and remove the helper columns."""
     return df.where(F.col(HOME)).drop(POSITION, CHUNK, HOME)

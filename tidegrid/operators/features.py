@@ -25,13 +25,14 @@ def history_columns(
 ) -> dict[str, Column]:
     """Lag, trailing mean and trailing sample deviation columns over one window order.
 
-    A trailing statistic is NULL unless its whole frame is present.
+    Frames are ranges of positions: steps without a row count as missing. A trailing
+    statistic is NULL unless its whole frame is present.
     """
     y = F.col(value)
-    columns = {f"{prefix}_lag_{k}": F.lag(y, k).over(window) for k in lags}
+    columns = {f"{prefix}_lag_{k}": C.at_step(y, -k, window) for k in lags}
     shift = 1 if exclude_current else 0
     for n in rolling:
-        frame = window.rowsBetween(1 - n - shift, -shift)
+        frame = window.rangeBetween(1 - n - shift, -shift)
         complete = F.count(y).over(frame) >= n
         columns[f"{prefix}_rollmean_{n}"] = F.when(complete, F.avg(y).over(frame))
         columns[f"{prefix}_rollstd_{n}"] = F.when(complete, F.stddev_samp(y).over(frame))
@@ -55,7 +56,7 @@ def add_history_features(
     exclude_current: bool = False,
     rows: int | None = None,
 ) -> DataFrame:
-    """All lags and trailing statistics of a complete grid in one shuffle and one sort.
+    """All lags and trailing statistics in one shuffle and one sort; steps may be absent.
 
     With ``exclude_current=True`` trailing frames end one step earlier.
     """

@@ -20,9 +20,9 @@ def target_columns(
     """Future value, its time and its availability for each horizon, over one window order."""
     columns = {}
     for label, h in horizons.items():
-        ahead = F.lead(value, h).over(window)
+        ahead = C.at_step(value, h, window)
         columns[f"{prefix}_target_{label}"] = ahead
-        columns[f"target_timestamp_{label}"] = F.lead(ts, h).over(window)
+        columns[f"target_timestamp_{label}"] = C.at_step(ts, h, window)
         columns[f"target_available_{label}"] = available_flag(ahead)
     return columns
 
@@ -38,7 +38,7 @@ def add_horizon_targets(
     horizons: Mapping[str, int] = HORIZONS,
     rows: int | None = None,
 ) -> DataFrame:
-    """Targets of all horizons on a complete grid, in one pass."""
+    """Targets of all horizons in one pass; a target whose row is absent is missing."""
     C.time_type(df, ts)
     chunked = C.add_chunks(
         df, C.grid_position(F.col(ts), step), ahead=max(horizons.values()), rows=rows

@@ -57,6 +57,19 @@ def metric_table(
     )
 
 
+def scored_metrics(
+    df: DataFrame, *, actual: str, forecast: str = "forecast", by: Sequence[str] = ()
+) -> DataFrame:
+    """MAE and RMSE over known rows with a forecast; known rows without one are ``unscored_count``."""
+    a, f = F.col(actual), F.col(forecast)
+    return df.where(a.isNotNull()).groupBy(*by).agg(
+        F.count(f).alias("row_count"),
+        F.count(F.when(f.isNull(), F.lit(1))).alias("unscored_count"),
+        E.mae(a, f).alias("mae"),
+        E.rmse(a, f).alias("rmse"),
+    )
+
+
 def interval_coverage_by_level(
     df: DataFrame, *, actual: str, intervals: Mapping[int, tuple[str, str]], by: Sequence[str] = ()
 ) -> DataFrame:

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def listed(label: str, names: Sequence[str]) -> Column:
+    """The label column; a label outside ``names`` fails the job instead of being left out of a pivot."""
+    unknown = F.raise_error(F.concat(F.lit(f"{label} is not in the list: "), F.col(label).cast("string")))
+    return F.when(F.col(label).isNull() | F.col(label).isin(*names), F.col(label)).otherwise(unknown.cast("string"))
+
+
 def pivot_models(
     metrics: DataFrame,
     models: Sequence[str],
@@ -16,12 +22,15 @@ def pivot_models(
     model: str = "model",
     value: str = "rmse",
 ) -> DataFrame:
-    """One column per model, in alphabetical order; a repeated (row, model) pair fails the job."""
+    """One column per model, in alphabetical order.
+
+    A repeated (row, model) pair fails the job, and so does a model outside ``models``.
+    """
     count = F.count(F.lit(1))
     single = F.when(count == 1, F.max(value)).otherwise(
         F.raise_error(F.lit("duplicate entries for one row and model")).cast("double")
     )
-    unique = metrics.groupBy(row, model).agg(single.alias(value))
+    unique = metrics.withColumn(model, listed(model, models)).groupBy(row, model).agg(single.alias(value))
     return unique.groupBy(row).pivot(model, sorted(models)).agg(F.max(value))
 
 

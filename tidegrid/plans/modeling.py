@@ -137,7 +137,7 @@ def build_supervised_table(
     exclude_current: bool = False,
     rows: int | None = None,
 ) -> DataFrame:
-    """History features and all horizon targets of a complete grid, sharing one shuffle and sort."""
+    """History features and all horizon targets, sharing one shuffle and sort; steps may be absent."""
     C.time_type(series, ts)
     chunked = C.add_chunks(
         series,

@@ -296,10 +296,13 @@ def horizon_statement(report: DataFrame) -> DataFrame:
 def model_horizon_rmse(summaries: DataFrame) -> DataFrame:
     """RMSE per model and horizon from summaries ``(model, payload)`` of any known shape.
 
-    A horizon entry without a label or without any error value fails the job.
+    A document without horizons, and a horizon entry without a label or without any
+    error value, fails the job.
     """
+    horizons = F.try_variant_get("payload", "$.horizons", "array<variant>")
+    absent = F.raise_error(F.concat(F.lit("no horizons in the summary of "), F.col("model")))
     entries = summaries.select(
-        "model", F.explode(F.try_variant_get("payload", "$.horizons", "array<variant>")).alias("entry")
+        "model", F.explode(F.when(horizons.isNull(), absent.cast("array<variant>")).otherwise(horizons)).alias("entry")
     )
     entry = F.col("entry")
     return entries.select(

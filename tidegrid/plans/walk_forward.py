@@ -8,23 +8,20 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.operators.metrics import point_metrics
+from tidegrid.operators.metrics import scored_metrics
 from tidegrid.operators.splits import RollingOrigin
 
 
 def fold_metrics(
     forecasts: DataFrame, *, actual: str, forecast: str = "forecast", by: Sequence[str] = ()
 ) -> DataFrame:
-    """MAE and RMSE per fold; rows without a forecast do not count."""
-    return point_metrics(
-        forecasts.where(F.col(forecast).isNotNull()), actual=actual, forecast=forecast,
-        by=[*by, "fold"],
-    )
+    """MAE and RMSE per fold; rows without a forecast are counted as ``unscored_count``."""
+    return scored_metrics(forecasts, actual=actual, forecast=forecast, by=[*by, "fold"])
 
 
 def summarise_folds(per_fold: DataFrame, metrics: Sequence[str] = ("mae", "rmse"), by: Sequence[str] = ()) -> DataFrame:
-    """Number of folds with the mean and sample deviation of each metric."""
-    columns = [F.count(F.lit(1)).alias("folds")]
+    """Number of folds with the mean and sample deviation of each metric, and all unscored rows."""
+    columns = [F.count(F.lit(1)).alias("folds"), F.sum("unscored_count").alias("unscored_count")]
     for m in metrics:
         columns += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std")]
     return per_fold.groupBy(*by).agg(*columns)

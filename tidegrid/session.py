@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +41,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
+    elif context.master == "local" or context.master.startswith("local["):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidegrid-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
@@ -48,3 +51,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably; a lost executor then reads it back instead of recomputing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once per application, for functions that run there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tidegrid-package-")), f"{root.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
+def in_utc(spark: SparkSession) -> SparkSession:
+    """The session itself if it counts time in UTC, else one with the same settings that does."""
+    zone = "spark.sql.session.timeZone"
+    if spark.conf.get(zone).upper() in ("UTC", "ETC/UTC", "GMT", "Z", "+00:00"):
+        return spark
+    other = spark.newSession()
+    for key, setting in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and other.conf.isModifiable(key):
+            other.conf.set(key, setting)
+    other.conf.set(zone, "UTC")
+    return other

@@ -30,16 +30,17 @@ CALENDAR_FEATURES = (
     "sin_month",
     "cos_month",
 )
-HISTORY_FEATURES = (
+MODEL_FEATURES = (
+    *CALENDAR_FEATURES,
     "load_lag_1",
     "load_lag_24",
     "load_lag_48",
     "load_lag_168",
     "load_rollmean_24",
     "load_rollstd_24",
+    "wind_onshore_mw",
+    "wind_missing_flag_postfill",
 )
-WIND_FEATURES = ("wind_onshore_mw", "wind_missing_flag_postfill")
-MODEL_FEATURES = CALENDAR_FEATURES + HISTORY_FEATURES + WIND_FEATURES
 
 # Candidate settings of the boosted quantile model.
 BOOST_CANDIDATES = (

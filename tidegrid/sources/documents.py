@@ -14,17 +14,6 @@ from pyspark.sql import functions as F
 from tidegrid.functions.scalars import ensure_columns, parse_hour_key
 from tidegrid.sources.constants import WEATHER_VARIABLES
 
-SERIES_XML_SCHEMA = """
-    TimeSeries array<struct<
-        businessType string,
-        psrType array<string>,
-        MktPSRType array<struct<psrType array<string>>>,
-        Period array<struct<
-            timeInterval struct<start string>,
-            resolution string,
-            Point array<struct<position int, quantity double>>>>>>
-"""
-
 HOUR_JSON_SCHEMA = "properties struct<parameter map<string, map<string, double>>>"
 
 
@@ -34,54 +23,76 @@ def read_documents(spark: SparkSession, path: str | list[str], glob: str | None
     return text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
+def _plain_tags(content: Column) -> Column:
+    """XML text without comments, attributes and namespace prefixes."""
+    bare = F.regexp_replace(content, r"(?s)<!--.*?-->", "")
+    return F.regexp_replace(bare, r"<(/?)(?:[\w.-]+:)?([\w.-]+)(?:\s[^<>]*?)?(/?)>", "<$1$2$3>")
+
+
+def _elements(text: Column, name: str) -> Column:
+    """All elements of a name at any depth, in document order, as texts; they must not nest in themselves."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)<{name}>.*?</{name}>|<{name}/>"), F.lit(0))
+
+
 def parse_series_xml(
     documents: DataFrame, *, content: str = "content", dataset_name: str | Column | None = None,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per point of a time-series document, with series and period attributes repeated.
 
-    ``series_index`` is 1-based in document order. The label is the last
-    ``psrType`` of the series, NULL without one. Namespaces are ignored, absent
-    positions and quantities are NULL, and a malformed document fails the job.
+    Series, periods, points and labels are found at any depth. ``series_index`` is 1-based
+    in document order; the label is the last ``psrType`` inside the series, NULL without
+    one. Namespaces are ignored, absent positions and quantities are NULL. A malformed
+    document fails the job, and so does one with a ``Point`` outside of a series' period.
     """
-    options = {"ignoreNamespace": "true", "excludeAttribute": "true", "mode": "FAILFAST"}
+    strict = {"mode": "FAILFAST"}
     name = dataset_name if isinstance(dataset_name, Column) else F.lit(dataset_name).cast("string")
-    parsed = documents.select(
-        *carry,
-        name.alias("dataset_name"),
-        F.from_xml(F.col(content), SERIES_XML_SCHEMA, options).alias("doc"),
+    whole = {"ignoreNamespace": "true", "excludeAttribute": "true", **strict}
+    tags = documents.where(F.from_xml(F.col(content), "_none string", whole).isNotNull()).select(
+        *carry, name.alias("dataset_name"), _plain_tags(F.col(content)).alias("tags")
+    )
+    nested = F.transform(
+        _elements(F.col("tags"), "TimeSeries"), lambda s: F.struct(s.alias("series"), F.transform(
+            _elements(s, "Period"), lambda p: F.struct(p.alias("period"), _elements(p, "Point").alias("points"))
+        ).alias("periods"))
+    )
+    found = F.aggregate(
+        "nested", F.lit(0), lambda n, s: n + F.aggregate(s["periods"], F.lit(0), lambda m, p: m + F.size(p["points"]))
+    )
+    lost = F.raise_error(F.lit("a Point stands outside of a series' period")).cast("int")
+    checked = tags.withColumn("nested", nested).where(
+        F.when(found == F.regexp_count("tags", F.lit("<Point/?>")), F.lit(1)).otherwise(lost) == 1
     )
-    series = parsed.select(*carry, "dataset_name", F.posexplode("doc.TimeSeries").alias("pos", "s"))
-    nested = F.flatten(F.transform("s.MktPSRType", lambda m: m["psrType"]))
-    labels = F.concat(
-        F.coalesce("s.psrType", F.array().cast("array<string>")),
-        F.coalesce(nested, F.array().cast("array<string>")),
+    series = checked.select(*carry, "dataset_name", F.posexplode("nested").alias("pos", "s"))
+    labels = F.transform(
+        F.regexp_extract_all(F.col("s.series"), F.lit("<psrType>([^<]*)</psrType>|<psrType/>"), F.lit(1)), lambda x: F.trim(x)
     )
-    periods = series.select(
+    rows = series.select(
         *carry,
         "dataset_name",
         (F.col("pos") + 1).alias("series_index"),
-        F.col("s.businessType").alias("business_type"),
-        F.try_element_at(labels, F.lit(-1)).alias("psr_type"),
-        F.explode("s.Period").alias("p"),
+        F.from_xml(F.col("s.series"), "businessType string", strict)["businessType"].alias("business_type"),
+        F.nullif(F.try_element_at(labels, F.lit(-1)), F.lit("")).alias("psr_type"),
+        F.explode("s.periods").alias("p"),
     )
-    return periods.select(
+    head = F.from_xml(F.regexp_replace("p.period", "(?s)<Point>.*?</Point>|<Point/>", ""), "timeInterval struct<start string>, resolution string", strict)
+    points = rows.select(
         *carry,
         "dataset_name",
         "series_index",
         "business_type",
         "psr_type",
-        F.col("p.timeInterval.start").alias("period_start"),
-        F.col("p.resolution").alias("resolution"),
-        F.explode("p.Point").alias("point"),
-    ).select(
+        head.alias("head"),
+        F.explode("p.points").alias("point"),
+    ).withColumn("point", F.from_xml("point", "position int, quantity double", strict))
+    return points.select(
         *carry,
         "dataset_name",
         "series_index",
         "business_type",
         "psr_type",
-        "period_start",
-        "resolution",
+        F.col("head.timeInterval.start").alias("period_start"),
+        F.col("head.resolution").alias("resolution"),
         F.col("point.position").alias("position"),
         F.col("point.quantity").alias("quantity"),
     )

@@ -43,8 +43,8 @@ def read_table(
         df = reader.parquet(path)
     else:
         raise ValueError(f"unknown table format: {format}")
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    if format == "csv" and floats:
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    if floats:
         df = df.withColumns({c: nan_to_null(F.col(c)) for c in floats})
     return require_rows(df, path) if required else df
 
