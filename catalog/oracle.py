@@ -444,6 +444,12 @@ ORACLE: dict[str, str] = {
         hrs AS (SELECT k.ts FROM known k JOIN first_type f ON f.d = k.d AND f.event_type = k.event_type)
         SELECT strftime(h.ts, '%Y%m%d%H') AS hour_key, {', '.join(r(f"max(k.value) FILTER (k.event_type = '{t}')", t) for t in TYPES)}, h.ts
         FROM hrs h LEFT JOIN known k ON k.ts = h.ts GROUP BY h.ts""",
+    "least_squares_fit": f"""WITH e AS (SELECT event_type, value AS y, hour(ts)::DOUBLE AS x, user_id::DOUBLE AS z FROM events
+            WHERE value IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL),
+        m AS (SELECT event_type, count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS xx, var_pop(z) AS zz, var_pop(y) AS yy,
+            covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM e GROUP BY 1),
+        b AS (SELECT *, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b1, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS b2 FROM m)
+        SELECT event_type, n, {r('my - b1 * mx - b2 * mz', 'b0')}, {r('b1', 'b1')}, {r('b2', 'b2')}, {r('n * (yy - b1 * xy - b2 * zy)', 'rss')} FROM b""",
     "xml_points": """WITH h AS (SELECT event_type, date_trunc('hour', ts) AS ts, count(*) AS n FROM events GROUP BY ALL)
         SELECT 'events' AS dataset_name, dense_rank() OVER (PARTITION BY date_trunc('day', ts) ORDER BY event_type)::INTEGER AS series_index,
             'A01' AS business_type, event_type AS psr_type, 'PT60M' AS resolution, (hour(ts) + 1)::INTEGER AS position,

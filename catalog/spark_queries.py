@@ -21,6 +21,7 @@ from tidegrid.operators import audit as AU
 from tidegrid.operators import grid as G
 from tidegrid.operators import horizons as H
 from tidegrid.operators import metrics as M
+from tidegrid.models.least_squares import fit_least_squares
 from tidegrid.operators import ranking as R
 from tidegrid.operators import splits as S
 from tidegrid.operators.chunks import add_row_number
@@ -793,6 +794,16 @@ def xml_points(spark, sf_dir):
     )
 
 
+def least_squares_fit(spark, sf_dir):
+    """Value on hour of day and user number, per event type."""
+    rows = table(spark, sf_dir, "events").select(
+        "event_type", "value", F.hour("ts").cast("double").alias("x1"), F.col("user_id").cast("double").alias("x2")
+    )
+    fitted = fit_least_squares(rows, y="value", x=["x1", "x2"], keys=["event_type"])
+    b = F.col("coefficients")
+    return rounded(fitted.select("event_type", "n", b[0].alias("b0"), b[1].alias("b1"), b[2].alias("b2"), "rss"))
+
+
 SMALL_BOOST = (
     {"name": "small", "n_estimators": 3, "learning_rate": 0.3, "max_depth": 3,
      "min_samples_leaf": 10, "subsample": 1.0},
@@ -846,6 +857,6 @@ QUERIES: dict[str, Query] = {
         horizon_comparison, best_and_worst_horizon, horizon_statement, coverage_by_horizon, baseline_report,
         baseline_interpretation, last_n, last_n_overall, position_to_timestamp,
         resolution_minutes, points_to_hourly, redact_url, text_to_number, json_hour_map,
-        lag_features_sparse, xml_points, quantile_boost, seasonal_arma,
+        least_squares_fit, lag_features_sparse, xml_points, quantile_boost, seasonal_arma,
     )
 }
