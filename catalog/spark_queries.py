@@ -830,6 +830,31 @@ def quantile_boost(spark, sf_dir):
     )
 
 
+def boost_horizon_report(spark, sf_dir):
+    """All horizons: candidates searched, intervals calibrated on validation, both splits reported side by side."""
+    filled = interpolate(by_type(spark, sf_dir), "value", ts="ts", limit=3, series_keys=["event_type"])
+    featured = ML.build_supervised_table(
+        add_calendar_features(filled, "ts"), value="value", prefix="load", ts="ts",
+        series_keys=["event_type"], lags=(1, 24),
+    )
+    history = ("load_lag_1", "load_lag_24", "load_rollmean_24", "load_rollstd_24")
+    predictions, _ = Q.score_horizons(
+        S.add_split(featured, split_label()),
+        horizons=H.HORIZONS,
+        features=CALENDAR_FEATURES + history,
+        keep=["event_type", "ts"],
+        impute=["load_rollstd_24"],
+        candidates=SMALL_BOOST[:1],
+    )
+    calibrated = conformal_calibrate(
+        predictions, actual="actual_target_mw", keys=["horizon"], salt_on=["ts"]
+    ).withColumns({"pred_q10": F.col("calibrated_lower"), "pred_q90": F.col("calibrated_upper")})
+    by = ("horizon", "lead_steps", "model_name")
+    raw = RP.horizon_report(predictions, actual="actual_target_mw", by=by)
+    after = RP.horizon_report(calibrated, actual="actual_target_mw", by=by)
+    return raw.join(after.select(*by, F.col("test_coverage_80").alias("calibrated_coverage_80")), list(by))
+
+
 def seasonal_arma(spark, sf_dir):
     """Order search on validation, then forecasts of the test span, per event type."""
     series = S.add_split(by_type(spark, sf_dir), split_label())
@@ -857,6 +882,6 @@ QUERIES: dict[str, Query] = {
         horizon_comparison, best_and_worst_horizon, horizon_statement, coverage_by_horizon, baseline_report,
         baseline_interpretation, last_n, last_n_overall, position_to_timestamp,
         resolution_minutes, points_to_hourly, redact_url, text_to_number, json_hour_map,
-        least_squares_fit, lag_features_sparse, xml_points, quantile_boost, seasonal_arma,
+        least_squares_fit, lag_features_sparse, xml_points, quantile_boost, boost_horizon_report, seasonal_arma,
     )
 }

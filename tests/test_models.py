@@ -167,3 +167,31 @@ def test_train_horizons_runs_each_target(spark):
         candidates=[dict(SMALL, n_estimators=2)],
     )
     assert {r.horizon: r["count"] for r in out.groupBy("horizon").count().collect()} == {"t_plus_1": 80, "t_plus_24": 80}
+
+
+def test_boosted_horizons_reach_calibration_and_report(spark):
+    """Validation rows come from the train-only fit, test rows from the refit; both feed the report."""
+    from tidegrid.operators.conformal import conformal_calibrate
+    from tidegrid.plans.reports import horizon_report
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(600):
+        split = "train" if i < 360 else "validation" if i < 480 else "test"
+        a = float(rng.uniform())
+        rows.append((i, a, 3 * a + float(rng.normal()) / 5, 2 * a + float(rng.normal()) / 5, split))
+    df = spark.createDataFrame(rows, "i int, a double, load_target_near double, load_target_far double, split string")
+    config = {"name": "c", "n_estimators": 2, "learning_rate": 0.5, "max_depth": 2, "min_samples_leaf": 5, "subsample": 1.0}
+    predictions, table = Q.score_horizons(
+        df, horizons={"near": 1, "far": 24}, features=["a"], keep=["i"], candidates=[config]
+    )
+    counts = {(r.horizon, r.lead_steps, r.split): r["count"] for r in predictions.groupBy("horizon", "lead_steps", "split").count().collect()}
+    assert counts == {(h, n, s): 120 for h, n in (("near", 1), ("far", 24)) for s in ("validation", "test")}
+    assert {(r.horizon, r.selected) for r in table.collect()} == {("near", True), ("far", True)}
+    near = df.withColumnRenamed("load_target_near", "y")
+    alone = Q.fit_quantile_boost(near.where("split = 'train'"), target="y", features=["a"], alpha=0.5, config=config)
+    want = {r.i: r.q for r in Q.predict_quantiles(near.where("split = 'validation'"), {"q": alone}).collect()}
+    got = {r.i: r.pred_q50 for r in predictions.where("horizon = 'near' AND split = 'validation'").collect()}
+    assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()))
+    report = horizon_report(conformal_calibrate(predictions, actual="actual_target_mw", keys=["horizon"], salt_on=["i"]), actual="actual_target_mw")
+    assert sorted((r.horizon, r.lead_steps) for r in report.collect()) == [("far", 24), ("near", 1)]

@@ -13,7 +13,7 @@ from catalog.spark_queries import QUERIES  # noqa: E402
 from tests.compare import connect, differences  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
-MODELS = ("quantile_boost", "seasonal_arma")
+MODELS = ("quantile_boost", "boost_horizon_report", "seasonal_arma")
 #: Solves one small system per series in an Arrow batch.
 PYTHON = ("least_squares_fit",)
 NAMES = [n for n in QUERIES if n not in MODELS]

@@ -215,18 +215,10 @@ def prepare_features(
     return drop_incomplete(impute_train_median(df, impute), [*features, target])
 
 
-def search_candidates(
-    prepared: DataFrame,
-    *,
-    target: str,
-    features: Sequence[str],
-    candidates: Sequence[Mapping[str, object]] = BOOST_CANDIDATES,
-) -> tuple[Mapping[str, object], DataFrame]:
-    """Fit every candidate on train and score it on validation.
-
-    Returns the settings with the lowest median pinball loss (the first wins ties)
-    and the table of all validation metrics.
-    """
+def _search(
+    prepared: DataFrame, target: str, features: Sequence[str], candidates: Sequence[Mapping[str, object]]
+) -> tuple[int, DataFrame, dict[str, QuantileBoostModel]]:
+    """Number of the best candidate, all validation metrics, and its models as fitted on train."""
     train = prepared.where(F.col("split") == "train")
     validation = prepared.where(F.col("split") == "validation")
     tables = []
@@ -240,6 +232,22 @@ def search_candidates(
         )
     results = cut_lineage(reduce(DataFrame.unionByName, tables))
     best = results.agg(F.min_by("candidate", F.struct("pinball_q50", "candidate"))).first()[0]
+    return best, results, fitted[best]
+
+
+def search_candidates(
+    prepared: DataFrame,
+    *,
+    target: str,
+    features: Sequence[str],
+    candidates: Sequence[Mapping[str, object]] = BOOST_CANDIDATES,
+) -> tuple[Mapping[str, object], DataFrame]:
+    """Fit every candidate on train and score it on validation.
+
+    Returns the settings with the lowest median pinball loss (the first wins ties)
+    and the table of all validation metrics.
+    """
+    best, results, _ = _search(prepared, target, features, candidates)
     return candidates[best], results
 
 
@@ -290,3 +298,43 @@ def train_horizons(
             scored.withColumnRenamed(target, "actual_target_mw").withColumn("horizon", F.lit(label))
         )
     return reduce(DataFrame.unionByName, parts)
+
+
+def score_horizons(
+    df: DataFrame,
+    *,
+    horizons: Mapping[str, int],
+    features: Sequence[str],
+    keep: Sequence[str],
+    target_prefix: str = "load_target_",
+    impute: Sequence[str] = (),
+    candidates: Sequence[Mapping[str, object]] = BOOST_CANDIDATES,
+) -> tuple[DataFrame, DataFrame]:
+    """Validation and test predictions of every horizon (label to lead), and the candidate table.
+
+    Validation rows are predicted by the chosen candidate as fitted on train only, so
+    intervals can be calibrated on them; test rows by the refit on train and
+    validation. Both carry ``split``, ``horizon``, ``lead_steps`` and
+    ``actual_target_mw``, which the calibration and the horizon report take as they are.
+    """
+    targets = {label: f"{target_prefix}{label}" for label in horizons}
+    needed = dict.fromkeys([*keep, "split", *features, *targets.values()])
+    table = cut_lineage(df.select(*needed))
+    parts, tables = [], []
+    for label, target in targets.items():
+        prepared = prepare_features(table, target=target, features=features, impute=impute)
+        best, results, models = _search(prepared, target, features, candidates)
+        name = F.lit(candidates[best]["name"])
+        validation = predict_quantiles(prepared.where(F.col("split") == "validation"), models)
+        validation = validation.select(*keep, target, name.alias("model_name"), *models)
+        test = refit_and_score_test(
+            prepared, target=target, features=features, config=candidates[best], keep=keep
+        )
+        for split, rows in (("validation", validation), ("test", test)):
+            labelled = rows.withColumnRenamed(target, "actual_target_mw").withColumn("split", F.lit(split))
+            parts.append(
+                labelled.withColumns({"horizon": F.lit(label), "lead_steps": F.lit(horizons[label])})
+            )
+        chosen = F.col("candidate") == best
+        tables.append(results.withColumns({"horizon": F.lit(label), "selected": chosen}))
+    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, tables)
