@@ -47,9 +47,11 @@ def variants(seed, bases=6, each=14):
     return rows
 
 
-@pytest.mark.parametrize("block", [4, 512])
-def test_against_all_pairs(docs, monkeypatch, block):
+@pytest.mark.parametrize("block,grams", [(4, 1 << 19), (512, 1 << 19), (512, 20)])
+def test_against_all_pairs(docs, monkeypatch, block, grams):
+    """Also with far more blocks than classes, so that some are empty."""
     monkeypatch.setattr(J, "BLOCK_CLASSES", block)
+    monkeypatch.setattr(J, "BLOCK_GRAMS", grams)
     rows = variants(3)
     assert got(J.jaccard_links(docs(rows, "group"), recall=0.999999)) == expected(rows)
 

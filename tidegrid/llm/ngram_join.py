@@ -195,9 +195,9 @@ def _verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         sides = [[r for r in rows if r[1] == s] for s in (0, 1)]
-        same = not sides[1]
+        same = bool(rows) and rows[0][0][1] == rows[0][0][2]
         left, right = sides[0], sides[0] if same else sides[1]
-        if not left or (same and len(left) < 2):
+        if not left or not right:  # a block can be empty
             return
         (ls, lb), (rs, rb) = (([r[4] for r in x], np.array([r[3] for r in x], np.int64)) for x in (left, right))
         found = linked(ls, lb, rs, rb, threshold)
