@@ -273,12 +273,16 @@ def example_page(pick: random.Random) -> tuple[list[Node], list[int]]:
 
 def train(pages: DataFrame, *, sample: int = SAMPLE, examples: int = EXAMPLES, html_column: str = "html") -> TreeModel:
     """Fit on composed pages and on at most ``sample`` pages that state their own structure."""
-    chosen = pages.select("page_id", text_or_empty(pages, html_column).alias("html"))
-    chosen = chosen.where(F.lower("html").rlike("<(article|main)[\\s>]")).orderBy(F.xxhash64("page_id", "html"), "page_id").limit(sample)
+    html = text_or_empty(pages, html_column)
+    stated = pages.select("page_id", F.xxhash64(html).alias("mark"), html.alias("html")).where(F.lower("html").rlike("<(article|main)[\\s>]"))
+    # Ids are chosen first: with the pages themselves, every task would send ``sample`` of them.
+    chosen = stated.select("page_id", "mark").orderBy(F.xxhash64("page_id", "mark"), "page_id").limit(sample).distinct()
+    same_page = F.col("s.page_id").eqNullSafe(F.col("c.page_id")) & (F.col("s.mark") == F.col("c.mark"))
+    found = stated.alias("s").join(F.broadcast(chosen).alias("c"), same_page).select("s.mark", "html").dropDuplicates(["mark"])
     pick, labelled = random.Random(23), []
     for k in range(examples):
         labelled.append((*example_page(pick), k % 3 != 0))
-    for k, row in enumerate(sorted((r.html for r in chosen.select("html").collect()))):
+    for k, row in enumerate(sorted(r.html for r in found.collect())):
         nodes = parse(row)
         labels = own_labels(nodes)
         if labels is not None:
