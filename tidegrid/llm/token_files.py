@@ -54,6 +54,29 @@ _HEAD, _BLOCK_HEAD = struct.Struct("<4sIQI"), struct.Struct("<IHBH")
 # Blocks.
 
 
+def _cell(width: int) -> tuple[str, int]:
+    """The little-endian integer that holds ``width`` bits, and its bits."""
+    return ("<u2", 16) if width <= 16 else ("<u4", 32)
+
+
+def _pack_bits(values: np.ndarray, width: int) -> bytes:
+    kind, cell = _cell(width)
+    low = values.astype(kind)  # the cut-off high bits are exceptions
+    if width == cell:
+        return low.tobytes()
+    bits = np.unpackbits(low.view(np.uint8), bitorder="little").reshape(-1, cell)[:, :width]
+    return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
+
+
+def _unpack_bits(packed: np.ndarray, count: int, width: int) -> np.ndarray:
+    kind, cell = _cell(width)
+    if width == cell:
+        return packed.view(kind)
+    wide = np.zeros((count, cell), np.uint8)
+    wide[:, :width] = np.unpackbits(packed, count=count * width, bitorder="little").reshape(count, width)
+    return np.packbits(wide, bitorder="little").view(kind)
+
+
 def pack_block(ids: np.ndarray) -> bytes:
     low = int(ids.min())
     rest = (ids - np.uint32(low)).astype(np.uint32)
@@ -61,8 +84,7 @@ def pack_block(ids: np.ndarray) -> bytes:
     width = chosen.bit_length()
     high = (rest.astype(np.uint64) >> np.uint64(width)).astype(np.uint32)
     outliers = np.flatnonzero(high)
-    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    packed = np.packbits(bits.reshape(-1), bitorder="little").tobytes()
+    packed = _pack_bits(rest, width)
     tail = outliers.astype("<u2").tobytes() + high[outliers].astype("<u4").tobytes()
     return _BLOCK_HEAD.pack(low, len(ids), width, len(outliers)) + packed + tail
 
@@ -71,10 +93,7 @@ def unpack_block(data: memoryview) -> np.ndarray:
     low, count, width, exceptions = _BLOCK_HEAD.unpack_from(data)
     at = _BLOCK_HEAD.size
     size = -(-count * width // 8)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=count * width, bitorder="little").reshape(count, width)
-    wide = np.zeros((count, 32), np.uint8)
-    wide[:, :width] = bits
-    ids = np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1).astype(np.uint64)
+    ids = _unpack_bits(np.frombuffer(data, np.uint8, size, at), count, width).astype(np.uint64)
     positions = np.frombuffer(data, "<u2", exceptions, at + size)
     high = np.frombuffer(data, "<u4", exceptions, at + size + 2 * exceptions)
     ids[positions] |= high.astype(np.uint64) << np.uint64(width)
@@ -119,14 +138,27 @@ class Segment:
 #: White space of the vocabulary's splitting; borders of these pieces are borders of its words.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECES = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_KEPT, _KEPT_CHARS = 400_000, 48
+#: Letters followed by marks: two words of the vocabulary's splitting, whatever stands around them.
+_LETTERS_MARKS = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*#$|\"()-]+)")
+_KEPT, _KEPT_CHARS = 600_000, 48
+
+
+class _Pieces(dict):
+    """Ids by piece; letters with marks are put together from their two words."""
+
+    def __missing__(self, piece: str) -> bytes:
+        parts = _LETTERS_MARKS.fullmatch(piece)
+        if parts is None:
+            raise KeyError(piece)
+        return self[parts[1]] + self[parts[2]]
 
 
 class TextEncoder:
-    """The tokenizers library with a memory for words: a text's new pieces are encoded in one batch.
+    """The tokenizers library with a memory for words: a text's new words are encoded in one call.
 
-    Needs a byte-level vocabulary that splits at white space and has no normaliser. A text with
-    the string of an added token is encoded whole.
+    New words are joined by line breaks, which no word contains, so the breaks' id separates
+    their ids. Needs a byte-level vocabulary that splits at white space and has no normaliser. A
+    text with the string of an added token is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -135,28 +167,48 @@ class TextEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        made = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in made]
+        (self._break,) = self._whole("\n").tolist()
+        self._known = _Pieces()
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _new_words(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of the words, and pieces of white space, that are not known yet."""
+        known, words = self._known, {}
+        for piece in pieces:
+            if piece not in known:
+                parts = _LETTERS_MARKS.fullmatch(piece)
+                for word in (piece,) if parts is None else parts.groups():
+                    if word not in known:
+                        words[word] = b""
+        blank = [w for w in words if w.isspace() or w[-1] == " "]
+        solid = [w for w in words if not (w.isspace() or w[-1] == " ")]
+        if solid:
+            ids = self._whole("\n".join(solid))
+            ends = np.flatnonzero(ids == self._break).tolist()
+            raw, starts = ids.tobytes(), [0, *(e + 1 for e in ends)]
+            for word, start, end in zip(solid, starts, [*ends, len(ids)], strict=True):
+                words[word] = raw[4 * start : 4 * end]
+        for word in blank:
+            words[word] = self._whole(word).tobytes()
+        return words
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if any(a in text for a in self._added):
-            return self._encode([text])[0]
+            return self._whole(text).tobytes()
         pieces = _PIECES.findall(text)
         try:
             return b"".join(map(self._known.__getitem__, pieces))
         except KeyError:
-            new = list({p for p in pieces if p not in self._known})
-            found = dict(zip(new, self._encode(new), strict=True))
-            joined = b"".join([self._known.get(p) or found[p] for p in pieces])
-            for piece, ids in found.items():
-                if len(self._known) >= _KEPT:
-                    break
-                if len(piece) <= _KEPT_CHARS:
-                    self._known[piece] = ids
+            words = self._new_words(pieces)
+            room = _KEPT - len(self._known)
+            passing = [w for k, w in enumerate(words) if k >= room or len(w) > _KEPT_CHARS]
+            self._known.update(words)
+            joined = b"".join(map(self._known.__getitem__, pieces))
+            for word in passing:
+                del self._known[word]
             return joined
 
 
