@@ -38,7 +38,7 @@ from tidegrid.llm.storage import map_texts, text_or_empty
 LEAF_CHARS = 4096
 LEAF_BYTES = 64
 LOOKAHEAD = 2
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 
 #: White space as the pattern's library has it (the White_Space property).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"

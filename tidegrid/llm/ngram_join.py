@@ -41,7 +41,7 @@ ROWS = 4
 BLOCK_CLASSES = 512
 BLOCK_GRAMS = 1 << 19
 _WORD = re.compile(r"[^\W_]+")
-_KEPT = 150_000
+_KEPT = 75_000
 
 
 def band_count(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> int:
