@@ -95,3 +95,24 @@ def test_nulls_short_texts_and_empty_tables(spark, docs):
 def test_no_python_in_the_plan(spark, sf_dir, capsys):
     QUERIES["op4_decontamination"](spark, sf_dir).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_documents_shorter_than_an_item(spark, docs, monkeypatch, limit):
+    """A near copy with words left out, as the whole document."""
+    monkeypatch.setattr(D, "BROADCAST_ROWS", limit)
+    pick = random.Random(4)
+    items = [(k, " ".join(f"w{pick.randrange(300)}" for _ in range(n))) for k, n in enumerate((50, 50, 90))]
+    rows = []
+    for k in range(40):
+        w = words(pick.choice(items)[1])
+        for _ in range(pick.choice((1, 1, 2))):
+            del w[pick.choice((0, -1, 3, len(w) // 2))]
+        rows.append((k, " ".join(w[: pick.choice((len(w), len(w), 44, 4))])))
+    want = set()
+    for doc, t in rows:
+        for item, it in items:
+            a, b = grams(words(t)), grams(words(it))
+            if len(words(t)) >= 5 and sum((a & b).values()) >= 0.8 * sum((a | b).values()) - 1e-9:
+                want.add((doc, item, 0, len(words(t))))
+    assert len(want) > 15 and got(D.contamination(docs(rows), items_frame(spark, items))) == want

@@ -11,7 +11,8 @@ weighs as often as it occurs.
 Only windows that can reach the threshold are fingerprinted. A window and an item of ``g``
 shingles each with similarity ``t`` have at least ``2 t g / (1 + t)`` shingles in common, so a
 first pass joins the shingles of all documents with those of the items and keeps every window
-with that many matching places; this loses none. Only the items' shingles and the list of such
+with that many matching places; this loses none. A document of fewer words than the item is its
+own window: with ``h`` shingles it needs ``t (g + h) / (1 + t)`` in common. Only the items' shingles and the list of such
 windows may be broadcast, and only up to ``BROADCAST_ROWS`` rows; beyond, the same joins shuffle.
 
 An item of fewer words than a shingle is one shingle of all its words; an item without words
@@ -106,11 +107,12 @@ def candidate_starts(docs: DataFrame, items: DataFrame, n: int = N, threshold: f
         places = docs.select("doc_id", "row_hash", F.size("w").alias("length"), F.posexplode(shingles(F.col("w"), width)).alias("place", "gram"))
         parts.append(places.join(F.broadcast(some) if small else some, "gram"))
     hits = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "row_hash", "length", "item_id", "print", "width", "size", "g")
-    needed = F.ceil(2 * threshold / (1 + threshold) * F.col("g") - 1e-9).cast("int")
+    own = F.least("g", F.col("length") - F.col("width") + 1)  # shingles of the window
+    needed = F.ceil(threshold / (1 + threshold) * (F.col("g") + own) - 1e-9).cast("int")
     hits = hits.agg(F.sort_array(F.collect_set("place")).alias("p")).withColumn("needed", needed).where(F.size("p") >= F.col("needed"))
     last = lambda i: F.get("p", i + F.col("needed") - 1)
     low = lambda i: F.greatest(F.coalesce(F.get("p", i - 1) + 1, F.lit(0)), last(i) - F.col("g") + 1)
-    high = lambda i: F.least(F.get("p", i), F.col("length") - F.col("size"))
+    high = lambda i: F.least(F.get("p", i), F.greatest(F.col("length") - F.col("size"), F.lit(0)))
     from_match = lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i))).otherwise(F.array().cast("array<int>"))
     starts = F.flatten(F.transform(F.sequence(F.lit(0), F.size("p") - F.col("needed")), from_match)).alias("starts")
     return hits.select("doc_id", "row_hash", "size", "width", starts).where(F.size("starts") > 0)
@@ -136,7 +138,7 @@ def contamination(
     found = found.select("d.doc_id", "size", "width", "starts", word_hashes(F.col("text")).alias("w"))
     found = found.select("doc_id", "size", "width", "w", F.explode("starts").alias("start"))
     windows = found.select("doc_id", "start", "size", "width", F.slice("w", F.col("start") + 1, F.col("size")).alias("w")).distinct()
-    windows = windows.withColumn("grams", _grams(F.col("w"), F.col("width"), n)).drop("w", "width")
+    windows = windows.withColumn("grams", _grams(F.col("w"), F.col("width"), n)).withColumn("n_words", F.size("w")).drop("w", "width")
     windows = stored(windows.withColumn("print", simhash(F.col("grams"))), "windows")
 
     keyed = windows.select("*", F.explode(block_keys(F.col("print"))).alias("key")).select("*", "key.*").drop("key")
@@ -148,7 +150,7 @@ def contamination(
     return (
         pairs.withColumn("similarity", weighted_similarity(F.col("grams"), F.col("item_grams")))
         .where(F.col("similarity") >= threshold)
-        .select("doc_id", "item_id", "start", F.col("size").alias("n_words"), distance.cast("int").alias("distance"), "similarity")
+        .select("doc_id", "item_id", "start", "n_words", distance.cast("int").alias("distance"), "similarity")
         .distinct()
     )
 
