@@ -90,3 +90,12 @@ def test_nulls_repeats_and_empty_table(spark, model):
     assert H.extract(spark.createDataFrame([], schema), model).count() == 0
     page = "<nav><ul><li><a href=1>Home</a></li></ul></nav><main><h1>A title</h1><p>Some words are here, and a few more.</p><p>More.</p></main>"
     assert H.train(spark.createDataFrame([], schema)).texts([page]) == ["A title Some words are here, and a few more. More."]
+
+
+def test_head_and_options_without_end_tags():
+    text = lambda page: [n.text for n in parse(page) if n.text]
+    assert text("<html><head><title>T</title><meta charset=x><script>a<b</script><article><p>text</p></article>") == ["text"]
+    assert text("<head><title>T</title><noscript><img src=x></noscript><link rel=y> \n words <b>here</b>") == ["words here"]
+    assert text("<head><title>T</title></head><p>a") == text("<head><style>p{}</style><body><p>a") == text("<head>a") == ["a"]
+    assert text("<p>a</p><datalist id=d><option value=x>x<option value=y>y</datalist><p>b</p>") == ["a", "b"]
+    assert text("<select><option>x<option>y</select><p>b</p>") == ["b"]

@@ -2,7 +2,8 @@
 
 Inline elements don't make nodes; they only count characters inside links. Raw text (scripts,
 styles and the like), comments and everything in ``head`` give no text. Optional end tags are
-supplied, unknown end tags skipped.
+supplied, unknown end tags skipped. A head without an end tag ends at the first start tag or
+text that can't stand in it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ BLOCKS = frozenset(
     "tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select option head".split())
+RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select datalist head".split())
+_IN_HEAD = frozenset("html head title meta link style script base basefont bgsound noscript noframes template".split())
 _RAW_TEXT = frozenset("script style textarea title iframe".split())
 _CLOSES_P = BLOCKS - {"body", "html", "button", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup"}
 #: Elements that a start tag ends, up to the nearest element of the second set.
@@ -83,6 +85,8 @@ def parse(page: str) -> list[Node]:
         del stack[upto:]
 
     for m in iter(lambda: _MARKUP.search(page, at), None):
+        if raw == ["head"] and page[at : m.start()].strip():
+            raw.clear()
         if not raw:
             piece = page[at : m.start()]
             text.append(piece)
@@ -101,7 +105,7 @@ def parse(page: str) -> list[Node]:
                         close(k)
                         break
         elif tag:
-            if tag == "body" and "head" in raw:
+            if tag == "body" and "head" in raw or raw == ["head"] and tag not in _IN_HEAD:
                 raw.clear()
             if raw or tag in RAW:
                 if tag not in VOID and not (m[3] or "").endswith("/"):
@@ -135,7 +139,7 @@ def parse(page: str) -> list[Node]:
                     nodes[top].children.append(len(nodes))
                     nodes.append(Node(tag, top, nodes[top].depth + 1, _attribute_words(m[3] or "")))
                     stack.append(len(nodes) - 1)
-    if not raw:
+    if not raw or raw == ["head"]:
         text.append(page[at:])
     flush()
     return nodes
