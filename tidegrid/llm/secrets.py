@@ -75,19 +75,28 @@ class Intervals:
         before = bisect.bisect_left(self.starts, end)
         return before > 0 and self.ends[before - 1] > start
 
+    def holds(self, start: int, end: int) -> bool:
+        """Whether one of the spans contains [start, end)."""
+        before = bisect.bisect_right(self.starts, start)
+        return before > 0 and self.ends[before - 1] >= end
+
 
 def linked(base: list[Span], weak: list[Span], scope: int = SCOPE) -> list[Span]:
-    """The weak spans, not part of a base span, that a complete credential within their scope contains."""
+    """The weak spans, not part of a base span, that a complete credential within their scope contains.
+
+    A base span inside of an endpoint counts as its part; one inside of a user name or a token is not a part beside it.
+    """
     if not weak:
         return []
     covered = Intervals(base)
-    weak = [w for w in weak if not covered.meets(*w[1:])]
-    identifiers, secrets = (Intervals([p for p in base + weak if p[0] in role]) for role in (IDENTIFIERS, SECRETS))
+    weak = [w for w in weak if not covered.holds(*w[1:])]
+    identifiers, secrets = ([Intervals([p for p in parts if p[0] in role]) for parts in (base, weak)] for role in (IDENTIFIERS, SECRETS))
 
     def complete(kind: str, start: int, end: int) -> bool:
         reach = max(0, start - scope), end + scope
+        sides = [reach] if kind == "endpoint" else [(reach[0], start), (end, reach[1])]
         needed = [secrets] if kind in IDENTIFIERS else [identifiers] if kind in SECRETS else [identifiers, secrets]
-        return all(role.meets(*reach) for role in needed)
+        return all(of_weak.meets(*reach) or any(of_base.meets(*side) for side in sides) for of_base, of_weak in needed)
 
     return [w for w in weak if complete(*w)]
 
