@@ -73,3 +73,17 @@ def test_one_label_only_or_none(spark, docs):
     got = X.score(frame, none).collect()
     assert len(got) == 4 and {r.score for r in got} == {0.5}
     assert X.score(docs([]), none).count() == 0
+
+
+def test_repeated_passages_are_all_found():
+    model = X.ToxicityModel({"vile": 4.0, "nast~": 3.0}, -0.1, 2.0, -2.0, 0.6)
+    scores, line = X._WordScores(model.lexicon), "you vile nasty nastier thing "
+    once, twice = "plain words " * 400 + line, ("plain words " * 400 + line) * 2
+    assert [(a, b) for a, b, _ in model.passages(twice, scores)[1]] == [(801, 803), (1606, 1608)]
+    assert model.statistic(twice, scores) < model.statistic(once, scores)
+
+
+def test_repeated_passages_are_in_the_table(docs):
+    model = X.ToxicityModel({"vile": 4.0, "nast~": 3.0}, -0.1, 2.0, -2.0, 0.6)
+    text = ("plain words " * 400 + "you vile nasty nastier thing ") * 2
+    assert [r.passages for r in X.score(docs([(1, text)]), model).collect()] == ["801:803,1606:1608"]

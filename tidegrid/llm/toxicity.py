@@ -15,7 +15,8 @@ those of a text's segments are joined by Karlin and Altschul's sum statistic. A
 The fit uses at most ``sample`` labelled rows, those with the smallest hash of their id, so the
 lexicon is bounded; the prior's counts and the scores cover every document. What is counted in
 labelled texts is the different contexts (neighbouring words) of a token, so a passage that many
-labelled texts copy counts once. Likewise a word scores once per context in a text.
+labelled texts copy counts once. Likewise a word scores once per context in a text's statistic;
+the passages are those of a scan over all words, copies included.
 
 Nulls count as empty text; texts without words get the score of no evidence. Labels that are
 null or whose document is missing are ignored. Without rows of both labels every score is the
@@ -102,18 +103,28 @@ class ToxicityModel:
     slope: float = 1.0
     constant: float | None = None
 
-    def passages(self, text: str, scores: _WordScores) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of words, and maximal segments with normalised totals."""
+    def _hits(self, text: str, scores: _WordScores) -> tuple[list[str], list[tuple[int, float]]]:
         words = words_of(text)
-        places = [i for i, s in enumerate(map(scores.__getitem__, words)) if s]
-        first = {tuple(words[max(0, i - 1) : i + 2]): i for i in reversed(places)}
-        hits = [(i, scores[words[i]]) for i in sorted(first.values())]
+        return words, [(i, s) for i, s in enumerate(map(scores.__getitem__, words)) if s]
+
+    def _normalised(self, hits: list[tuple[int, float]], n: int) -> list[tuple[int, int, float]]:
+        return [(a, b, self.rate * s - math.log(n)) for a, b, s in segments(hits, self.drift)]
+
+    def passages(self, text: str, scores: _WordScores) -> tuple[int, list[tuple[int, int, float]]]:
+        """Number of words, and all maximal segments with normalised totals."""
+        words, hits = self._hits(text, scores)
         n = max(1, len(words))
-        return n, [(a, b, self.rate * s - math.log(n)) for a, b, s in segments(hits, self.drift)]
+        return n, self._normalised(hits, n)
 
     def statistic(self, text: str, scores: _WordScores) -> float:
         """Minus the logarithm of the sum statistic's probability, for the number of segments that makes it largest."""
-        n, found = self.passages(text, scores)
+        return self._statistic(*self._hits(text, scores))
+
+    def _statistic(self, words: list[str], hits: list[tuple[int, float]]) -> float:
+        """Copies of a passage add no evidence: of hits in the same context the first counts."""
+        first = {tuple(words[max(0, i - 1) : i + 2]): (i, s) for i, s in reversed(hits)}
+        n = max(1, len(words))
+        found = self._normalised(sorted(first.values()), n)
         best, total = -math.log(n) - 1, 0.0
         for r, value in enumerate(sorted((s for _, _, s in found), reverse=True), 1):
             total += value
@@ -270,8 +281,9 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def rows(columns):
         scores, made = _WordScores(model.lexicon), {"doc_id": columns["doc_id"], "held_out": columns["held_out"], "score": [], "passages": []}
         for text in columns["text"]:
-            made["score"].append(model.probability(model.statistic(text, scores)))
-            made["passages"].append(",".join(f"{a}:{b}" for a, b, s in model.passages(text, scores)[1] if s > 0))
+            words, hits = model._hits(text, scores)
+            made["score"].append(model.probability(model._statistic(words, hits)))
+            made["passages"].append(",".join(f"{a}:{b}" for a, b, s in model._normalised(hits, max(1, len(words))) if s > 0))
         return made | {"predicted": [int(s >= BORDER) for s in made["score"]]}
 
     columns = [F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_or_empty(docs).alias("text")]
