@@ -859,8 +859,8 @@ def seasonal_arma(spark, sf_dir):
     """Order search on validation, then forecasts of the test span, per event type."""
     series = S.add_split(by_type(spark, sf_dir), split_label())
     options = {"value": "value", "ts": "ts", "series_keys": ["event_type"]}
-    best, _ = A.search_orders(series, steps=144, **options)
-    return A.refit_and_score_test(series, best, steps=240, **options)
+    best, _ = A.search_orders(series, **options)
+    return A.refit_and_score_test(series, best, **options)
 
 
 QUERIES: dict[str, Query] = {

@@ -172,7 +172,16 @@ def forecast_seasonal_arma(
     )
 
 
-def _run(train: DataFrame, scored: DataFrame, spec: Mapping[str, object], common: dict, steps: int):
+def _steps_to_end(train: DataFrame, scored: DataFrame, ts: str, step: str) -> int:
+    """Steps from the last time of ``train`` to the last time of ``scored``, over all series."""
+    last = lambda df: df.agg(F.max(C.grid_position(F.col(ts), step))).first()[0]
+    known, end = last(train), last(scored)
+    return 1 if known is None or end is None else max(1, end - known)
+
+
+def _run(train: DataFrame, scored: DataFrame, spec: Mapping[str, object], common: dict, steps: int | None):
+    if steps is None:
+        steps = _steps_to_end(train, scored, common["ts"], common["step"])
     options = {**common, "order": spec["order"], "seasonal_order": spec["seasonal_order"]}
     fits, residuals = fit_seasonal_arma(train, **options)
     fits = cut_lineage(fits)
@@ -189,7 +198,7 @@ def search_orders(
     *,
     value: str,
     ts: str,
-    steps: int,
+    steps: int | None = None,
     series_keys: Sequence[str] = (),
     step: str = "1 hour",
     candidates: Sequence[Mapping[str, object]] = ARMA_CANDIDATES,
@@ -198,6 +207,7 @@ def search_orders(
 
     Candidates that leave fewer known rows without a forecast come first; their number is
     reported. A candidate that fails is recorded with its error; all failing is an error.
+    Without ``steps``, forecasts reach the last validation row.
     """
     common = {"value": value, "ts": ts, "series_keys": tuple(series_keys), "step": step}
     table = cut_lineage(df.select(*series_keys, ts, value, "split"))
@@ -234,13 +244,13 @@ def refit_and_score_test(
     *,
     value: str,
     ts: str,
-    steps: int,
+    steps: int | None = None,
     series_keys: Sequence[str] = (),
     step: str = "1 hour",
 ) -> DataFrame:
     """Refit on train and validation, forecast the test span; actuals may be missing.
 
-    Every test row stays; rows of a series that could not be fitted have no forecast.
+    Without ``steps``, forecasts reach the last test row. Every test row stays; rows of a series that could not be fitted have no forecast.
     """
     common = {"value": value, "ts": ts, "series_keys": tuple(series_keys), "step": step}
     test = df.where(F.col("split") == "test").select(*series_keys, ts, value)
