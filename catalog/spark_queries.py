@@ -26,7 +26,7 @@ from tidegrid.operators import ranking as R
 from tidegrid.operators import splits as S
 from tidegrid.operators.chunks import add_row_number
 from tidegrid.operators.conformal import conformal_adjustment, conformal_calibrate
-from tidegrid.operators.features import add_history_features
+from tidegrid.operators.features import LAGS, ROLLING_STEPS, add_history_features
 from tidegrid.operators.fill import drop_incomplete, impute_train_median, interpolate
 from tidegrid.operators.order_stats import median
 from tidegrid.plans import modeling as ML
@@ -804,29 +804,24 @@ def least_squares_fit(spark, sf_dir):
     return rounded(fitted.select("event_type", "n", b[0].alias("b0"), b[1].alias("b1"), b[2].alias("b2"), "rss"))
 
 
-SMALL_BOOST = (
-    {"name": "small", "n_estimators": 3, "learning_rate": 0.3, "max_depth": 3,
-     "min_samples_leaf": 10, "subsample": 1.0},
-    {"name": "deeper", "n_estimators": 3, "learning_rate": 0.3, "max_depth": 4,
-     "min_samples_leaf": 10, "subsample": 1.0},
+BOOST_FEATURES = CALENDAR_FEATURES + (
+    *(f"load_lag_{k}" for k in LAGS), f"load_rollmean_{ROLLING_STEPS}", f"load_rollstd_{ROLLING_STEPS}"
 )
 
 
 def quantile_boost(spark, sf_dir):
-    """Candidate search, refit and test predictions one day ahead, on all event types."""
+    """Candidate search, refit and test predictions of all horizons, on all event types."""
     filled = interpolate(by_type(spark, sf_dir), "value", ts="ts", limit=3, series_keys=["event_type"])
     featured = ML.build_supervised_table(
         add_calendar_features(filled, "ts"), value="value", prefix="load", ts="ts",
-        series_keys=["event_type"], lags=(1, 24), horizons={"t_plus_24": 24},
+        series_keys=["event_type"],
     )
-    history = ("load_lag_1", "load_lag_24", "load_rollmean_24", "load_rollstd_24")
     return Q.train_horizons(
         S.add_split(featured, split_label()),
-        labels=["t_plus_24"],
-        features=CALENDAR_FEATURES + history,
+        labels=list(H.HORIZONS),
+        features=BOOST_FEATURES,
         keep=["event_type", "ts"],
         impute=["load_rollstd_24"],
-        candidates=SMALL_BOOST,
     )
 
 
@@ -835,16 +830,14 @@ def boost_horizon_report(spark, sf_dir):
     filled = interpolate(by_type(spark, sf_dir), "value", ts="ts", limit=3, series_keys=["event_type"])
     featured = ML.build_supervised_table(
         add_calendar_features(filled, "ts"), value="value", prefix="load", ts="ts",
-        series_keys=["event_type"], lags=(1, 24),
+        series_keys=["event_type"],
     )
-    history = ("load_lag_1", "load_lag_24", "load_rollmean_24", "load_rollstd_24")
     predictions, _ = Q.score_horizons(
         S.add_split(featured, split_label()),
         horizons=H.HORIZONS,
-        features=CALENDAR_FEATURES + history,
+        features=BOOST_FEATURES,
         keep=["event_type", "ts"],
         impute=["load_rollstd_24"],
-        candidates=SMALL_BOOST[:1],
     )
     calibrated = conformal_calibrate(
         predictions, actual="actual_target_mw", keys=["horizon"], salt_on=["ts"]

@@ -207,3 +207,24 @@ def test_arma_query_reaches_the_last_row(spark, monkeypatch):
     monkeypatch.setattr(C, "by_type", lambda *_: df)
     out = C.seasonal_arma(spark, "").toPandas()
     assert len(out) == 900 - 480 and out.forecast.notna().all()
+
+
+def test_boost_queries_run_the_whole_search(spark, monkeypatch):
+    """Every candidate, history feature and horizon reaches the fits."""
+    from catalog import spark_queries as C
+    from tidegrid.sources.constants import BOOST_CANDIDATES, MODEL_FEATURES
+
+    class Reached(Exception):
+        pass
+
+    def caught(df, *, features, candidates=BOOST_CANDIDATES, labels=(), horizons=(), **_):
+        assert list(candidates) == list(BOOST_CANDIDATES)
+        assert set(features) == {f for f in MODEL_FEATURES if not f.startswith("wind")} <= set(df.columns)
+        assert list(labels or horizons) == list(C.H.HORIZONS) and {f"load_target_{h}" for h in C.H.HORIZONS} <= set(df.columns)
+        raise Reached
+
+    for name in ("train_horizons", "score_horizons"):
+        monkeypatch.setattr(C.Q, name, caught)
+    for query in (C.quantile_boost, C.boost_horizon_report):
+        with pytest.raises(Reached):
+            query(spark, "/root/testdata/sf0.001")
