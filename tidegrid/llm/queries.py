@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import byte_bpe, decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, quality, secrets, token_files, toxicity
+from tidegrid.llm import byte_bpe, decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, quality, secrets, source_mixing, token_files, toxicity
 from tidegrid.llm.storage import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,52 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     return html_extract.extract(pages, html_extract.train(pages))
+
+
+@register
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    weights = source_mixing.label_weights(docs, read_table(spark, sf_dir, "labels"))
+    return source_mixing.mix(docs, weights, unknown_weight=source_mixing.UNLABELLED_WEIGHT)
+
+
+ORACLE_SQL["op13_source_mixing"] = r"""
+WITH known AS (
+  SELECT doc_id, CASE WHEN max(quality) = 1 THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  FROM labels WHERE quality IN (0, 1) GROUP BY doc_id
+), d AS (
+  SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         coalesce(k.weight, 2.0::DOUBLE) AS weight,
+         (('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM documents d LEFT JOIN known k USING (doc_id)
+), s AS (
+  SELECT source, sum(size)::HUGEINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, 3 * source_size AS most,
+         [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM s
+), r AS (
+  SELECT *, sum(source_size) OVER () AS words, sum(w) OVER () AS ws,
+         coalesce(sum(most) OVER e, 0) AS most_before, coalesce(sum(w) OVER e, 0) AS w_before
+  FROM w WINDOW e AS (ORDER BY most::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), c AS (
+  SELECT *, most * (ws - w_before) <= (words - most_before) * w AS capped FROM r
+), t AS (
+  SELECT source, source_size,
+         CASE WHEN capped THEN most::DOUBLE
+              ELSE ((words - sum(CASE WHEN capped THEN most ELSE 0 END) OVER ()) * w)::DOUBLE
+                   / (ws - sum(CASE WHEN capped THEN w ELSE 0 END) OVER ())::DOUBLE END AS target
+  FROM c
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size::DOUBLE)::BIGINT) ELSE 0 END AS epochs FROM t
+), o AS (
+  SELECT d.*, p.source_size, p.target, p.epochs,
+         CASE WHEN p.epochs >= 3 THEN 0 ELSE floor(p.target + 0.5)::BIGINT - p.epochs * p.source_size END AS rest,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(d.u) / d.weight, d.doc_id
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, source, size::BIGINT AS size, source_size::BIGINT AS source_size, target, weight, epochs::BIGINT AS epochs,
+       (epochs * size + least(greatest(rest - before, 0), size))::BIGINT AS taken
+FROM o
+"""
