@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import byte_bpe, decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, quality, secrets, source_mixing, token_files, toxicity
+from tidegrid.llm import byte_bpe, decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, quality, secrets, source_audit, source_mixing, token_files, toxicity
 from tidegrid.llm.storage import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,49 @@ SELECT doc_id, source, size::BIGINT AS size, source_size::BIGINT AS source_size,
        (epochs * size + least(greatest(rest - before, 0), size))::BIGINT AS taken
 FROM o
 """
+
+
+@register
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_source_audit"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), t AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), v AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), ng AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL
+), share AS (
+  SELECT ng.lang, ng.source, kept.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (ng.total + 5 * v.v) AS p
+  FROM ng JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = ng.lang AND c.source = ng.source AND c.term = kept.term
+), whole AS (
+  SELECT lang, term, 1 + (1000000000 * (sum(n) + 5)::HUGEINT) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q
+  FROM share GROUP BY lang, term
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN share x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN share y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), term AS (
+  SELECT s.lang, s.source, 'term' AS part, s.term AS item, (s.p - w.q)::BIGINT AS value
+  FROM share s JOIN whole w USING (lang, term) WHERE s.n > 0 AND s.p > w.q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
