@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import byte_bpe, decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, quality, secrets, source_audit, source_mixing, token_files, toxicity
+from tidegrid.llm import byte_bpe, decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, quality, secrets, source_audit, source_mixing, token_alignment, token_files, toxicity
 from tidegrid.llm.storage import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,9 @@ WITH d AS (
 )
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """
+
+
+@register
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.alignment(read_table(spark, sf_dir, "documents"), *paths)
