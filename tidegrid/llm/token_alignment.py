@@ -48,7 +48,7 @@ SHIFT = 24
 SPACE_MARK = "\u2581"
 
 #: White space of the byte-level vocabulary's splitting.
-_W = r"\t-\r \x85\xa0  -     　"
+_W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(
     rf" ?[^{_W}]++(?=[ \n]|\Z)|\n(?=[^{_W}]| [^{_W}]|\Z)|(?s:.+?)(?:(?<=[^{_W}])(?=[ \n])|\Z)"
 )
