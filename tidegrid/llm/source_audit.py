@@ -184,15 +184,15 @@ def build_runs(docs: DataFrame, shards: int, memory: int = MEMORY) -> DataFrame:
 # Merge.
 
 
-def _entries(row: dict) -> Iterator[tuple[bytes, int, dict[bytes, int]]]:
-    names, at = row["names"], 0
-    source, occurrences = row["source"], row["occurrences"]
+def _entries(row: dict) -> Iterator[tuple[bytes, int, dict, int, int]]:
+    """Term, documents, and where in the row its postings lie."""
+    at = 0
     for term, docs, width in zip(row["terms"], row["docs"], row["width"]):
-        yield term, docs, {names[source[k]]: occurrences[k] for k in range(at, at + width)}
+        yield term, docs, row, at, at + width
         at += width
 
 
-def merged_terms(rows: Iterator[dict]) -> Iterator[tuple[tuple, bytes, int, dict[bytes, int]]]:
+def merged_terms(rows: Iterator[dict], least_documents: int = 1) -> Iterator[tuple[tuple, bytes, int, dict[bytes, int]]]:
     """Heap merge of rows that come sorted by group, language and first term; one result per term.
 
     A row is opened when the merge reaches its first term, so at most one row of each run is open.
@@ -211,17 +211,23 @@ def merged_terms(rows: Iterator[dict]) -> Iterator[tuple[tuple, bytes, int, dict
             coming = next(rows, None)
         if not heap:
             continue
-        term, docs, total = heap[0][0], 0, {}
+        term, docs, found = heap[0][0], 0, []
         while heap and heap[0][0] == term:
             _, number, entry, entries = heap[0]
             docs += entry[1]
-            for source, times in entry[2].items():
-                total[source] = total.get(source, 0) + times
+            found.append(entry)
             following = next(entries, None)
             if following is None:
                 heapq.heappop(heap)
             else:
                 heapq.heapreplace(heap, (following[0], number, following, entries))
+        if docs < least_documents:
+            continue
+        total: dict[bytes, int] = {}
+        for _, _, row, start, end in found:
+            for source, times in zip(row["source"][start:end], row["occurrences"][start:end]):
+                name = row["names"][source]
+                total[name] = total.get(name, 0) + times
         yield group, term, docs, total
 
 
@@ -231,13 +237,12 @@ def merge_runs(runs: DataFrame, least_documents: int = 1) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         rows = (row for batch in batches for part in split_batch(batch, 4 << 20) for row in part.to_pylist())
         writer = None
-        for group, term, docs, counts in merged_terms(rows):
+        for group, term, docs, counts in merged_terms(rows, least_documents):
             if writer is None or writer.group != group:
                 if writer is not None:
                     yield from writer.close()
                 writer = _Writer(*group)
-            if docs >= least_documents:
-                yield from writer.add(term, docs, counts)
+            yield from writer.add(term, docs, counts)
         if writer is not None:
             yield from writer.close()
 
@@ -393,8 +398,9 @@ def divergence(
     pair = start.unionByName(moved).unionByName(back).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
     term = parts.where("part = 'term'").select("lang", "source", "item", "value")
-    both = pair.withColumn("part", F.lit("pair")).unionByName(term.withColumn("part", F.lit("term")))
-    place = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
+    place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    ranked = pair.withColumns({"part": F.lit("pair"), "rank": place}).unionByName(
+        term.withColumns({"part": F.lit("term"), "rank": place}).where(F.col("rank") <= top_terms)
+    )
     text = [F.col(c).cast("string").alias(c) for c in ("lang", "source")]
-    ranked = both.withColumn("rank", place).where((F.col("part") == "pair") | (F.col("rank") <= top_terms))
     return ranked.select(*text, "part", F.col("item").cast("string").alias("item"), "value", "rank")
