@@ -415,7 +415,7 @@ def before_test(spark, sf_dir):
 
 def train_median(spark, sf_dir):
     train = S.add_split(events(spark, sf_dir), split_label()).where(F.col("split") == "train")
-    return rounded(median(train, "value", keys=["event_type"], salt_on=["ts"]))
+    return rounded(median(train, "value", keys=["event_type"]))
 
 
 def train_median_impute(spark, sf_dir):
@@ -426,7 +426,7 @@ def train_median_impute(spark, sf_dir):
         ),
         split_label(),
     )
-    filled = impute_train_median(featured, ["load_lag_1"], salt_on=["ts"])
+    filled = impute_train_median(featured, ["load_lag_1"])
     return rounded(drop_incomplete(filled, ["value", "load_lag_1", "load_lag_24"]))
 
 
@@ -512,7 +512,7 @@ def conformal_rank(spark, sf_dir):
     validation = normal_forecasts(spark, sf_dir).where(F.col("split") == "validation")
     return rounded(
         conformal_adjustment(
-            validation, actual="target", keys=["horizon", "event_type"], salt_on=["ts"]
+            validation, actual="target", keys=["horizon", "event_type"]
         )
     )
 
@@ -520,7 +520,6 @@ def conformal_rank(spark, sf_dir):
 def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformal_calibrate(
         normal_forecasts(spark, sf_dir), actual="target", keys=["horizon", "model_name"],
-        salt_on=["ts", "event_type"],
     )
 
 
@@ -840,7 +839,7 @@ def boost_horizon_report(spark, sf_dir):
         impute=["load_rollstd_24"],
     )
     calibrated = conformal_calibrate(
-        predictions, actual="actual_target_mw", keys=["horizon"], salt_on=["ts"]
+        predictions, actual="actual_target_mw", keys=["horizon"]
     ).withColumns({"pred_q10": F.col("calibrated_lower"), "pred_q90": F.col("calibrated_upper")})
     by = ("horizon", "lead_steps", "model_name")
     raw = RP.horizon_report(predictions, actual="actual_target_mw", by=by)

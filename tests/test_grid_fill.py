@@ -179,5 +179,5 @@ def test_impute_uses_train_only(spark):
 def test_impute_per_series(spark):
     rows = [("a", "train", 1.0), ("a", "test", None), ("b", "train", 9.0), ("b", "test", None)]
     df = spark.createDataFrame(rows, "s string, split string, x double")
-    out = impute_train_median(df, ["x"], keys=["s"], salt_on=["split"]).where("split = 'test'")
+    out = impute_train_median(df, ["x"], keys=["s"]).where("split = 'test'")
     assert sorted((r.s, r.x) for r in out.collect()) == [("a", 1.0), ("b", 9.0)]

@@ -193,7 +193,7 @@ def test_boosted_horizons_reach_calibration_and_report(spark):
     want = {r.i: r.q for r in Q.predict_quantiles(near.where("split = 'validation'"), {"q": alone}).collect()}
     got = {r.i: r.pred_q50 for r in predictions.where("horizon = 'near' AND split = 'validation'").collect()}
     assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()))
-    report = horizon_report(conformal_calibrate(predictions, actual="actual_target_mw", keys=["horizon"], salt_on=["i"]), actual="actual_target_mw")
+    report = horizon_report(conformal_calibrate(predictions, actual="actual_target_mw", keys=["horizon"]), actual="actual_target_mw")
     assert sorted((r.horizon, r.lead_steps) for r in report.collect()) == [("far", 24), ("near", 1)]
 
 
@@ -209,22 +209,67 @@ def test_arma_query_reaches_the_last_row(spark, monkeypatch):
     assert len(out) == 900 - 480 and out.forecast.notna().all()
 
 
-def test_boost_queries_run_the_whole_search(spark, monkeypatch):
-    """Every candidate, history feature and horizon reaches the fits."""
-    from catalog import spark_queries as C
-    from tidegrid.sources.constants import BOOST_CANDIDATES, MODEL_FEATURES
-
-    class Reached(Exception):
-        pass
-
-    def caught(df, *, features, candidates=BOOST_CANDIDATES, labels=(), horizons=(), **_):
-        assert list(candidates) == list(BOOST_CANDIDATES)
-        assert set(features) == {f for f in MODEL_FEATURES if not f.startswith("wind")} <= set(df.columns)
-        assert list(labels or horizons) == list(C.H.HORIZONS) and {f"load_target_{h}" for h in C.H.HORIZONS} <= set(df.columns)
-        raise Reached
-
-    for name in ("train_horizons", "score_horizons"):
-        monkeypatch.setattr(C.Q, name, caught)
-    for query in (C.quantile_boost, C.boost_horizon_report):
-        with pytest.raises(Reached):
-            query(spark, "/root/testdata/sf0.001")
+
+
+def test_boost_over_partitions_equals_one_partition(spark, monkeypatch):
+    """The same passes in one task, summed by the driver, and summed in a shuffle give the same trees."""
+    from tidegrid.models import histogram_trees as HT
+
+    df = boost_frame(spark, 700).withColumn("code", F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1).otherwise(2))
+    df = df.withColumn("z", F.when(F.col("id") % 9 > 0, F.round("y"))).withColumn("a", F.when(F.col("id") % 31 > 0, F.col("a")))
+    fits = [
+        HT.Fit(target, last, features, alpha, rounds, 0.3, depth, 5)
+        for target, last, features, alpha, rounds, depth in (
+            (0, 0, (0, 1), 0.1, 4, 2), (0, 1, (0, 1), 0.5, 3, 3), (1, 1, (1,), 0.9, 5, 2), (1, 0, (0,), 0.5, 4, 1)
+        )
+    ]
+    found = []
+    for rows, direct in ((1 << 17, 32), (50, 32), (50, 0)):
+        monkeypatch.setattr(HT, "TASK_ROWS", rows)
+        monkeypatch.setattr(HT, "BLOCK_ROWS", 64)
+        monkeypatch.setattr(HT, "ROUNDS_PER_CHECKPOINT", 2)
+        monkeypatch.setattr(HT, "DIRECT_PARTITIONS", direct)
+        binned = HT.bin_rows(df, features=["a", "b"], targets=["y", "z"], split="code")
+        assert (binned.blocks.getNumPartitions() == 1) == (rows > 50)
+        found.append(HT.grow(binned, fits))
+    for base, trees in found:
+        assert base == found[0][0] and [len(t) for t in trees] == [f.rounds for f in fits]
+        for mine, first in zip(trees, found[0][1]):
+            for tree, other in zip(mine, first):
+                assert all((getattr(tree, n) == getattr(other, n)).all() for n in ("feature", "cut", "value"))
+
+
+def test_one_round_is_the_best_split_and_its_quantiles(spark):
+    """Brute force over every cut: the gradient's variance gain, then the lower quantile of the residuals."""
+    from tidegrid.models import histogram_trees as HT
+
+    rng = np.random.default_rng(12)
+    x, y = rng.integers(0, 20, 200).astype(float), rng.normal(size=200).round(1)
+    y += 2 * (x > 13)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    for alpha in (0.1, 0.5, 0.9):
+        low = lambda v: np.sort(v)[max(1, int(np.ceil(alpha * len(v) - 1e-9))) - 1]  # noqa: E731, B023
+        base = low(y)
+        g = np.where(y > base, alpha, alpha - 1)
+        gains = {c: g[x <= c].sum() ** 2 / (x <= c).sum() + g[x > c].sum() ** 2 / (x > c).sum() for c in range(19) if min((x <= c).sum(), (x > c).sum()) >= 7}
+        config = {"n_estimators": 1, "learning_rate": 0.5, "max_depth": 1, "min_samples_leaf": 7, "subsample": 1.0}
+        model = Q.fit_quantile_boost(df, target="y", features=["x"], alpha=alpha, config=config)
+        cut = model.trees[0].threshold[0]
+        assert gains[int(cut)] == pytest.approx(max(gains.values()))
+        want = [base + 0.5 * low((y - base)[(x <= cut) == (v <= cut)]) for v in x]
+        np.testing.assert_allclose(model.predict(x[:, None]), want)
+
+
+def test_thinned_summaries_keep_ranks(monkeypatch):
+    from tidegrid.models import histogram_trees as HT
+
+    monkeypatch.setattr(HT, "LEAF_VALUES", 100)
+    rng = np.random.default_rng(2)
+    parts = [np.sort(rng.normal(size=900)) for _ in range(5)]
+    summary = parts[0], np.ones(900, np.int64)
+    for part in parts[1:]:
+        summary = HT.merged(summary, (part, np.ones(900, np.int64)))
+    whole = np.sort(np.concatenate(parts))
+    assert summary[1].sum() == 4500 and len(summary[0]) <= 100
+    for alpha in (0.1, 0.5, 0.9):
+        assert abs((whole <= HT.lower_quantile(summary, alpha)).mean() - alpha) < 0.06

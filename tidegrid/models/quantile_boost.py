@@ -1,36 +1,30 @@
-"""Quantile gradient boosting: trees fitted by MLlib, leaf values by distributed quantiles.
+"""Quantile gradient boosting, with candidate search and refit.
 
 Each round fits a regression tree to the pinball gradient, replaces its leaf
 values by the quantile of the residuals in the leaf, and adds the scaled tree to
-the running forecast. Only trees (at most ``2 ** depth`` leaves) come to the driver.
+the running forecast. All quantiles, candidates, horizons, feature sets and row sets
+grow in the same passes (see ``histogram_trees``); only trees come to the driver.
+Candidates that differ in the number of rounds alone are one fit, cut short.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
-from functools import partial, reduce
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.models.histogram_trees import Fit, Grown, bin_rows, grow
 from tidegrid.operators.fill import drop_incomplete, impute_train_median
 from tidegrid.operators.metrics import QUANTILES, metric_table
 from tidegrid.operators.splits import before_test
-from tidegrid.session import cut_lineage, ensure_checkpoint_dir
+from tidegrid.session import cut_lineage
 from tidegrid.sources.constants import BOOST_CANDIDATES, TASK
 
-LEAF_ACCURACY = 10_000
-ROUNDS_PER_CHECKPOINT = 10
-PARALLEL_FITS = 6
-
-
 @dataclass
 class Tree:
     """A binary tree as parallel arrays; a leaf points to itself."""
@@ -42,24 +36,24 @@ class Tree:
     value: list[float] = field(default_factory=list)
 
     @classmethod
-    def from_model(cls, model) -> Tree:
+    def from_grown(cls, grown: Grown, thresholds: Sequence[np.ndarray]) -> Tree:
         tree = cls()
 
-        def visit(node) -> int:
-            at = len(tree.value)
+        def visit(node: int) -> int:
+            at, feature = len(tree.value), int(grown.feature[node])
             for array, start in (
                 (tree.feature, 0), (tree.threshold, np.inf), (tree.left, at), (tree.right, at),
-                (tree.value, 0.0),
+                (tree.value, float(grown.value[node])),
             ):
                 array.append(start)
-            if node.subtreeDepth() > 0:
-                tree.feature[at] = node.split().featureIndex()
-                tree.threshold[at] = node.split().threshold()
-                tree.left[at] = visit(node.leftChild())
-                tree.right[at] = visit(node.rightChild())
+            if feature >= 0:
+                tree.feature[at] = feature
+                tree.threshold[at] = float(thresholds[feature][grown.cut[node]])
+                tree.left[at] = visit(2 * node + 1)
+                tree.right[at] = visit(2 * node + 2)
             return at
 
-        visit(model._call_java("rootNode"))
+        visit(0)
         return tree
 
     def walk(self, features: Sequence[str], leaf: Sequence[object], at: int = 0) -> Column:
@@ -97,57 +91,30 @@ class QuantileBoostModel:
         return total
 
 
-def _training_rows(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
-    return drop_incomplete(df, [*features, target]).select(
-        *[F.col(c).cast("double").alias(c) for c in features], F.col(target).alias("_y")
+def _fit(config: Mapping[str, object], alpha: float, *, target: int, last_split: int, features: tuple[int, ...], seed: int) -> Fit:
+    return Fit(
+        target, last_split, features, alpha, int(config["n_estimators"]), float(config["learning_rate"]),
+        int(config["max_depth"]), int(config["min_samples_leaf"]), float(config["subsample"]), seed,
     )
 
 
-def _boost(
-    rows: DataFrame, names: list[str], alpha: float, config: Mapping[str, object], seed: int
-) -> QuantileBoostModel:
-    rate = float(config["learning_rate"])
-    first = rows.agg(F.percentile_approx("_y", alpha, LEAF_ACCURACY)).first()[0]
-    if first is None:
-        raise ValueError("no complete training row")
-    model = QuantileBoostModel(names, float(first), rate, [])
-    assembler = VectorAssembler(inputCols=names, outputCol="_features")
-    learner = DecisionTreeRegressor(
-        featuresCol="_features",
-        labelCol="_gradient",
-        maxDepth=int(config["max_depth"]),
-        minInstancesPerNode=int(config["min_samples_leaf"]),
-        seed=seed,
-    )
-    current, running = rows, F.lit(model.base)
-    for round_number in range(1, int(config["n_estimators"]) + 1):
-        gradient = F.when(F.col("_y") > running, F.lit(alpha)).otherwise(F.lit(alpha - 1))
-        work = current.withColumn("_gradient", gradient)
-        if float(config["subsample"]) < 1:
-            work = work.sample(fraction=float(config["subsample"]), seed=seed + round_number)
-        tree = Tree.from_model(learner.fit(assembler.transform(work)))
-        leaves = (
-            current.groupBy(tree.walk(names, range(len(tree.value))).alias("leaf"))
-            .agg(F.percentile_approx(F.col("_y") - running, alpha, LEAF_ACCURACY).alias("v"))
-            .collect()
-        )
-        for row in leaves:
-            tree.value[row["leaf"]] = float(row["v"])
-        model.trees.append(tree)
-        running = running + rate * tree.walk(names, tree.value)
-        if round_number % ROUNDS_PER_CHECKPOINT == 0:
-            current = cut_lineage(current.withColumn("_f", running))
-            running = F.col("_f")
-    return model
-
-
-def _in_parallel(
-    spark: SparkSession, tasks: Sequence[Callable[[], object]], parallelism: int
-) -> list:
-    """Run driver-side fits side by side, so that their jobs share the executors."""
-    inherit = inheritable_thread_target(spark)
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as pool:
-        return [future.result() for future in [pool.submit(inherit(task)) for task in tasks]]
+def _fitted(
+    df: DataFrame, fits: Sequence[Fit], *, features: Sequence[str], targets: Sequence[str], split: str | None
+) -> list[QuantileBoostModel]:
+    """A model for every fit; fits that differ in their rounds alone are grown once."""
+    shared: dict[Fit, int] = {}
+    for fit in fits:
+        key = replace(fit, rounds=0)
+        shared[key] = max(shared.get(key, 0), fit.rounds)
+    binned = bin_rows(df, features=features, targets=targets, split=split)
+    base, trees = grow(binned, [replace(key, rounds=rounds) for key, rounds in shared.items()])
+    number = {key: k for k, key in enumerate(shared)}
+    models = []
+    for fit in fits:
+        k = number[replace(fit, rounds=0)]
+        taken = [Tree.from_grown(t, binned.thresholds) for t in trees[k][: fit.rounds]]
+        models.append(QuantileBoostModel(list(features), base[k], fit.rate, taken))
+    return models
 
 
 def fit_candidates(
@@ -158,22 +125,16 @@ def fit_candidates(
     candidates: Sequence[Mapping[str, object]],
     quantiles: Mapping[str, float] = QUANTILES,
     seed: int = TASK["random_seed"],
-    parallelism: int = PARALLEL_FITS,
 ) -> list[dict[str, QuantileBoostModel]]:
-    """Models of every quantile level for each candidate, sharing one cached training set."""
-    names = list(features)
-    ensure_checkpoint_dir(df.sparkSession)
-    rows = _training_rows(df, target, names).persist()
-    try:
-        tasks = [
-            partial(_boost, rows, names, alpha, config, seed)
-            for config in candidates
-            for alpha in quantiles.values()
-        ]
-        models = iter(_in_parallel(df.sparkSession, tasks, parallelism))
-        return [{name: next(models) for name in quantiles} for _ in candidates]
-    finally:
-        rows.unpersist()
+    """Models of every quantile level for each candidate, from all rows of ``df``."""
+    every = tuple(range(len(features)))
+    fits = [
+        _fit(config, alpha, target=0, last_split=0, features=every, seed=seed)
+        for config in candidates
+        for alpha in quantiles.values()
+    ]
+    models = iter(_fitted(df, fits, features=features, targets=[target], split=None))
+    return [{name: next(models) for name in quantiles} for _ in candidates]
 
 
 def fit_quantile_boost(
@@ -215,24 +176,85 @@ def prepare_features(
     return drop_incomplete(impute_train_median(df, impute), [*features, target])
 
 
-def _search(
-    prepared: DataFrame, target: str, features: Sequence[str], candidates: Sequence[Mapping[str, object]]
-) -> tuple[int, DataFrame, dict[str, QuantileBoostModel]]:
-    """Number of the best candidate, all validation metrics, and its models as fitted on train."""
-    train = prepared.where(F.col("split") == "train")
-    validation = prepared.where(F.col("split") == "validation")
-    tables = []
-    fitted = fit_candidates(train, target=target, features=features, candidates=candidates)
-    for number, (config, models) in enumerate(zip(candidates, fitted)):
-        scored = predict_quantiles(validation, models)
-        tables.append(
-            metric_table(scored, actual=target).select(
-                F.lit(number).alias("candidate"), F.lit(config["name"]).alias("model_name"), "*"
-            )
-        )
+@dataclass
+class Search:
+    """Models of one target and feature set: per candidate, as fitted on train and on all before the test."""
+
+    label: str
+    target: str
+    feature_set: str
+    on_train: list[dict[str, QuantileBoostModel]]
+    refitted: list[dict[str, QuantileBoostModel]]
+
+
+def fit_searches(
+    df: DataFrame,
+    *,
+    targets: Mapping[str, str],
+    feature_sets: Mapping[str, Sequence[str]],
+    candidates: Sequence[Mapping[str, object]] = BOOST_CANDIDATES,
+    refit: bool = True,
+    seed: int = TASK["random_seed"],
+) -> list[Search]:
+    """All candidates of all targets and feature sets on train and, with ``refit``, on train and validation.
+
+    The refits grow in the passes of the search: their number of rounds decides the time, and
+    waiting for the choice would double it. Features missing in a row leave it out of all fits.
+    """
+    names = list(dict.fromkeys(f for features in feature_sets.values() for f in features))
+    columns = list(dict.fromkeys(targets.values()))
+    code = F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1)
+    rows = before_test(df).withColumn("_code", code)
+    ends = (0, 1) if refit else (0,)
+    fits = [
+        _fit(config, alpha, target=columns.index(target), last_split=end, features=tuple(map(names.index, features)), seed=seed)
+        for target in targets.values()
+        for features in feature_sets.values()
+        for end in ends
+        for config in candidates
+        for alpha in QUANTILES.values()
+    ]
+    models = iter(_fitted(rows, fits, features=names, targets=columns, split="_code"))
+    return [
+        Search(label, target, feature_set, *([{q: next(models) for q in QUANTILES} for _ in candidates] if end in ends else [] for end in (0, 1)))
+        for label, target in targets.items()
+        for feature_set in feature_sets
+    ]
+
+
+def _scored(df: DataFrame, models: Sequence[tuple[Mapping[str, object], Mapping[str, QuantileBoostModel]]]) -> DataFrame:
+    """``df`` once per entry: its constant columns, and the quantiles of its models as ``QUANTILES`` names them.
+
+    All models run on an Arrow batch at once; the rows are copied afterwards.
+    """
+    flat = {f"m{k}_{q}": model for k, (_, models_of) in enumerate(models) for q, model in models_of.items()}
+    wide = predict_quantiles(df, flat)
+    entries = F.array(*[
+        F.struct(*[F.lit(v).alias(c) for c, v in constants.items()], *[F.col(f"m{k}_{q}").alias(q) for q in models_of])
+        for k, (constants, models_of) in enumerate(models)
+    ])
+    return wide.select(*df.columns, F.inline(entries))
+
+
+def _candidate_metrics(df: DataFrame, searches: Sequence[Search], candidates: Sequence[Mapping[str, object]]) -> DataFrame:
+    """Validation metrics of every candidate; ``selected`` marks the lowest median pinball loss, the first of ties."""
+    validation, tables = df.where(F.col("split") == "validation"), []
+    by_target: dict[str, list] = {}
+    for search in searches:
+        for number, (config, models) in enumerate(zip(candidates, search.on_train)):
+            constants = {"horizon": search.label, "feature_set": search.feature_set, "candidate": number, "model_name": config["name"]}
+            by_target.setdefault(search.target, []).append((constants, models))
+    for target, models in by_target.items():
+        scored = _scored(validation, models)
+        tables.append(metric_table(scored, actual=target, by=["horizon", "feature_set", "candidate", "model_name"]))
     results = cut_lineage(reduce(DataFrame.unionByName, tables))
-    best = results.agg(F.min_by("candidate", F.struct("pinball_q50", "candidate"))).first()[0]
-    return best, results, fitted[best]
+    group = ["horizon", "feature_set"]
+    best = results.groupBy(*group).agg(F.min_by("candidate", F.struct("pinball_q50", "candidate")).alias("_best"))
+    return results.join(best, group).withColumn("selected", F.col("candidate") == F.col("_best")).drop("_best")
+
+
+def _choices(results: DataFrame) -> dict[tuple[str, str], int]:
+    return {(r.horizon, r.feature_set): r.candidate for r in results.where("selected").collect()}
 
 
 def search_candidates(
@@ -247,8 +269,9 @@ def search_candidates(
     Returns the settings with the lowest median pinball loss (the first wins ties)
     and the table of all validation metrics.
     """
-    best, results, _ = _search(prepared, target, features, candidates)
-    return candidates[best], results
+    searches = fit_searches(prepared, targets={"": target}, feature_sets={"": features}, candidates=candidates, refit=False)
+    results = _candidate_metrics(prepared, searches, candidates)
+    return candidates[_choices(results)["", ""]], results.drop("horizon", "feature_set")
 
 
 def refit_and_score_test(
@@ -279,32 +302,19 @@ def train_horizons(
     impute: Sequence[str] = (),
     candidates: Sequence[Mapping[str, object]] = BOOST_CANDIDATES,
 ) -> DataFrame:
-    """Select, refit and score one model per horizon; test predictions of all horizons.
-
-    The feature list decides between the plain and the weather-augmented models.
-    The needed columns are materialised once, because every fit reads them.
-    """
-    targets = [f"{target_prefix}{label}" for label in labels]
-    needed = dict.fromkeys([*keep, "split", *features, *targets])
-    table = cut_lineage(df.select(*needed))
-    parts = []
-    for label, target in zip(labels, targets):
-        prepared = prepare_features(table, target=target, features=features, impute=impute)
-        best, _ = search_candidates(prepared, target=target, features=features, candidates=candidates)
-        scored = refit_and_score_test(
-            prepared, target=target, features=features, config=best, keep=keep
-        )
-        parts.append(
-            scored.withColumnRenamed(target, "actual_target_mw").withColumn("horizon", F.lit(label))
-        )
-    return reduce(DataFrame.unionByName, parts)
+    """Select, refit and score one model per horizon; test predictions of all horizons."""
+    predictions, _ = score_horizons(
+        df, horizons=dict.fromkeys(labels, 0), features=features, keep=keep,
+        target_prefix=target_prefix, impute=impute, candidates=candidates,
+    )
+    return predictions.where(F.col("split") == "test").drop("split", "lead_steps", "feature_set")
 
 
 def score_horizons(
     df: DataFrame,
     *,
     horizons: Mapping[str, int],
-    features: Sequence[str],
+    features: Sequence[str] | Mapping[str, Sequence[str]],
     keep: Sequence[str],
     target_prefix: str = "load_target_",
     impute: Sequence[str] = (),
@@ -312,29 +322,31 @@ def score_horizons(
 ) -> tuple[DataFrame, DataFrame]:
     """Validation and test predictions of every horizon (label to lead), and the candidate table.
 
-    Validation rows are predicted by the chosen candidate as fitted on train only, so
-    intervals can be calibrated on them; test rows by the refit on train and
-    validation. Both carry ``split``, ``horizon``, ``lead_steps`` and
-    ``actual_target_mw``, which the calibration and the horizon report take as they are.
+    ``features`` may name several feature sets, such as one with weather; each is searched
+    by itself, in the same passes. Validation rows are predicted by the chosen candidate as
+    fitted on train only, so intervals can be calibrated on them; test rows by the refit on
+    train and validation. Both carry ``split``, ``horizon``, ``lead_steps``, ``feature_set``
+    and ``actual_target_mw``, which the calibration and the horizon report take as they are.
     """
+    sets = dict(features) if isinstance(features, Mapping) else {"all": list(features)}
     targets = {label: f"{target_prefix}{label}" for label in horizons}
-    needed = dict.fromkeys([*keep, "split", *features, *targets.values()])
-    table = cut_lineage(df.select(*needed))
-    parts, tables = [], []
+    every = list(dict.fromkeys(f for names in sets.values() for f in names))
+    needed = dict.fromkeys([*keep, "split", *every, *targets.values()])
+    prepared = cut_lineage(drop_incomplete(impute_train_median(df.select(*needed), impute), every))
+    searches = fit_searches(prepared, targets=targets, feature_sets=sets, candidates=candidates)
+    results = _candidate_metrics(prepared, searches, candidates)
+    chosen, parts = _choices(results), []
     for label, target in targets.items():
-        prepared = prepare_features(table, target=target, features=features, impute=impute)
-        best, results, models = _search(prepared, target, features, candidates)
-        name = F.lit(candidates[best]["name"])
-        validation = predict_quantiles(prepared.where(F.col("split") == "validation"), models)
-        validation = validation.select(*keep, target, name.alias("model_name"), *models)
-        test = refit_and_score_test(
-            prepared, target=target, features=features, config=candidates[best], keep=keep
-        )
-        for split, rows in (("validation", validation), ("test", test)):
-            labelled = rows.withColumnRenamed(target, "actual_target_mw").withColumn("split", F.lit(split))
-            parts.append(
-                labelled.withColumns({"horizon": F.lit(label), "lead_steps": F.lit(horizons[label])})
-            )
-        chosen = F.col("candidate") == best
-        tables.append(results.withColumns({"horizon": F.lit(label), "selected": chosen}))
-    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, tables)
+        for split in ("validation", "test"):
+            models = []
+            for search in searches:
+                if search.label == label:
+                    best = chosen[label, search.feature_set]
+                    constants = {
+                        "model_name": candidates[best]["name"], "feature_set": search.feature_set,
+                        "horizon": label, "lead_steps": horizons[label], "split": split,
+                    }
+                    models.append((constants, (search.on_train if split == "validation" else search.refitted)[best]))
+            rows = prepared.where((F.col("split") == split) & F.col(target).isNotNull())
+            parts.append(_scored(rows.select(*keep, *every, F.col(target).alias("actual_target_mw")), models).drop(*[f for f in every if f not in keep]))
+    return reduce(DataFrame.unionByName, parts), results

@@ -80,7 +80,7 @@ def fit_seasonal_arma(
     stage1 = C.drop_halo(placed.withColumns(_lagged("_z", first, "_long", keys)))
     names1 = [f"_long{k}" for k in first]
     fit1 = fit_least_squares(stage1, y="_z", x=names1, keys=keys).select(*keys, "coefficients")
-    residuals = C.salted_lookup(stage1, fit1, keys, salt_on=[ts]).select(
+    residuals = C.keyed_lookup(stage1, fit1, keys).select(
         *keys, ts, value, "_z", (F.col("_z") - linear_value(names1)).alias("_e")
     )
     residuals = cut_lineage(residuals)
@@ -134,7 +134,7 @@ def forecast_seasonal_arma(
     if keys:
         joined = state.join(last, keys).join(ready, keys)
     else:
-        joined = C.salted_lookup(state, last, [], salt_on=[]).withColumn("coefficients", ready.scalar())
+        joined = C.keyed_lookup(state, last, []).withColumn("coefficients", ready.scalar())
         joined = joined.where(F.col("coefficients").isNotNull())
     no_level = F.raise_error(F.lit("a differenced series has no known value to start from")).cast("double")
     joined = joined.withColumn("_steps", (end - F.col("_origin")).cast("int"))

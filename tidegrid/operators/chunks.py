@@ -16,10 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.session import shuffle_partitions
-
 CHUNK_ROWS = 8192
-MAX_SALTS = 64
+SUPER_CHUNKS = 4096
 
 POSITION = "_position"
 CHUNK = "_chunk"
@@ -117,14 +115,53 @@ def drop_halo(df: DataFrame) -> DataFrame:
     return df.where(F.col(HOME)).drop(POSITION, CHUNK, HOME)
 
 
-def chunk_order(series_keys: Sequence[str] = (), *, descending: bool = False) -> WindowSpec:
-    """Order of the chunks of a series, for per-chunk summaries.
+def scan_chunks(
+    summary: DataFrame,
+    keys: Sequence[str],
+    *,
+    sums: Sequence[str] = (),
+    earlier: Sequence[str] = (),
+    later: Sequence[str] = (),
+) -> DataFrame:
+    """Carry per-chunk summaries along the chunks of every series; one row per series and chunk.
 
-    It sees one row per chunk, so its groups are ``CHUNK_ROWS`` times shorter
-    than the series.
+    ``sums`` become totals of the chunks before, ``earlier`` the nearest value before that is
+    not NULL, ``later`` the nearest one after. Chunks form super-chunks of ``SUPER_CHUNKS``: a
+    window runs over the chunks of one super-chunk, and one over the super-chunks of a series,
+    each of which stands for ``CHUNK_ROWS * SUPER_CHUNKS`` steps (over a thousand years of hours).
     """
-    order = F.col(CHUNK).desc() if descending else F.col(CHUNK).asc()
-    return Window.partitionBy(*series_keys).orderBy(order)
+    keys, upper = list(keys), "_super"
+    names = [*sums, *earlier, *later]
+    placed = summary.select(*keys, CHUNK, floor_div(F.col(CHUNK), SUPER_CHUNKS).alias(upper), *names)
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col(CHUNK))
+    tops = placed.groupBy(*keys, upper).agg(
+        *[F.sum(c).alias(c) for c in sums],
+        *[F.max_by(c, known(c)).alias(c) for c in earlier],
+        *[F.min_by(c, known(c)).alias(c) for c in later],
+    )
+
+    def carried(window: WindowSpec, backwards: WindowSpec) -> dict[str, Column]:
+        before = window.rowsBetween(Window.unboundedPreceding, -1)
+        after = backwards.rowsBetween(Window.unboundedPreceding, -1)
+        return (
+            {c: F.sum(c).over(before) for c in sums}
+            | {c: F.last(c, ignorenulls=True).over(before) for c in earlier}
+            | {c: F.last(c, ignorenulls=True).over(after) for c in later}
+        )
+
+    across = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    outer = carried(across.orderBy(upper), across.orderBy(F.desc(upper)))
+    within = Window.partitionBy(*keys, upper)
+    inner = carried(within.orderBy(CHUNK), within.orderBy(F.desc(CHUNK)))
+    above = tops.select(*keys, upper, *[value.alias(f"_above_{c}") for c, value in outer.items()])
+    joined = placed.select(*keys, CHUNK, upper, *[value.alias(c) for c, value in inner.items()]).join(above, [*keys, upper])
+    zero = F.lit(0)
+    return joined.select(
+        *keys,
+        CHUNK,
+        *[(F.coalesce(c, zero) + F.coalesce(f"_above_{c}", zero)).alias(c) for c in sums],
+        *[F.coalesce(c, f"_above_{c}").alias(c) for c in (*earlier, *later)],
+    )
 
 
 def add_row_number(
@@ -146,12 +183,8 @@ def add_row_number(
     size = rows or CHUNK_ROWS
     keys = list(series_keys)
     chunked = df.withColumn(CHUNK, floor_div(grid_position(F.col(ts), step), size))
-    before = chunk_order(keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        chunked.groupBy(*keys, CHUNK)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, CHUNK, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    )
+    counts = chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_offset"))
+    offsets = scan_chunks(counts, keys, sums=["_offset"])
     local = F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(ts))
     return (
         chunked.withColumn("_local", local)
@@ -161,27 +194,15 @@ def add_row_number(
     )
 
 
-def salted_lookup(
-    big: DataFrame,
-    small: DataFrame,
-    keys: Sequence[str],
-    *,
-    salt_on: Sequence[str],
-    salts: int | None = None,
-) -> DataFrame:
-    """Left join per-key values to ``big`` while spreading hot keys over many tasks.
+def keyed_lookup(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join per-key values to ``big``, also for keys that hold most rows.
 
-    The salt is a hash of row content, so a recomputed task repeats it. The values
-    are copied once per salt, hence the limit on their number; adaptive execution
-    splits a part that is still too large, and broadcasts the values instead when
-    their measured size is within its threshold. Without keys the single row comes
-    as a scalar subquery.
+    ``small`` has one row per key. Adaptive execution broadcasts it if it measures it within
+    its threshold, and otherwise splits the parts of hot keys by their measured size. Without
+    keys the single row comes as a scalar subquery.
     """
     values = [c for c in small.columns if c not in keys]
     if not keys:
         row = small.select(F.struct(*values).alias("_row")).scalar()
         return big.withColumn("_row", row).select(*big.columns, *[F.col(f"_row.{v}") for v in values])
-    n = salts or min(MAX_SALTS, shuffle_partitions(big.sparkSession))
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(n)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return salted.join(copies, [*keys, "_salt"], "left").select(*big.columns, *values)
+    return big.join(small, list(keys), "left").select(*big.columns, *values)

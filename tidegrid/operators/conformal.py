@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.operators.chunks import salted_lookup
-from tidegrid.operators.order_stats import ACCURACY, order_statistic
+from tidegrid.operators.chunks import keyed_lookup
+from tidegrid.operators.order_stats import LEFT, order_statistic
 
 
 def conformal_adjustment(
@@ -19,8 +19,7 @@ def conformal_adjustment(
     upper: str = "pred_q90",
     level: float = 0.8,
     keys: Sequence[str] = (),
-    salt_on: Sequence[str] = (),
-    accuracy: int = ACCURACY,
+    left: int = LEFT,
 ) -> DataFrame:
     """Adjustment per group: the score of rank ``ceil((n + 1) * level)``.
 
@@ -29,17 +28,14 @@ def conformal_adjustment(
     """
     a = F.col(actual)
     score = F.greatest(F.col(lower) - a, a - F.col(upper))
-    kept = list(dict.fromkeys([*keys, *salt_on]))
-    scores = scored.where(a.isNotNull()).select(*kept, score.alias("_score"))
+    scores = scored.where(a.isNotNull()).select(*keys, score.alias("_score"))
     # The small offset keeps float rounding of (n + 1) * level from moving the rank.
     return order_statistic(
         scores,
         "_score",
-        level,
         {"adjustment": lambda n: F.ceil((n + 1) * F.lit(level) - F.lit(1e-9))},
         keys=keys,
-        salt_on=salt_on,
-        accuracy=accuracy,
+        left=left,
     )
 
 
@@ -53,8 +49,7 @@ def conformal_calibrate(
     keys: Sequence[str] = (),
     split: str = "split",
     calibrate_on: str = "validation",
-    salt_on: Sequence[str] = (),
-    accuracy: int = ACCURACY,
+    left: int = LEFT,
 ) -> DataFrame:
     """Widen every interval by the adjustment learned on the validation rows of its group.
 
@@ -68,12 +63,9 @@ def conformal_calibrate(
         upper=upper,
         level=level,
         keys=keys,
-        salt_on=salt_on,
-        accuracy=accuracy,
+        left=left,
     ).select(*keys, "adjustment")
     widen = F.coalesce(F.col("adjustment"), F.lit(float("inf")))
-    return salted_lookup(
-        predictions, fitted, keys, salt_on=list(salt_on) or [actual, lower, upper]
-    ).withColumns(
+    return keyed_lookup(predictions, fitted, keys).withColumns(
         {"calibrated_lower": F.col(lower) - widen, "calibrated_upper": F.col(upper) + widen}
     )

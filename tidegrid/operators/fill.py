@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.operators import chunks as C
-from tidegrid.operators.order_stats import approximate_median, median
+from tidegrid.operators.order_stats import medians
 
 
 def interpolate(
@@ -55,46 +55,30 @@ def interpolate(
     seconds = C.micros(F.col(ts)) / 1e6
     x = F.col(C.POSITION).cast("double") if method == "linear" else seconds
 
+    def found(name: str) -> Column:
+        point = F.struct(F.col(C.POSITION).alias("at"), x.alias("x"), F.col(name).alias("y"))
+        return F.when(F.col(name).isNotNull(), point)
+
     summaries = []
     for i, name in enumerate(names):
         at = F.when(F.col(name).isNotNull(), F.col(C.POSITION))
-        summaries += [
-            F.max(at).alias(f"_last_at{i}"),
-            F.max_by(x, at).alias(f"_last_x{i}"),
-            F.max_by(F.col(name), at).alias(f"_last_y{i}"),
-            F.min(at).alias(f"_first_at{i}"),
-            F.min_by(x, at).alias(f"_first_x{i}"),
-            F.min_by(F.col(name), at).alias(f"_first_y{i}"),
-        ]
-    earlier = C.chunk_order(keys).rowsBetween(Window.unboundedPreceding, -1)
-    later = C.chunk_order(keys, descending=True).rowsBetween(Window.unboundedPreceding, -1)
-    carried = []
-    for i in range(len(names)):
-        for part in ("at", "x", "y"):
-            carried.append(
-                F.last(f"_last_{part}{i}", ignorenulls=True).over(earlier).alias(f"_before_{part}{i}")
-            )
-            carried.append(
-                F.last(f"_first_{part}{i}", ignorenulls=True).over(later).alias(f"_after_{part}{i}")
-            )
-    carry = chunked.groupBy(*keys, C.CHUNK).agg(*summaries).select(*keys, C.CHUNK, *carried)
+        summaries += [F.max_by(found(name), at).alias(f"_before{i}"), F.min_by(found(name), at).alias(f"_after{i}")]
+    sides = [[f"_{side}{i}" for i in range(len(names))] for side in ("before", "after")]
+    carry = C.scan_chunks(chunked.groupBy(*keys, C.CHUNK).agg(*summaries), keys, earlier=sides[0], later=sides[1])
 
     upward = C.chunk_window(keys).rowsBetween(Window.unboundedPreceding, 0)
     downward = C.chunk_window(keys, descending=True).rowsBetween(Window.unboundedPreceding, 0)
     neighbours = {}
     for i, name in enumerate(names):
-        valid = F.when(
-            F.col(name).isNotNull(),
-            F.struct(F.col(C.POSITION).alias("at"), x.alias("x"), F.col(name).alias("y")),
-        )
+        valid = found(name)
         neighbours[f"_p{i}"] = F.last(valid, ignorenulls=True).over(upward)
         neighbours[f"_n{i}"] = F.last(valid, ignorenulls=True).over(downward)
     joined = chunked.withColumns(neighbours).join(carry, [*keys, C.CHUNK], "left")
 
     filled = {}
     for i, name in enumerate(names):
-        p_at, p_x, p_y = (F.coalesce(f"_p{i}.{part}", f"_before_{part}{i}") for part in ("at", "x", "y"))
-        n_at, n_x, n_y = (F.coalesce(f"_n{i}.{part}", f"_after_{part}{i}") for part in ("at", "x", "y"))
+        p_at, p_x, p_y = (F.coalesce(f"_p{i}.{part}", f"_before{i}.{part}") for part in ("at", "x", "y"))
+        n_at, n_x, n_y = (F.coalesce(f"_n{i}.{part}", f"_after{i}.{part}") for part in ("at", "x", "y"))
         near = F.coalesce(F.col(C.POSITION) - p_at <= limit, F.lit(False))
         if direction == "both":
             near = near | F.coalesce(n_at - F.col(C.POSITION) <= limit, F.lit(False))
@@ -112,25 +96,23 @@ def impute_train_median(
     split: str = "split",
     train: str = "train",
     keys: Sequence[str] = (),
-    salt_on: Sequence[str] = (),
     exact: bool = True,
 ) -> DataFrame:
     """Fill features with their median over the training rows only, in every split.
 
-    ``exact=False`` takes a one-pass sketch instead of the exact median.
+    ``exact=False`` takes a one-pass sketch instead of the exact median. All columns are
+    measured together and looked up once.
     """
-    fit = median if exact else approximate_median
-    result = df
-    for name in columns:
-        fitted = fit(df.where(F.col(split) == train), name, keys=keys).withColumnRenamed(
-            "median", "_median"
-        )
-        result = (
-            C.salted_lookup(result, fitted, keys, salt_on=salt_on or [name])
-            .withColumn(name, F.coalesce(F.col(name), F.col("_median")))
-            .select(*df.columns)
-        )
-    return result
+    if not columns:
+        return df
+    rows = df.where(F.col(split) == train)
+    if exact:
+        fitted = medians(rows, columns, keys=keys)
+    else:
+        fitted = rows.groupBy(*keys).agg(*[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in columns])
+    fitted = fitted.withColumnsRenamed({c: f"_median_{c}" for c in columns})
+    filled = C.keyed_lookup(df, fitted, keys).withColumns({c: F.coalesce(c, f"_median_{c}") for c in columns})
+    return filled.select(*df.columns)
 
 
 def drop_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
