@@ -2,21 +2,25 @@
 
 A long autoregression gives residuals; a second regression on lags of the series
 and of those residuals gives the ARMA coefficients. Numbers differ from a
-maximum-likelihood fit. Everything is per series: sums of products are
-distributed, and the recursive forecast is a fold over the horizon.
+maximum-likelihood fit. Everything is per series: covariances are distributed and
+centred, all candidate orders share the passes of both stages, and the recursive
+forecast runs step by step over arrays of many series.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.models.least_squares import fit_least_squares, linear_value
 from tidegrid.operators import chunks as C
+from tidegrid.operators.grid import align_to_grid
 from tidegrid.operators.metrics import point_metrics
 from tidegrid.operators.splits import before_test
 from tidegrid.session import cut_lineage
@@ -44,56 +48,106 @@ def long_lags(order: Sequence[int], seasonal_order: Sequence[int]) -> list[int]:
     return sorted(short | ({s + j for j in range(m)} if seasonal_order[0] + seasonal_order[2] else set()))
 
 
-def _stationary(df: DataFrame, value: str, d: int, keys: Sequence[str]) -> DataFrame:
-    y = F.col(value)
-    z = y - C.at_step(y, -1, C.chunk_window(keys)) if d else y
-    return df.withColumn("_z", z)
+def _padded(columns: Sequence[Column], width: int) -> Column:
+    """Regressors of one candidate; zeros after them get the coefficient 0."""
+    return F.array(*columns, *[F.lit(0.0)] * (width - len(columns)))
 
 
-def _lagged(column: str, lags: Sequence[int], stem: str, keys: Sequence[str]) -> dict[str, Column]:
-    return {f"{stem}{k}": C.at_step(column, -k, C.chunk_window(keys)) for k in lags}
-
-
-def fit_seasonal_arma(
+def fit_arma_candidates(
     train: DataFrame,
+    specs: Sequence[Mapping[str, object]],
     *,
     value: str,
     ts: str,
-    order: Sequence[int],
-    seasonal_order: Sequence[int],
     series_keys: Sequence[str] = (),
     step: str = "1 hour",
 ) -> tuple[DataFrame, DataFrame]:
-    """Fit every series of a complete grid (NULL at gaps).
+    """Fit all candidate orders to every series, each stage of all of them in one pass.
 
-    Returns the coefficients with AIC per series, and the series with ``_z``
-    (differenced value) and ``_e`` (first-stage residual) for forecasting.
+    The series are put on their complete grid first (NULL at gaps). Returns, per series and
+    ``candidate`` (the number in ``specs``), the coefficients with AIC, and the series with
+    ``_z`` (differenced value) and ``_e`` (first-stage residual) for forecasting.
     """
     C.time_type(train, ts)
-    keys, d = list(series_keys), order[1]
-    ar, ma = arma_lags(order, seasonal_order)
-    first = long_lags(order, seasonal_order)
-    base = train.select(*keys, ts, value)
-
-    position = C.grid_position(F.col(ts), step)
-    placed = _stationary(C.add_chunks(base, position, back=max(first) + d), value, d, keys)
-    stage1 = C.drop_halo(placed.withColumns(_lagged("_z", first, "_long", keys)))
-    names1 = [f"_long{k}" for k in first]
-    fit1 = fit_least_squares(stage1, y="_z", x=names1, keys=keys).select(*keys, "coefficients")
-    residuals = C.keyed_lookup(stage1, fit1, keys).select(
-        *keys, ts, value, "_z", (F.col("_z") - linear_value(names1)).alias("_e")
+    keys = list(series_keys)
+    group = [*keys, "candidate"]
+    parts = [(*arma_lags(s["order"], s["seasonal_order"]), s["order"][1], long_lags(s["order"], s["seasonal_order"])) for s in specs]
+    base = align_to_grid(train.select(*keys, ts, value), ts=ts, series_keys=keys, step=step)
+
+    needed = sorted({k + extra for _, _, d, first in parts for k in (0, *first) for extra in range(d + 1)})
+    placed = C.add_chunks(base, C.grid_position(F.col(ts), step), back=max(needed))
+    window = C.chunk_window(keys)
+    lagged = C.drop_halo(placed.withColumns({f"_y{k}": C.at_step(F.col(value).cast("double"), -k, window) for k in needed}))
+    width = max(len(first) for *_, first in parts)
+    z = lambda k, d: F.col(f"_y{k}") - F.col(f"_y{k + 1}") if d else F.col(f"_y{k}")
+    entries = F.array(*[
+        F.struct(F.lit(c).alias("candidate"), z(0, d).alias("_z"), _padded([z(k, d) for k in first], width).alias("_x"))
+        for c, (_, _, d, first) in enumerate(parts)
+    ])
+    stage1 = lagged.select(*keys, ts, value, F.inline(entries)).select(
+        *group, ts, value, "_z", *[F.col("_x")[i].alias(f"_long{i}") for i in range(width)]
+    )
+    names1 = [f"_long{i}" for i in range(width)]
+    fit1 = fit_least_squares(stage1, y="_z", x=names1, keys=group).select(*group, "coefficients")
+    residuals = C.keyed_lookup(stage1, fit1, group).select(
+        *group, ts, value, "_z", (F.col("_z") - linear_value(names1)).alias("_e")
     )
     residuals = cut_lineage(residuals)
 
-    chunked = C.add_chunks(residuals, C.grid_position(F.col(ts), step), back=max([*ar, *ma]))
-    stage2 = C.drop_halo(
-        chunked.withColumns(_lagged("_z", ar, "_ar", keys) | _lagged("_e", ma, "_ma", keys))
-    )
-    names2 = [f"_ar{k}" for k in ar] + [f"_ma{k}" for k in ma]
-    fit2 = fit_least_squares(stage2, y="_z", x=names2, keys=keys)
+    ar_all, ma_all = (sorted({k for part in parts for k in part[side]}) for side in (0, 1))
+    chunked = C.add_chunks(residuals, C.grid_position(F.col(ts), step), back=max([*ar_all, *ma_all]))
+    window = C.chunk_window(group)
+    lags = {f"_ar{k}": C.at_step("_z", -k, window) for k in ar_all} | {f"_ma{k}": C.at_step("_e", -k, window) for k in ma_all}
+    width = max(len(ar) + len(ma) for ar, ma, *_ in parts)
+    chosen = F.array(*[_padded([F.col(f"_ar{k}") for k in ar] + [F.col(f"_ma{k}") for k in ma], width) for ar, ma, *_ in parts])
+    stage2 = C.drop_halo(chunked.withColumns(lags)).withColumn("_x", chosen[F.col("candidate")])
+    names2 = [f"_x{i}" for i in range(width)]
+    fit2 = fit_least_squares(stage2.select(*group, "_z", *[F.col("_x")[i].alias(c) for i, c in enumerate(names2)]), y="_z", x=names2, keys=group)
+    sizes = F.array(*[F.lit(len(ar) + len(ma)) for ar, ma, *_ in parts])[F.col("candidate")]
     n = F.col("n")
-    aic = n * F.log(F.greatest(F.col("rss"), F.lit(1e-300)) / n) + 2 * (len(names2) + 2)
-    return fit2.withColumn("aic", aic), residuals
+    aic = n * F.log(F.greatest(F.col("rss"), F.lit(1e-300)) / n) + 2 * (sizes + 2)
+    return fit2.withColumns({"aic": aic, "coefficients": F.slice("coefficients", F.lit(1), sizes + 1)}), residuals
+
+
+def fit_seasonal_arma(
+    train: DataFrame,
+    *,
+    value: str,
+    ts: str,
+    order: Sequence[int],
+    seasonal_order: Sequence[int],
+    series_keys: Sequence[str] = (),
+    step: str = "1 hour",
+) -> tuple[DataFrame, DataFrame]:
+    """``fit_arma_candidates`` of a single order."""
+    spec = {"order": order, "seasonal_order": seasonal_order}
+    fits, residuals = fit_arma_candidates(train, [spec], value=value, ts=ts, series_keys=series_keys, step=step)
+    return fits.drop("candidate"), residuals.drop("candidate")
+
+
+def _paths(ar: Sequence[int], ma: Sequence[int], d: int):
+    """Forecasts of many series: one step after the other, each in constant time."""
+
+    @F.pandas_udf("array<double>")
+    def path(z: pd.Series, e: pd.Series, mean: pd.Series, level: pd.Series, coefficients: pd.Series, steps: pd.Series) -> pd.Series:
+        out = []
+        for z0, e0, usual, known, b, n in zip(z, e, mean, level, coefficients, steps):
+            past, shocks = np.empty(len(z0) + n), np.asarray(e0, float)
+            past[: len(z0)] = z0
+            for h in range(n):
+                now = len(z0) + h
+                total = b[0]
+                for i, k in enumerate(ar, start=1):
+                    total += b[i] * (past[now - k] if now >= k else usual)
+                for i, k in enumerate(ma, start=1 + len(ar)):
+                    if h < k <= now:  # later shocks are zero
+                        total += b[i] * shocks[now - k]
+                past[now] = total
+            ahead = past[len(z0):]
+            out.append(known + np.cumsum(ahead) if d else ahead)
+        return pd.Series(out)
+
+    return path
 
 
 def forecast_seasonal_arma(
@@ -137,33 +191,10 @@ def forecast_seasonal_arma(
         joined = C.keyed_lookup(state, last, []).withColumn("coefficients", ready.scalar())
         joined = joined.where(F.col("coefficients").isNotNull())
     no_level = F.raise_error(F.lit("a differenced series has no known value to start from")).cast("double")
-    joined = joined.withColumn("_steps", (end - F.col("_origin")).cast("int"))
     z0 = F.transform("_rows", lambda r: F.coalesce(r["_z"], F.col("_mean")))
     e0 = F.transform("_rows", lambda r: F.coalesce(r["_e"], F.lit(0.0)))
-    initial = F.struct(
-        z0.alias("z"),
-        e0.alias("e"),
-        (F.coalesce(F.col("_level"), no_level) if d else F.lit(0.0)).alias("level"),
-        F.array().cast("array<double>").alias("out"),
-    )
-    b = F.col("coefficients")
-
-    def advance(s: Column, _: Column) -> Column:
-        z = b[0]
-        for i, k in enumerate(ar, start=1):
-            z = z + b[i] * F.coalesce(F.try_element_at(s["z"], F.lit(-k)), F.col("_mean"))
-        for i, k in enumerate(ma, start=1 + len(ar)):
-            z = z + b[i] * F.coalesce(F.try_element_at(s["e"], F.lit(-k)), F.lit(0.0))
-        level = s["level"] + z if d else z
-        kept = memory - 1
-        return F.struct(
-            F.concat(F.slice(s["z"], F.greatest(F.size(s["z"]) - kept + 1, F.lit(1)), F.lit(kept)), F.array(z)).alias("z"),
-            F.concat(F.slice(s["e"], F.greatest(F.size(s["e"]) - kept + 1, F.lit(1)), F.lit(kept)), F.array(F.lit(0.0))).alias("e"),
-            level.alias("level"),
-            F.concat(s["out"], F.array(level)).alias("out"),
-        )
-
-    path = F.aggregate(F.sequence(F.lit(1), F.col("_steps")), initial, advance, lambda s: s["out"])
+    level = F.coalesce(F.col("_level"), no_level) if d else F.lit(0.0)
+    path = _paths(ar, ma, d)(z0, e0, F.col("_mean"), level, F.col("coefficients"), (end - F.col("_origin")).cast("int"))
     return joined.select(*keys, "_origin", F.posexplode(path).alias("_i", "forecast")).select(
         *keys,
         C.slot_start(F.col("_origin") + F.col("_i") + 1, step, data_type).alias(ts),
@@ -179,18 +210,35 @@ def _steps_to_end(train: DataFrame, scored: DataFrame, ts: str, step: str) -> in
     return 1 if known is None or end is None else max(1, end - known)
 
 
-def _run(train: DataFrame, scored: DataFrame, spec: Mapping[str, object], common: dict, steps: int | None):
+def _run(
+    train: DataFrame, scored: DataFrame, specs: Sequence[Mapping[str, object]], common: dict, steps: int | None
+) -> tuple[DataFrame, DataFrame]:
+    """Fits of all candidates, and the scored rows with each one's forecast."""
     if steps is None:
         steps = _steps_to_end(train, scored, common["ts"], common["step"])
-    options = {**common, "order": spec["order"], "seasonal_order": spec["seasonal_order"]}
-    fits, residuals = fit_seasonal_arma(train, **options)
+    fits, residuals = fit_arma_candidates(train, specs, **common)
     fits = cut_lineage(fits)
-    forecasts = forecast_seasonal_arma(fits, residuals, steps=steps, **options)
-    keys = list(common["series_keys"])
-    joined = scored.join(forecasts, [*keys, common["ts"]], "left").withColumn(
-        "model_name", F.lit(spec["name"])
+    keys, parts = list(common["series_keys"]), []
+    for c, spec in enumerate(specs):
+        mine = F.col("candidate") == c
+        forecasts = forecast_seasonal_arma(
+            fits.where(mine), residuals.where(mine), steps=steps, order=spec["order"], seasonal_order=spec["seasonal_order"], **common
+        )
+        joined = scored.join(forecasts, [*keys, common["ts"]], "left")
+        parts.append(joined.withColumns({"candidate": F.lit(c), "model_name": F.lit(spec["name"])}))
+    return fits, reduce(DataFrame.unionByName, parts)
+
+
+def _candidate_results(train: DataFrame, scored: DataFrame, specs: Sequence[Mapping[str, object]], common: dict, steps: int | None) -> dict[str, tuple]:
+    """Error, AIC and rows without a forecast by candidate."""
+    value = common["value"]
+    fits, joined = _run(train, scored, specs, common, steps)
+    lost = F.count_if(F.col(value).isNotNull() & F.col("forecast").isNull()).alias("unforecast_rows")
+    metrics = point_metrics(joined, actual=value, forecast="forecast", by=["candidate"]).drop("row_count")
+    table = metrics.join(joined.groupBy("candidate").agg(lost), "candidate").join(
+        fits.groupBy("candidate").agg(F.sum("aic").alias("aic")), "candidate", "left"
     )
-    return fits, joined
+    return {specs[r.candidate]["name"]: (r.mae, r.rmse, r.aic, r.unforecast_rows, None) for r in table.collect()}
 
 
 def search_orders(
@@ -203,7 +251,7 @@ def search_orders(
     step: str = "1 hour",
     candidates: Sequence[Mapping[str, object]] = ARMA_CANDIDATES,
 ) -> tuple[Mapping[str, object], DataFrame]:
-    """Fit each candidate on train, score validation, keep the lowest RMSE (first wins ties).
+    """Fit all candidates on train together, score validation, keep the lowest RMSE (first wins ties).
 
     Candidates that leave fewer known rows without a forecast come first; their number is
     reported. A candidate that fails is recorded with its error; all failing is an error.
@@ -211,31 +259,29 @@ def search_orders(
     """
     common = {"value": value, "ts": ts, "series_keys": tuple(series_keys), "step": step}
     table = cut_lineage(df.select(*series_keys, ts, value, "split"))
-    train = table.where(F.col("split") == "train")
+    train = table.where(F.col("split") == "train").drop("split")
     validation = table.where(F.col("split") == "validation").drop("split")
-    results, best, best_rank = [], None, (math.inf, math.inf)
-    for spec in candidates:
-        try:
-            fits, joined = _run(train, validation, spec, common, steps)
-            metrics = point_metrics(joined, actual=value, forecast="forecast").first()
-            lost = F.col(value).isNotNull() & F.col("forecast").isNull()
-            unforecast = joined.where(lost).count()
-            aic = fits.agg(F.sum("aic")).first()[0]
-            if metrics["rmse"] is None or aic is None:
-                raise ValueError("no series could be fitted")
-        except (PySparkException, ValueError) as error:
-            results.append((spec["name"], None, None, None, None, str(error).split("\n")[0]))
-            continue
-        results.append((spec["name"], metrics["mae"], metrics["rmse"], aic, unforecast, None))
-        if (unforecast, metrics["rmse"]) < best_rank:
-            best, best_rank = spec, (unforecast, metrics["rmse"])
-    if best is None:
+    found: dict[str, tuple] = {}
+    try:
+        found = _candidate_results(train, validation, candidates, common, steps)
+    except (PySparkException, ValueError):
+        # One candidate fails them all: find out which.
+        for spec in candidates:
+            try:
+                found |= _candidate_results(train, validation, [spec], common, steps)
+            except (PySparkException, ValueError) as error:
+                found[spec["name"]] = (None, None, None, None, str(error).split("\n")[0])
+    unfitted = (None, None, None, None, "no series could be fitted")
+    results = [(s["name"], *found.get(s["name"], unfitted)) for s in candidates]
+    results = [r if r[5] or None not in r[2:4] else (r[0], *unfitted) for r in results]
+    ranked = [(r[4], r[2], c) for c, r in enumerate(results) if r[5] is None]
+    if not ranked:
         raise RuntimeError(f"no seasonal ARMA candidate could be fitted: {results}")
     summary = df.sparkSession.createDataFrame(
         results,
         "model_name string, mae double, rmse double, aic double, unforecast_rows bigint, error string",
     )
-    return best, summary
+    return candidates[min(ranked)[2]], summary
 
 
 def refit_and_score_test(
@@ -254,4 +300,4 @@ def refit_and_score_test(
     """
     common = {"value": value, "ts": ts, "series_keys": tuple(series_keys), "step": step}
     test = df.where(F.col("split") == "test").select(*series_keys, ts, value)
-    return _run(before_test(df), test, spec, common, steps)[1]
+    return _run(before_test(df), test, [spec], common, steps)[1].drop("candidate")

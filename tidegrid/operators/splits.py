@@ -99,6 +99,11 @@ class RollingOrigin:
         """Rows at or before the origin of one fold."""
         return df.where(F.col(ts) <= self.origin(fold).cast(C.time_type(df, ts)))
 
+    def first_fold(self, ts: str) -> Column:
+        """The first fold that trains on a row; beyond ``folds`` if none does."""
+        behind = C.grid_position(F.col(ts), self.step) - self._origin_position()
+        return F.greatest(-C.floor_div(-behind, self.stride) + 1, F.lit(1).cast("bigint")).cast("int")
+
     def scored_rows(self, df: DataFrame, ts: str) -> DataFrame:
         """Rows to forecast, once per fold they belong to, with ``fold`` and ``lead_steps``.
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.models.least_squares import fit_expanding, linear_value
+from tidegrid.operators import chunks as C
 from tidegrid.operators.metrics import scored_metrics
 from tidegrid.operators.splits import RollingOrigin
 
@@ -44,3 +46,19 @@ def walk_forward(
         for k in range(1, folds.folds + 1)
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def walk_forward_least_squares(
+    df: DataFrame, folds: RollingOrigin, *, y: str, x: Sequence[str], ts: str, series_keys: Sequence[str] = ()
+) -> DataFrame:
+    """Every fold's scored rows with ``forecast``, from a fit on all rows at or before its origin.
+
+    All folds are fitted from one pass over the rows (see ``fit_expanding``). Regressors must be
+    known at the origin, such as lags of at least the horizon.
+    """
+    C.time_type(df, ts)
+    keys = list(series_keys)
+    train = df.withColumn("_part", folds.first_fold(ts))
+    fits = fit_expanding(train, y=y, x=x, part="_part", last_part=folds.folds, keys=keys)
+    joined = C.keyed_lookup(folds.scored_rows(df, ts), fits.select(*keys, "fold", "coefficients"), [*keys, "fold"])
+    return joined.withColumn("forecast", linear_value(x)).drop("coefficients")
