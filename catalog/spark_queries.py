@@ -14,8 +14,6 @@ from pyspark.sql import types as T
 
 from tidegrid.functions import scalars as P
 from tidegrid.functions.calendar import add_calendar_features
-from tidegrid.models import quantile_boost as Q
-from tidegrid.models import seasonal_arma as A
 from tidegrid.models import seasonal_naive as N
 from tidegrid.operators import audit as AU
 from tidegrid.operators import grid as G
@@ -26,7 +24,7 @@ from tidegrid.operators import ranking as R
 from tidegrid.operators import splits as S
 from tidegrid.operators.chunks import add_row_number
 from tidegrid.operators.conformal import conformal_adjustment, conformal_calibrate
-from tidegrid.operators.features import LAGS, ROLLING_STEPS, add_history_features
+from tidegrid.operators.features import add_history_features
 from tidegrid.operators.fill import drop_incomplete, impute_train_median, interpolate
 from tidegrid.operators.order_stats import median
 from tidegrid.plans import modeling as ML
@@ -34,7 +32,6 @@ from tidegrid.plans import reports as RP
 from tidegrid.plans.walk_forward import fold_metrics, summarise_folds
 from tidegrid.sources import documents as D
 from tidegrid.sources import sinks
-from tidegrid.sources.constants import CALENDAR_FEATURES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -766,8 +763,8 @@ def json_hour_map(spark, sf_dir):
     return rounded(parsed.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
-def xml_points(spark, sf_dir):
-    """Time-series documents, one per day, built from the events and read back."""
+def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time-series documents, one per day, built from the events."""
     points = truncated(spark, sf_dir).withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
     hourly = points.groupBy("day", "event_type", "ts").agg(F.count(F.lit(1)).alias("n"))
     point = F.format_string(
@@ -779,13 +776,16 @@ def xml_points(spark, sf_dir):
         "<Period><timeInterval><start>%s</start></timeInterval><resolution>PT60M</resolution>%s</Period></TimeSeries>",
         F.col("event_type"), F.date_format("day", "yyyy-MM-dd'T'HH:mm'Z'"), F.col("points"),
     )
-    documents = series.groupBy("day").agg(
+    return series.groupBy("day").agg(
         F.concat(
             F.lit('<Doc xmlns="urn:example:1">'),
             F.array_join(F.array_sort(F.collect_list(block)), ""),
             F.lit("</Doc>"),
         ).alias("content")
     )
+
+
+def xml_point_rows(documents: DataFrame) -> DataFrame:
     parsed = P.add_point_timestamps(D.parse_series_xml(documents, dataset_name="events"))
     return parsed.select(
         "dataset_name", "series_index", "business_type", "psr_type", "resolution", "position", "quantity",
@@ -793,6 +793,11 @@ def xml_points(spark, sf_dir):
     )
 
 
+def xml_points(spark, sf_dir):
+    """The documents' points with their times."""
+    return xml_point_rows(xml_documents(spark, sf_dir))
+
+
 def least_squares_fit(spark, sf_dir):
     """Value on hour of day and user number, per event type."""
     rows = table(spark, sf_dir, "events").select(
@@ -803,56 +808,19 @@ def least_squares_fit(spark, sf_dir):
     return rounded(fitted.select("event_type", "n", b[0].alias("b0"), b[1].alias("b1"), b[2].alias("b2"), "rss"))
 
 
-BOOST_FEATURES = CALENDAR_FEATURES + (
-    *(f"load_lag_{k}" for k in LAGS), f"load_rollmean_{ROLLING_STEPS}", f"load_rollstd_{ROLLING_STEPS}"
-)
-
-
-def quantile_boost(spark, sf_dir):
-    """Candidate search, refit and test predictions of all horizons, on all event types."""
-    filled = interpolate(by_type(spark, sf_dir), "value", ts="ts", limit=3, series_keys=["event_type"])
-    featured = ML.build_supervised_table(
-        add_calendar_features(filled, "ts"), value="value", prefix="load", ts="ts",
-        series_keys=["event_type"],
+def boost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every type's filled series with calendar, history, targets, split, views as the exogenous series and two weather columns."""
+    series = by_type(spark, sf_dir)
+    filled = interpolate(series, "value", ts="ts", limit=3, series_keys=["event_type"])
+    wind = ML.prepare_wind(
+        series.select("ts", F.col("event_type").alias("psr_type"), F.col("value").alias("generation_mw")), ts="ts", label="view"
     )
-    return Q.train_horizons(
-        S.add_split(featured, split_label()),
-        labels=list(H.HORIZONS),
-        features=BOOST_FEATURES,
-        keep=["event_type", "ts"],
-        impute=["load_rollstd_24"],
+    joined = add_calendar_features(G.join_on_time(filled, wind, ts="ts"), "ts")
+    weather = ML.add_weather(
+        joined, wide_types(spark, sf_dir).select("ts", "purchase", "signup"), ["purchase", "signup"], ts="ts", series_keys=["event_type"]
     )
-
-
-def boost_horizon_report(spark, sf_dir):
-    """All horizons: candidates searched, intervals calibrated on validation, both splits reported side by side."""
-    filled = interpolate(by_type(spark, sf_dir), "value", ts="ts", limit=3, series_keys=["event_type"])
-    featured = ML.build_supervised_table(
-        add_calendar_features(filled, "ts"), value="value", prefix="load", ts="ts",
-        series_keys=["event_type"],
-    )
-    predictions, _ = Q.score_horizons(
-        S.add_split(featured, split_label()),
-        horizons=H.HORIZONS,
-        features=BOOST_FEATURES,
-        keep=["event_type", "ts"],
-        impute=["load_rollstd_24"],
-    )
-    calibrated = conformal_calibrate(
-        predictions, actual="actual_target_mw", keys=["horizon"]
-    ).withColumns({"pred_q10": F.col("calibrated_lower"), "pred_q90": F.col("calibrated_upper")})
-    by = ("horizon", "lead_steps", "model_name")
-    raw = RP.horizon_report(predictions, actual="actual_target_mw", by=by)
-    after = RP.horizon_report(calibrated, actual="actual_target_mw", by=by)
-    return raw.join(after.select(*by, F.col("test_coverage_80").alias("calibrated_coverage_80")), list(by))
-
-
-def seasonal_arma(spark, sf_dir):
-    """Order search on validation, then forecasts of the test span, per event type."""
-    series = S.add_split(by_type(spark, sf_dir), split_label())
-    options = {"value": "value", "ts": "ts", "series_keys": ["event_type"]}
-    best, _ = A.search_orders(series, **options)
-    return A.refit_and_score_test(series, best, **options)
+    featured = ML.build_supervised_table(weather, value="value", prefix="load", ts="ts", series_keys=["event_type"])
+    return S.add_split(featured, split_label())
 
 
 QUERIES: dict[str, Query] = {
@@ -874,6 +842,6 @@ QUERIES: dict[str, Query] = {
         horizon_comparison, best_and_worst_horizon, horizon_statement, coverage_by_horizon, baseline_report,
         baseline_interpretation, last_n, last_n_overall, position_to_timestamp,
         resolution_minutes, points_to_hourly, redact_url, text_to_number, json_hour_map,
-        least_squares_fit, lag_features_sparse, xml_points, quantile_boost, boost_horizon_report, seasonal_arma,
+        least_squares_fit, lag_features_sparse, xml_points,
     )
 }

@@ -199,13 +199,13 @@ def test_boosted_horizons_reach_calibration_and_report(spark):
 
 def test_arma_query_reaches_the_last_row(spark, monkeypatch):
     """Validation and test rows later than in the sample tables are forecast and scored."""
-    from catalog import spark_queries as C
+    from catalog import fitted, spark_queries as C
 
     rng, start = np.random.default_rng(6), dt.datetime(2024, 1, 1)
     rows = [("a", start + dt.timedelta(hours=i), float(50 + 9 * np.sin(i / 3.8) + rng.normal())) for i in range(900)]
     df = spark.createDataFrame(rows, "event_type string, ts timestamp_ntz, value double")
     monkeypatch.setattr(C, "by_type", lambda *_: df)
-    out = C.seasonal_arma(spark, "").toPandas()
+    out = fitted.seasonal_arma(spark, "").toPandas()
     assert len(out) == 900 - 480 and out.forecast.notna().all()
 
 

@@ -195,7 +195,8 @@ def forecast_seasonal_arma(
     e0 = F.transform("_rows", lambda r: F.coalesce(r["_e"], F.lit(0.0)))
     level = F.coalesce(F.col("_level"), no_level) if d else F.lit(0.0)
     path = _paths(ar, ma, d)(z0, e0, F.col("_mean"), level, F.col("coefficients"), (end - F.col("_origin")).cast("int"))
-    return joined.select(*keys, "_origin", F.posexplode(path).alias("_i", "forecast")).select(
+    walked = joined.select(*keys, "_origin", path.alias("_path"))
+    return walked.select(*keys, "_origin", F.posexplode("_path").alias("_i", "forecast")).select(
         *keys,
         C.slot_start(F.col("_origin") + F.col("_i") + 1, step, data_type).alias(ts),
         (F.col("_i") + 1).alias("lead_steps"),

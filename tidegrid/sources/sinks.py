@@ -61,13 +61,17 @@ def lineage_row(
     )
 
 
-def write_with_lineage(df: DataFrame, path: str, *, ts: str) -> dict[str, object]:
-    """Write Parquet and return its row count and time range, measured during the write."""
+def write_with_lineage(df: DataFrame, path: str, *, ts: str, by: tuple[str, ...] = ()) -> dict[str, object]:
+    """Write Parquet, split by ``by`` if given, and return its row count and time range, measured during the write."""
     seen = Observation("lineage")
-    df.observe(
+    watched = df.observe(
         seen,
         F.count(F.lit(1)).alias("row_count"),
         F.min(ts).alias("start_utc"),
         F.max(ts).alias("end_utc"),
-    ).write.mode("overwrite").parquet(path)
+    )
+    if by:
+        write_splits(watched, path, by)
+    else:
+        write_parquet(watched, path)
     return dict(seen.get)

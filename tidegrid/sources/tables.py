@@ -72,15 +72,16 @@ def read_run_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_METADATA_SCHEMA).json(path, multiLine=True)
 
 
+def dataset_entries(metadata: DataFrame) -> DataFrame:
+    """The last entry of every dataset of a run, one row each."""
+    entries = metadata.select(F.posexplode("datasets").alias("pos", "d"))
+    return entries.groupBy("d.dataset_name").agg(F.max_by("d", "pos").alias("_last")).select("_last.*")
+
+
 def dataset_paths(metadata: DataFrame, names: list[str]) -> dict[str, str]:
     """Artifact path of each named dataset; the last entry wins, an absent one is an error."""
-    entries = metadata.select(F.posexplode("datasets").alias("pos", "d")).where(
-        F.col("d.dataset_name").isin(names)
-    )
-    chosen = entries.groupBy("d.dataset_name").agg(
-        F.max_by("d.normalized_csv_path", "pos").alias("path")
-    )
-    found = {row["dataset_name"]: row["path"] for row in chosen.collect()}
+    chosen = dataset_entries(metadata).where(F.col("dataset_name").isin(names))
+    found = {row["dataset_name"]: row["normalized_csv_path"] for row in chosen.collect()}
     absent = [n for n in names if found.get(n) is None]
     if absent:
         raise FileNotFoundError(f"no artifact recorded for {absent}")
