@@ -143,16 +143,6 @@ _LETTERS_MARKS = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*#$|\"()-]+)"
 _KEPT, _KEPT_CHARS = 600_000, 48
 
 
-class _Pieces(dict):
-    """Ids by piece; letters with marks are put together from their two words."""
-
-    def __missing__(self, piece: str) -> bytes:
-        parts = _LETTERS_MARKS.fullmatch(piece)
-        if parts is None:
-            raise KeyError(piece)
-        return self[parts[1]] + self[parts[2]]
-
-
 class TextEncoder:
     """The tokenizers library with a memory for words: a text's new words are encoded in one call.
 
@@ -168,22 +158,26 @@ class TextEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         (self._break,) = self._whole("\n").tolist()
-        self._known = _Pieces()
+        self._known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _new_words(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of the words, and pieces of white space, that are not known yet."""
-        known, words = self._known, {}
+    def _learnt(self, pieces: set[str]) -> list[str]:
+        """Add the ids of new pieces, and of the two words of those that are letters followed by marks; what was added."""
+        known, words, paired = self._known, {}, []
         for piece in pieces:
-            if piece not in known:
-                parts = _LETTERS_MARKS.fullmatch(piece)
-                for word in (piece,) if parts is None else parts.groups():
-                    if word not in known:
-                        words[word] = b""
+            parts = _LETTERS_MARKS.fullmatch(piece)
+            if parts is None:
+                words[piece] = b""
+                continue
+            pair = parts.groups()
+            paired.append((piece, *pair))
+            for word in pair:
+                if word not in known:
+                    words[word] = b""
         blank = [w for w in words if w.isspace() or w[-1] == " "]
-        solid = [w for w in words if not (w.isspace() or w[-1] == " ")]
+        solid = [w for w in words if not (w.isspace() or w[-1] == " ")] if blank else list(words)
         if solid:
             ids = self._whole("\n".join(solid))
             ends = np.flatnonzero(ids == self._break).tolist()
@@ -192,24 +186,26 @@ class TextEncoder:
                 words[word] = raw[4 * start : 4 * end]
         for word in blank:
             words[word] = self._whole(word).tobytes()
-        return words
+        known.update(words)
+        for piece, letters, marks in paired:
+            known[piece] = known[letters] + known[marks]
+        return [*words, *(piece for piece, _, _ in paired)]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if any(a in text for a in self._added):
             return self._whole(text).tobytes()
-        pieces = _PIECES.findall(text)
-        try:
-            return b"".join(map(self._known.__getitem__, pieces))
-        except KeyError:
-            words = self._new_words(pieces)
-            room = _KEPT - len(self._known)
-            passing = [w for k, w in enumerate(words) if k >= room or len(w) > _KEPT_CHARS]
-            self._known.update(words)
-            joined = b"".join(map(self._known.__getitem__, pieces))
-            for word in passing:
-                del self._known[word]
-            return joined
+        pieces, known = _PIECES.findall(text), self._known
+        new = set(pieces).difference(known)
+        if not new:
+            return b"".join(map(known.__getitem__, pieces))
+        room = _KEPT - len(known)
+        added = self._learnt(new)
+        joined = b"".join(map(known.__getitem__, pieces))
+        for k, piece in enumerate(added):
+            if k >= room or len(piece) > _KEPT_CHARS:
+                known.pop(piece, None)
+        return joined
 
 
 @functools.lru_cache(maxsize=2)
