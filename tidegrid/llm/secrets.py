@@ -68,6 +68,7 @@ class Intervals:
     def __init__(self, spans: list[Span]):
         ordered = sorted(s[1:] for s in spans)
         self.starts = [s for s, _ in ordered]
+        self.own_ends = sorted(e for _, e in ordered)
         self.ends = list(itertools.accumulate((e for _, e in ordered), max))
 
     def meets(self, start: int, end: int) -> bool:
@@ -75,6 +76,14 @@ class Intervals:
         before = bisect.bisect_left(self.starts, end)
         return before > 0 and self.ends[before - 1] > start
 
+    def beside(self, start: int, end: int, scope: int) -> bool:
+        """Whether one of the spans lies within ``scope`` before ``start`` or after ``end``, and shares no character with [start, end)."""
+        k = bisect.bisect_right(self.own_ends, start)
+        if k and self.own_ends[k - 1] > start - scope:
+            return True
+        k = bisect.bisect_left(self.starts, end)
+        return k < len(self.starts) and self.starts[k] < end + scope
+
     def holds(self, start: int, end: int) -> bool:
         """Whether one of the spans contains [start, end)."""
         before = bisect.bisect_right(self.starts, start)
@@ -85,6 +94,7 @@ def linked(base: list[Span], weak: list[Span], scope: int = SCOPE) -> list[Span]
     """The weak spans, not part of a base span, that a complete credential within their scope contains.
 
     A base span inside of an endpoint counts as its part; one inside of a user name or a token is not a part beside it.
+    A weak part never completes one that it overlaps: a token within a user name is not beside it.
     """
     if not weak:
         return []
@@ -96,7 +106,7 @@ def linked(base: list[Span], weak: list[Span], scope: int = SCOPE) -> list[Span]
         reach = max(0, start - scope), end + scope
         sides = [reach] if kind == "endpoint" else [(reach[0], start), (end, reach[1])]
         needed = [secrets] if kind in IDENTIFIERS else [identifiers] if kind in SECRETS else [identifiers, secrets]
-        return all(of_weak.meets(*reach) or any(of_base.meets(*side) for side in sides) for of_base, of_weak in needed)
+        return all(of_weak.beside(start, end, scope) or any(of_base.meets(*side) for side in sides) for of_base, of_weak in needed)
 
     return [w for w in weak if complete(*w)]
 
