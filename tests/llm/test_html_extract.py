@@ -99,3 +99,30 @@ def test_head_and_options_without_end_tags():
     assert text("<head><title>T</title></head><p>a") == text("<head><style>p{}</style><body><p>a") == text("<head>a") == ["a"]
     assert text("<p>a</p><datalist id=d><option value=x>x<option value=y>y</datalist><p>b</p>") == ["a", "b"]
     assert text("<select><option>x<option>y</select><p>b</p>") == ["b"]
+
+
+def test_comment_ends_and_odd_quotes():
+    text = lambda page: [n.text for n in parse(page) if n.text]
+    for comment in ("<!-->", "<!--->", "<!-- b --!>", "<!-- b -->", "<!---->", "<!-- > -- -->"):
+        assert text(f"<p>a{comment}c</p>") == ["ac"], comment
+    assert text("<p>a<!-- b") == ["a"]
+    assert text("""<p title="it's>hello</p><p>more</p>""") == ["hello", "more"]
+    assert text("""<p title='it"s'>hello</p>""") == ["hello"]
+
+
+def test_text_inside_of_foreign_elements():
+    text = lambda page: [n.text for n in parse(page) if n.text]
+    page = "<article><p>a <math><mi>x</mi></math> <svg><style>p{}</style><title>t</title><text>label</text></svg> <object>b</object></p><noscript>c</noscript></article>"
+    assert " ".join(text(page)) == "a x label b c"
+    assert text("<noscript>Turn scripts on</noscript><article><p>a</p></article>") == ["a"]
+    assert text("<div><p>a<video src=x>old</p><p>b</p></div>") == ["a", "b"]
+    assert text("<div><canvas>old</div><p>b</p>") == ["b"]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for page in ("<div>" * 100_000, "<div><p>" * 50_000, "<ul><li>" * 50_000, "<svg><g>" * 50_000 + "</b>" * 50_000, "<select><b>" * 50_000 + "</i>" * 50_000):
+        start = time.process_time()
+        parse(page)
+        assert time.process_time() - start < 5
