@@ -99,13 +99,12 @@ LABELLED = f"""{SERIES},{targets('series', 'tg', BY_TYPE)},
     lab AS (SELECT *, {SPLIT} AS split FROM tg_long WHERE target IS NOT NULL)"""
 FORECASTS = f"""{LABELLED},
     fitted AS (SELECT horizon, event_type, hour(target_timestamp) AS th, avg(target) AS q50,
-        stddev_samp(target) AS sp FROM lab WHERE split = 'train' GROUP BY ALL),
+        coalesce(stddev_samp(target), 0) AS sp FROM lab WHERE split = 'train' GROUP BY ALL),
     fc AS (SELECT l.ts, l.event_type, l.horizon, l.lead_steps, l.split, l.target,
         'hourly_normal' AS model_name, q50 - {Z90} * sp AS pred_q10, q50 AS pred_q50,
         q50 + {Z90} * sp AS pred_q90
         FROM lab l JOIN fitted f ON f.horizon = l.horizon AND f.event_type = l.event_type
-            AND f.th = hour(l.target_timestamp)
-        WHERE sp IS NOT NULL)"""
+            AND f.th = hour(l.target_timestamp))"""
 CALIBRATED = f"""{FORECASTS},
     scores AS (SELECT horizon, row_number() OVER (PARTITION BY horizon ORDER BY greatest(pred_q10 - target, target - pred_q90)) AS rn,
         greatest(pred_q10 - target, target - pred_q90) AS score, count(*) OVER (PARTITION BY horizon) AS n
@@ -161,14 +160,14 @@ def _flat(model: str, family: str) -> str:
         else:
             cells.append(f"NULL::DOUBLE AS {c}")
     return f"""SELECT '{model}' AS model_name, '{family}' AS model_family, {', '.join(cells)}
-        FROM mf WHERE horizon = 't_plus_24' AND forecast IS NOT NULL AND model = '{model}'"""
+        , horizon FROM mf WHERE forecast IS NOT NULL AND model = '{model}' GROUP BY horizon"""
 
 
 def _deep() -> str:
     cells = [f"{M[k]} AS {k}" for k in REPORT_METRICS]
     return f"""SELECT 'hourly_normal' AS model_name, 'GradientBoostingRegressor_Quantile' AS model_family,
         {', '.join(f"max({k}) FILTER (split = '{s}') AS {s}_{k}" for s in ('validation', 'test') for k in REPORT_METRICS)}
-        FROM (SELECT split, {', '.join(cells)} FROM fc WHERE horizon = 't_plus_24' GROUP BY split)"""
+        , horizon FROM (SELECT horizon, split, {', '.join(cells)} FROM fc GROUP BY horizon, split) GROUP BY horizon"""
 
 
 BASELINES = f"""{MODELS},
@@ -222,20 +221,15 @@ def wide_targets() -> str:
 
 
 EXOGENOUS = f"""{SERIES},
-    joined AS (SELECT s.event_type, s.ts, s.value AS own, p.value AS purchase_raw, g.value AS signup_raw FROM series s
-        LEFT JOIN series p ON p.ts = s.ts AND p.event_type = 'purchase'
-        LEFT JOIN series g ON g.ts = s.ts AND g.event_type = 'signup'),
-    pur AS (SELECT event_type, ts, purchase_raw AS value FROM joined),
-    {interpolated('pur', 'pur_f', 'event_type', 6, 'time').strip()},
-    sig AS (SELECT event_type, ts, signup_raw AS value FROM joined),
-    {interpolated('sig', 'sig_f', 'event_type', 6, 'time').strip()},
-    exo AS (SELECT j.event_type, j.ts, own AS value, purchase_raw, signup_raw, p.value AS purchase_fill, g.value AS signup_fill
-        FROM joined j JOIN pur_f p ON p.event_type = j.event_type AND p.ts = j.ts
-        JOIN sig_f g ON g.event_type = j.event_type AND g.ts = j.ts)"""
+    joined AS (SELECT s.event_type, s.ts, s.value AS own, {', '.join(f'{t}.value AS {t}_raw' for t in TYPES)} FROM series s
+        {' '.join(f"LEFT JOIN series {t} ON {t}.ts = s.ts AND {t}.event_type = '{t}'" for t in TYPES)}),
+    {', '.join(f"{t}_x AS (SELECT event_type, ts, {t}_raw AS value FROM joined), {interpolated(f'{t}_x', f'{t}_f', 'event_type', 6, 'time').strip()}" for t in TYPES)},
+    exo AS (SELECT j.event_type, j.ts, own AS value, {', '.join(f'{t}_raw, {t}_f.value AS {t}_fill' for t in TYPES)} FROM joined j
+        {' '.join(f"JOIN {t}_f ON {t}_f.event_type = j.event_type AND {t}_f.ts = j.ts" for t in TYPES)})"""
 EXOGENOUS_COLUMNS = ", ".join(
     f"{r(f'{c}_fill', c)}, ({c}_raw IS NULL)::INTEGER AS {c}_missing_flag_raw, "
     f"({c}_fill IS NULL)::INTEGER AS {c}_missing_flag_postfill"
-    for c in ("purchase", "signup")
+    for c in TYPES
 )
 FOLD_SPECS = [(k + 1, f"TIMESTAMP '2024-01-10 23:00:00' + INTERVAL {72 * k} HOUR") for k in range(6)]
 FOLDS = f"""{SERIES},
@@ -316,14 +310,13 @@ ORACLE: dict[str, str] = {
         daily AS (SELECT g.l_suppkey, g.ts, v AS l_quantity FROM grid g LEFT JOIN per_day p ON p.l_suppkey = g.l_suppkey AND p.ts = g.ts)
         SELECT l_suppkey, ts, {r('l_quantity', 'l_quantity')}, {history('l_quantity', 'quantity', 'PARTITION BY l_suppkey', lags=(1, 7), n=7)} FROM daily""",
     "modeling_table": f"""WITH {SERIES},
-        hours AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS ts),
-        wind AS (SELECT 0 AS k, h.ts, s.value FROM hours h LEFT JOIN series s ON s.ts = h.ts AND s.event_type = 'view'),
+        wind AS (SELECT 0 AS k, ts, value FROM series WHERE event_type = 'view'),
         {interpolated('wind', 'wind_filled', 'k', 3, 'linear').strip()},
-        merged AS (SELECT h.ts, s.value AS load_mw, w.raw_value, w.value AS wind FROM hours h
-            LEFT JOIN series s ON s.ts = h.ts AND s.event_type = 'click' LEFT JOIN wind_filled w ON w.ts = h.ts)
+        merged AS (SELECT s.ts, s.value AS load_mw, w.raw_value, w.value AS wind, w.ts AS wind_ts FROM series s
+            LEFT JOIN wind_filled w ON w.ts = s.ts WHERE s.event_type = 'click')
         SELECT ts, {r('load_mw', 'load_mw')}, (load_mw IS NULL)::INTEGER AS load_missing_flag,
-            {r('wind', 'wind_onshore_mw')}, (raw_value IS NULL)::INTEGER AS wind_missing_flag_raw,
-            (wind IS NULL)::INTEGER AS wind_missing_flag_postfill, {calendar()},
+            {r('wind', 'wind_onshore_mw')}, CASE WHEN wind_ts IS NOT NULL THEN (raw_value IS NULL)::INTEGER END AS wind_missing_flag_raw,
+            CASE WHEN wind_ts IS NOT NULL THEN (wind IS NULL)::INTEGER END AS wind_missing_flag_postfill, {calendar()},
             {history('load_mw', 'load', '')}, (load_mw IS NOT NULL)::INTEGER AS target_available_for_training
         FROM merged""",
     "exogenous_join": f"""WITH {EXOGENOUS} SELECT event_type, ts, {r('value', 'value')}, {EXOGENOUS_COLUMNS} FROM exo""",
@@ -413,18 +406,18 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, {LABEL.format(c='test_coverage_80')} AS label FROM rep)""",
     "coverage_by_horizon": f"""WITH {FORECASTS} SELECT horizon, CASE horizon WHEN 't_plus_1' THEN 1 WHEN 't_plus_24' THEN 2 ELSE 3 END::BIGINT AS horizon_order,
         {r(M['coverage_80'], 'coverage')}, 0.8::DOUBLE AS nominal FROM fc WHERE split = 'test' GROUP BY 1""",
-    "baseline_report": f"""WITH {BASELINES} SELECT model_name, model_family, {', '.join(r(c, c) for c in _BASE_COLUMNS)},
+    "baseline_report": f"""WITH {BASELINES} SELECT horizon, model_name, model_family, {', '.join(r(c, c) for c in _BASE_COLUMNS)},
         {r('test_rmse', 'primary_selection_metric')}, 'test_rmse' AS selection_metric_name FROM base""",
     "baseline_interpretation": f"""WITH {BASELINES},
-        pick AS (SELECT arg_min(model_name, test_rmse) AS p, arg_min(model_name, test_pinball_q50) FILTER (test_pinball_q50 IS NOT NULL) AS q,
-            arg_min(test_coverage_80, test_pinball_q50) FILTER (test_pinball_q50 IS NOT NULL) AS c FROM base),
+        pick AS (SELECT horizon, arg_min(model_name, test_rmse) AS p, arg_min(model_name, test_pinball_q50) FILTER (test_pinball_q50 IS NOT NULL) AS q,
+            arg_min(test_coverage_80, test_pinball_q50) FILTER (test_pinball_q50 IS NOT NULL) AS c FROM base GROUP BY horizon),
         lbl AS (SELECT *, {LABEL.format(c='c')} AS label FROM pick)
-        SELECT p AS best_point_forecast_model, q AS best_probabilistic_model, label AS interval_calibration_assessment,
+        SELECT horizon, p AS best_point_forecast_model, q AS best_probabilistic_model, label AS interval_calibration_assessment,
             printf('The strongest current point-forecast baseline is %s, and the strongest probabilistic baseline is %s. The observed 80%% interval coverage is %.4f, which is %s relative to the nominal target.', p, q, c, label) AS summary_statement
         FROM lbl""",
-    "last_n": f"""WITH {FORECASTS}, n AS (SELECT *, row_number() OVER ({BY_TYPE} ORDER BY ts DESC) AS rn FROM fc WHERE horizon = 't_plus_24')
-        SELECT event_type, ts, {r('target', 'target')}, {r('pred_q10', 'pred_q10')}, {r('pred_q50', 'pred_q50')}, {r('pred_q90', 'pred_q90')},
-            (row_number() OVER {TYPE_ORDER} - 1)::INTEGER AS sequence FROM n WHERE rn <= 200""",
+    "last_n": f"""WITH {FORECASTS}, n AS (SELECT *, row_number() OVER ({BY_TYPE}, horizon ORDER BY ts DESC) AS rn FROM fc)
+        SELECT event_type, horizon, ts, {r('target', 'target')}, {r('pred_q10', 'pred_q10')}, {r('pred_q50', 'pred_q50')}, {r('pred_q90', 'pred_q90')},
+            (row_number() OVER ({BY_TYPE}, horizon ORDER BY ts) - 1)::INTEGER AS sequence FROM n WHERE rn <= 200""",
     "last_n_overall": f"""WITH {OVERALL}, n AS (SELECT * FROM overall ORDER BY ts DESC LIMIT 200)
         SELECT ts, {r('value', 'value')}, (row_number() OVER (ORDER BY ts) - 1)::INTEGER AS sequence FROM n""",
     "position_to_timestamp": f"SELECT l_orderkey, l_linenumber, {POINT_TIME} AS ts, l_quantity AS quantity FROM lineitem",
@@ -432,11 +425,14 @@ ORACLE: dict[str, str] = {
     "points_to_hourly": f"""WITH p AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus ELSE 'UNKNOWN' END AS psr_type,
             CASE WHEN o_orderpriority <> '5-LOW' THEN substr(o_orderpriority, 1, 1) END AS business_type,
             {POINT_TIME} AS t, l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-        u AS (SELECT psr_type, business_type, t, avg(q) AS q FROM p WHERE business_type IS NOT NULL GROUP BY ALL)
-        SELECT psr_type, business_type, date_trunc('hour', t) AS timestamp_utc, {r('avg(q)', 'generation_mw')} FROM u GROUP BY 1, 2, 3""",
+        u AS (SELECT psr_type, business_type, t, avg(q) AS q FROM p WHERE business_type IS NOT NULL GROUP BY ALL),
+        h AS (SELECT psr_type, business_type, date_trunc('hour', t) AS ts, avg(q) AS q FROM u GROUP BY 1, 2, 3),
+        g AS (SELECT psr_type, business_type, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM h GROUP BY 1, 2)
+        SELECT g.psr_type, g.business_type, g.ts AS timestamp_utc, {r('h.q', 'generation_mw')} FROM g
+            LEFT JOIN h ON h.psr_type = g.psr_type AND h.business_type = g.business_type AND h.ts = g.ts""",
     "redact_url": "SELECT page_id, regexp_replace(url || '?securityToken=TEST' || page_id || '&page=1', '(securityToken=)[^&]+', '\\1REDACTED', 'g') AS url FROM pages",
     "text_to_number": """SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority,
-        TRY_CAST(substr(o_orderpriority, 3, 20) AS DOUBLE) AS bad_number, CAST(o_orderkey AS DOUBLE) AS good_number,
+        TRY_CAST(substr(o_orderpriority, 3) AS DOUBLE) AS bad_number, CAST(o_orderkey AS DOUBLE) AS good_number,
         date_trunc('second', o_orderdate) AS parsed, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus ELSE 'UNKNOWN' END AS status FROM orders""",
     "json_hour_map": f"""WITH {SERIES},
         known AS (SELECT *, date_trunc('day', ts) AS d FROM series WHERE value IS NOT NULL),

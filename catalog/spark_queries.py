@@ -7,6 +7,7 @@ types are labels, users are many short series. Each query reads whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from tidegrid.operators.order_stats import median
 from tidegrid.plans import modeling as ML
 from tidegrid.plans import reports as RP
 from tidegrid.plans.walk_forward import fold_metrics, summarise_folds
+from tidegrid.session import cut_lineage
 from tidegrid.sources import documents as D
 from tidegrid.sources import sinks
 
@@ -104,17 +106,19 @@ def labelled_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normal_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic quantile forecasts: training mean and deviation by hour of the target."""
+    """Deterministic quantile forecasts: training mean and deviation by hour of the target.
+
+    A single training row gives an interval without width; hours that train never saw have no forecast.
+    """
     rows = labelled_targets(spark, sf_dir).withColumn("target_hour", F.hour("target_timestamp"))
     keys = ["horizon", "event_type", "target_hour"]
     fitted = (
         rows.where(F.col("split") == "train")
         .groupBy(*keys)
-        .agg(F.avg("target").alias("pred_q50"), F.stddev_samp("target").alias("_spread"))
+        .agg(F.avg("target").alias("pred_q50"), F.coalesce(F.stddev_samp("target"), F.lit(0.0)).alias("_spread"))
     )
     return (
         rows.join(fitted, keys)
-        .where(F.col("_spread").isNotNull())
         .select(
             "ts",
             "event_type",
@@ -321,23 +325,20 @@ def supplier_history(spark, sf_dir):
 def modeling_table(spark, sf_dir):
     """Clicks as the target, views as the exogenous series."""
     series = by_type(spark, sf_dir)
-    start, end = at("2024-01-01 00:00:00"), at("2024-01-30 23:00:00")
     load = ML.prepare_load(
-        series.where(F.col("event_type") == "click").select("ts", F.col("value").alias("load_mw")),
-        ts="ts", start=start, end=end,
+        series.where(F.col("event_type") == "click").select("ts", F.col("value").alias("load_mw")), ts="ts"
     )
     wind = ML.prepare_wind(
         series.select("ts", F.col("event_type").alias("psr_type"), F.col("value").alias("generation_mw")),
-        ts="ts", label="view", start=start, end=end,
+        ts="ts", label="view",
     )
     return rounded(ML.build_modeling_table(load, wind, ts="ts"))
 
 
 def weather_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each type's series with two weather-like columns, filled and flagged."""
-    others = wide_types(spark, sf_dir).select("ts", "purchase", "signup")
+    """Each type's series with the series of all types as weather-like columns, filled and flagged."""
     return ML.add_weather(
-        by_type(spark, sf_dir), others, ["purchase", "signup"], ts="ts", series_keys=["event_type"]
+        by_type(spark, sf_dir), wide_types(spark, sf_dir), EVENT_TYPES, ts="ts", series_keys=["event_type"]
     )
 
 
@@ -638,40 +639,49 @@ def coverage_by_horizon(spark, sf_dir):
     return rounded(RP.coverage_by_horizon(covered.select("horizon", F.parse_json(text).alias("payload"))))
 
 
-def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary documents of three baselines in their own shapes, read into one table."""
-    rows = normal_forecasts(spark, sf_dir).where(F.col("horizon") == "t_plus_24")
-    quantile = M.metric_table(rows, actual="target", by=["split"])
-    points = M.point_metrics(
-        AU.present_rows(
-            model_forecasts(spark, sf_dir).where(F.col("horizon") == "t_plus_24"), "forecast"
-        ),
-        actual="target", forecast="forecast", by=["split", "model"],
-    )
-    naive = RP.point_summary(points.where(F.col("model") == "persistence"), "persistence")
-    arma = RP.point_summary(
-        points.where(F.col("model") == "trailing_day"), "trailing_day", name_field="selected_model_name"
-    )
-    return RP.baseline_comparison(
-        RP.normalize_naive_summary(naive),
-        RP.normalize_arma_summary(arma),
-        RP.normalize_quantile_summary(RP.quantile_summary(quantile, "hourly_normal")),
-    )
+def _comparisons(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Per horizon, summary documents of three baselines in their own shapes, read into one table.
+
+    All horizons and models are measured in one aggregate each.
+    """
+    quantile = cut_lineage(M.metric_table(normal_forecasts(spark, sf_dir), actual="target", by=["horizon", "split"]))
+    points = cut_lineage(M.point_metrics(
+        AU.present_rows(model_forecasts(spark, sf_dir), "forecast"),
+        actual="target", forecast="forecast", by=["horizon", "split", "model"],
+    ))
+    found = {}
+    for horizon in H.HORIZONS:
+        here = points.where(F.col("horizon") == horizon)
+        naive = RP.point_summary(here.where(F.col("model") == "persistence"), "persistence")
+        arma = RP.point_summary(
+            here.where(F.col("model") == "trailing_day"), "trailing_day", name_field="selected_model_name"
+        )
+        losses = quantile.where(F.col("horizon") == horizon)
+        found[horizon] = RP.baseline_comparison(
+            RP.normalize_naive_summary(naive),
+            RP.normalize_arma_summary(arma),
+            RP.normalize_quantile_summary(RP.quantile_summary(losses, "hourly_normal")),
+        )
+    return found
+
+
+def _of_every_horizon(spark: SparkSession, sf_dir: str, report: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    parts = [report(table).withColumn("horizon", F.lit(h)) for h, table in _comparisons(spark, sf_dir).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def baseline_report(spark, sf_dir):
-    return rounded(RP.ranked_baselines(_comparison(spark, sf_dir)))
+    return rounded(_of_every_horizon(spark, sf_dir, RP.ranked_baselines))
 
 
 def baseline_interpretation(spark, sf_dir):
-    return RP.baseline_interpretation(_comparison(spark, sf_dir))
+    return _of_every_horizon(spark, sf_dir, RP.baseline_interpretation)
 
 
 def last_n(spark, sf_dir):
     return rounded(
         RP.forecast_window(
-            normal_forecasts(spark, sf_dir).where(F.col("horizon") == "t_plus_24"),
-            ts="ts", actual="target", n=200, series_keys=["event_type"],
+            normal_forecasts(spark, sf_dir), ts="ts", actual="target", n=200, series_keys=["event_type", "horizon"],
         )
     )
 
@@ -720,8 +730,7 @@ def points_to_hourly(spark, sf_dir):
         .withColumn("psr_type", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
         .withColumn("business_type", F.when(F.col("o_orderpriority") != "5-LOW", F.substring("o_orderpriority", 1, 1)))
     ).withColumn("timestamp_utc", F.col("timestamp_utc").cast("timestamp_ntz"))
-    hourly = ML.hourly_generation(points)
-    return rounded(AU.present_rows(hourly, "generation_mw"))
+    return rounded(ML.hourly_generation(points))
 
 
 def redact_url(spark, sf_dir):
@@ -733,7 +742,7 @@ def text_to_number(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(
         "o_orderkey",
         P.text_to_int(F.concat(F.lit(" "), F.substring("o_orderpriority", 1, 1), F.lit(" "))).alias("priority"),
-        P.to_number(F.substring("o_orderpriority", 3, 20)).alias("bad_number"),
+        P.to_number(F.substr("o_orderpriority", F.lit(3))).alias("bad_number"),
         P.to_number(F.col("o_orderkey").cast("string")).alias("good_number"),
         P.parse_utc(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("parsed"),
         P.label_or_unknown(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))).alias("status"),
