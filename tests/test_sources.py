@@ -198,3 +198,34 @@ def test_constant_tables(spark):
     assert K.weather_variable_table(spark).count() == 7
     assert K.feature_table(spark).count() == 18
     assert K.task_table(spark).where("setting = 'backtesting'").first().value == "rolling-origin"
+
+
+@pytest.mark.parametrize("prefix", ["", "g:"])
+def test_one_file_of_many_series_is_read_by_several_tasks(spark, tmp_path, prefix):
+    series = "".join(
+        f"<{prefix}TimeSeries><{prefix}businessType>A{k:02}</{prefix}businessType><{prefix}Period><{prefix}timeInterval><{prefix}start>2024-01-01T00:00Z"
+        f"</{prefix}start></{prefix}timeInterval><{prefix}resolution>PT60M</{prefix}resolution>"
+        + "".join(f"<{prefix}Point><{prefix}position>{i}</{prefix}position><{prefix}quantity>{k * 10 + i}</{prefix}quantity></{prefix}Point>" for i in range(1, 4))
+        + f"</{prefix}Period></{prefix}TimeSeries>\n"
+        for k in range(90)
+    )
+    space = f' xmlns{":" + prefix[:-1] if prefix else ""}="urn:x"'
+    for name in ("a.xml", "b.xml"):
+        (tmp_path / name).write_text(f"<?xml version='1.0'?>\n<{prefix}Doc{space}><{prefix}id>1</{prefix}id>\n{series}</{prefix}Doc>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        text = spark.read.option("lineSep", f"</{prefix}TimeSeries>").text(str(tmp_path / "a.xml"))
+        assert text.rdd.getNumPartitions() > 5
+        got = D.read_series_xml(spark, str(tmp_path), glob="*.xml", dataset_name="d", end_tag=f"</{prefix}TimeSeries>")
+        want = D.parse_series_xml(D.read_documents(spark, str(tmp_path), "*.xml"), dataset_name="d", carry=["path"])
+        rows = sorted(map(tuple, got.select(*want.columns).collect()))
+        assert rows == sorted(map(tuple, want.collect())) and len(rows) == 540
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_points_outside_of_a_series_fail_the_split_scan(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<Doc><TimeSeries><Period><Point><position>1</position></Point></Period></TimeSeries><Point/></Doc>")
+    with pytest.raises(Exception, match="outside"):
+        D.read_series_xml(spark, str(tmp_path)).collect()

@@ -119,9 +119,11 @@ def resample_mean(
 
     ``unique_times=True`` promises at most one row per series and time. The
     duplicate average is then skipped, and raw rows combine to one per slot before
-    the only shuffle. The range of each series takes a second pass over its times;
-    ``materialize=True`` stores the averaged rows first, for inputs that are costly
-    to compute twice, such as parsed documents.
+    the only shuffle, at the price of a second pass over the times for the range of each
+    series. Otherwise the range is taken from the averaged rows, through the same exchange,
+    so the input is read once. A fixed start or end still looks at all times: series without
+    a row inside have a range too. ``materialize=True`` stores the averaged rows first, for
+    inputs that are costly to compute twice, such as parsed documents.
     """
     data_type = C.time_type(df, ts)
     keys, values = list(series_keys), _as_list(value)
@@ -134,7 +136,16 @@ def resample_mean(
     if not unique_times and not materialize:
         inside = collapse_duplicates(inside, ts=ts, value=values, series_keys=keys)
     per_time = inside.select(*keys, C.grid_position(F.col(ts), step).alias(C.POSITION), *values)
-    empty = _expand(_bounds(kept, ts, keys, step, start, end), keys)
+    if start is None and end is None and not unique_times and not materialize:
+        position = F.col(C.POSITION)
+        # Counting the values keeps them in this branch: both branches then read one exchange.
+        seen = per_time.groupBy(*keys).agg(
+            F.min(position).alias(_LOW), F.max(position).alias(_HIGH), *[F.count(v).alias(f"_n{i}") for i, v in enumerate(values)]
+        )
+        bounds = seen.where(reduce(and_, [F.col(f"_n{i}") >= 0 for i in range(len(values))]))
+    else:
+        bounds = _bounds(kept, ts, keys, step, start, end)
+    empty = _expand(bounds, keys)
     slots = per_time.unionByName(empty, allowMissingColumns=True)
     return (
         slots.groupBy(*keys, C.POSITION)

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalars import ensure_columns, parse_hour_key
+from tidegrid.session import cut_lineage
 from tidegrid.sources.constants import WEATHER_VARIABLES
 
 HOUR_JSON_SCHEMA = "properties struct<parameter map<string, map<string, double>>>"
@@ -98,6 +99,44 @@ def parse_series_xml(
     )
 
 
+def read_series_xml(
+    spark: SparkSession, path: str | list[str], *, glob: str | None = None, dataset_name: str | None = None,
+    end_tag: str = "</TimeSeries>",
+) -> DataFrame:
+    """Points of time-series files of any size, with ``path``; the rows of ``parse_series_xml``.
+
+    Files are split into records at the end tag of a series, so several tasks read one file and
+    no document is held whole. ``series_index`` is restored from the number of series in the
+    splits of the file before. The end tag must be written as given, prefix included, and not
+    stand in comments; points outside of a series fail the job.
+    """
+    reader = spark.read.option("lineSep", end_tag)
+    text = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    records = text.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_order"), F.col("value"),
+    )
+    start = F.regexp_instr("value", F.lit(r"<([\w.-]+:)?TimeSeries[\s>]"))
+    prefix = F.regexp_extract(F.lit(end_tag), "</([^>]*:)?", 1)
+    stray = F.regexp_count(F.when(start > 0, F.substr("value", F.lit(1), start - 1)).otherwise(F.col("value")), F.lit(r"<([\w.-]+:)?Point[\s/>]"))
+    lost = F.raise_error(F.lit("a Point stands outside of a series' period")).cast("int")
+    held = records.withColumn("_start", start).where(F.when(stray == 0, F.lit(1)).otherwise(lost) == 1).where("_start > 0")
+    # The prefix has lost its declaration; a record declares it by itself.
+    wrapped = F.concat(
+        F.lit("<r"), F.when(prefix != "", F.concat(F.lit(" xmlns:"), F.rtrim(F.lit(":"), prefix), F.lit('="x"'))).otherwise(F.lit("")),
+        F.lit(">"), F.substr("value", F.col("_start")), F.lit(end_tag), F.lit("</r>"),
+    )
+    local = F.row_number().over(Window.partitionBy("path", "_block").orderBy("_order"))
+    numbered = cut_lineage(held.select("path", "_block", local.alias("_local"), wrapped.alias("content")))
+    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per split of a file
+    offsets = numbered.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_n")).select(
+        "path", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    placed = numbered.join(offsets, ["path", "_block"]).withColumn("_index", (F.col("_local") + F.col("_before")).cast("int"))
+    points = parse_series_xml(placed, dataset_name=dataset_name, carry=["path", "_index"])
+    return points.withColumn("series_index", F.col("_index")).drop("_index")
+
+
 def parse_hour_json(
     documents: DataFrame,
     *,
