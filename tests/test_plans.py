@@ -1,5 +1,6 @@
 """Plan shape: no Python on the data path, no global window, filters and columns reach the scan."""
 
+import re
 import sys
 
 import pytest
@@ -83,4 +84,4 @@ def test_no_single_partition_grows_with_the_rows(spark, name):
     for k, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
             # Partial results of one aggregate, or the super-chunks of a series without a key.
-            assert "HashAggregate(keys=[]" in lines[k + 1] or "HashAggregate(keys=[_super" in lines[k + 1], text
+            assert re.search(r"Aggregate\(keys?=\[(\]|_super)", lines[k + 1]), text
