@@ -273,3 +273,71 @@ def test_thinned_summaries_keep_ranks(monkeypatch):
     assert summary[1].sum() == 4500 and len(summary[0]) <= 100
     for alpha in (0.1, 0.5, 0.9):
         assert abs((whole <= HT.lower_quantile(summary, alpha)).mean() - alpha) < 0.06
+
+
+def test_least_squares_far_from_zero_agrees_with_numpy(spark):
+    """Centred sums keep a series at level 4,000 as exact as one around zero."""
+    rng = np.random.default_rng(13)
+    y = 4000 + np.cumsum(rng.normal(size=600))
+    pdf = pd.DataFrame({"y": y[25:], "a": y[24:-1], "b": y[1:-24], "c": y[:-25]})
+    row = fit_least_squares(spark.createDataFrame(pdf).repartition(5), y="y", x=["a", "b", "c"]).first()
+    design = np.column_stack([np.ones(len(pdf)), pdf.a, pdf.b, pdf.c])
+    want, rss, *_ = np.linalg.lstsq(design, pdf.y, rcond=None)
+    np.testing.assert_allclose(row.coefficients, want, rtol=1e-8)
+    assert row.rss == pytest.approx(rss[0], rel=1e-9)
+
+
+@pytest.mark.parametrize("keys", [[], ["s"]])
+def test_expanding_fits_equal_a_fit_per_fold(spark, keys):
+    """Parts without rows repeat the fit before them; too few rows give none."""
+    from tidegrid.models.least_squares import fit_expanding
+
+    rng = np.random.default_rng(14)
+    pdf = pd.DataFrame({"s": "u", "part": rng.choice([1, 2, 4, 5, 7], 300), "a": 500 + rng.normal(size=300), "b": rng.normal(size=300)})
+    pdf["y"] = 4000 + 2 * pdf.a - pdf.b + rng.normal(size=300)
+    few = pd.DataFrame({"s": "v", "part": [3, 3, 4, 5], "a": [1.0, 2, 4, 9], "b": [1.0, 3, 2, 2], "y": [1.0, 2, 3, 4]})
+    pdf = pd.concat([pdf, few]) if keys else pdf
+    got = {(r.s if keys else "u", r.fold): r for r in fit_expanding(spark.createDataFrame(pdf), y="y", x=["a", "b"], part="part", last_part=6, keys=keys).collect()}
+    for s, rows in pdf.groupby("s"):
+        for fold in range(1, 7):
+            seen = rows[rows.part <= fold]
+            assert ((s, fold) in got) == (len(seen) > 3), (s, fold)
+            if len(seen) > 3:
+                want = np.linalg.lstsq(np.column_stack([np.ones(len(seen)), seen.a, seen.b]), seen.y, rcond=None)[0]
+                np.testing.assert_allclose(got[s, fold].coefficients, want, rtol=1e-6, atol=1e-6)
+                assert got[s, fold].n == len(seen)
+
+
+def test_walk_forward_of_a_fit_equals_a_loop_over_folds(spark):
+    from tidegrid.plans.walk_forward import walk_forward_least_squares
+
+    rng = np.random.default_rng(15)
+    df = series_frame(spark, list(rng.normal(size=150))).withColumn("x", F.col("y") * 0.5 + F.hour("ts"))
+    folds = RollingOrigin("2024-01-02 05:00:00", 30, 40, 4)
+
+    def loop(train, scored):
+        fit = fit_least_squares(train, y="y", x=["x"])
+        b = F.lit(0.0) + fit.select("coefficients").scalar()[0]
+        return scored.withColumn("forecast", b + fit.select("coefficients").scalar()[1] * F.col("x"))
+
+    want = {(r.fold, r.ts): r.forecast for r in walk_forward(df, folds, loop, ts="ts").collect()}
+    got = {(r.fold, r.ts): r.forecast for r in walk_forward_least_squares(df, folds, y="y", x=["x"], ts="ts").collect()}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+
+
+def test_joint_arma_candidates_equal_single_fits(spark):
+    from tidegrid.sources.constants import ARMA_CANDIDATES
+
+    rng = np.random.default_rng(16)
+    t = np.arange(400)
+    values = [None if i in (100, 101, 250) else float(4000 + 20 * np.sin(t[i] / 3.8) + rng.normal()) for i in range(400)]
+    df = series_frame(spark, values)
+    options = {"value": "y", "ts": "ts", "series_keys": ["series"]}
+    fits, residuals = A.fit_arma_candidates(df, ARMA_CANDIDATES, **options)
+    joint = {r.candidate: r for r in fits.collect()}
+    for c, spec in enumerate(ARMA_CANDIDATES):
+        alone, rest = A.fit_seasonal_arma(df, order=spec["order"], seasonal_order=spec["seasonal_order"], **options)
+        row = alone.first()
+        np.testing.assert_allclose(joint[c].coefficients, row.coefficients, rtol=1e-7, atol=1e-7)
+        assert joint[c].aic == pytest.approx(row.aic) and joint[c].n == row.n
+        assert residuals.where(F.col("candidate") == c).count() == rest.count() == 400
