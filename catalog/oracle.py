@@ -148,6 +148,9 @@ REPORT = f"""{FORECASTS},
 _BASE_COLUMNS = [f"{s}_{k}" for s in ("validation", "test") for k in REPORT_METRICS]
 
 
+_HORIZONS = f"(VALUES {', '.join(f'({chr(39)}{h}{chr(39)})' for h in LEADS)}) hz(horizon)"
+
+
 def _flat(model: str, family: str) -> str:
     cells = []
     for c in _BASE_COLUMNS:
@@ -160,14 +163,14 @@ def _flat(model: str, family: str) -> str:
         else:
             cells.append(f"NULL::DOUBLE AS {c}")
     return f"""SELECT '{model}' AS model_name, '{family}' AS model_family, {', '.join(cells)}
-        , horizon FROM mf WHERE forecast IS NOT NULL AND model = '{model}' GROUP BY horizon"""
+        , horizon FROM {_HORIZONS} LEFT JOIN (SELECT * FROM mf WHERE forecast IS NOT NULL AND model = '{model}') USING (horizon) GROUP BY horizon"""
 
 
 def _deep() -> str:
     cells = [f"{M[k]} AS {k}" for k in REPORT_METRICS]
     return f"""SELECT 'hourly_normal' AS model_name, 'GradientBoostingRegressor_Quantile' AS model_family,
         {', '.join(f"max({k}) FILTER (split = '{s}') AS {s}_{k}" for s in ('validation', 'test') for k in REPORT_METRICS)}
-        , horizon FROM (SELECT horizon, split, {', '.join(cells)} FROM fc GROUP BY horizon, split) GROUP BY horizon"""
+        , horizon FROM {_HORIZONS} LEFT JOIN (SELECT horizon, split, {', '.join(cells)} FROM fc GROUP BY horizon, split) USING (horizon) GROUP BY horizon"""
 
 
 BASELINES = f"""{MODELS},
