@@ -275,6 +275,27 @@ def test_thinned_summaries_keep_ranks(monkeypatch):
         assert abs((whole <= HT.lower_quantile(summary, alpha)).mean() - alpha) < 0.06
 
 
+@pytest.mark.parametrize("rows", [1 << 17, 500])
+@pytest.mark.parametrize("shape", ["spread", "ties", "one value"])
+def test_leaf_quantiles_are_exact_beyond_what_a_pass_keeps(spark, monkeypatch, rows, shape):
+    from tidegrid.models import histogram_trees as HT
+
+    monkeypatch.setattr(HT, "LEAF_VALUES", 50)
+    monkeypatch.setattr(HT, "TASK_ROWS", rows)
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 2, 4000).astype(float), rng.gamma(2.0, 20.0, 4000)
+    y = y.round(1) if shape == "ties" else np.where(rng.random(4000) < 0.97, 7.0, y) if shape == "one value" else y
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    low = lambda v, alpha: np.sort(v)[-(-int(alpha * 10) * len(v) // 10) - 1]
+    config = {"n_estimators": 1, "learning_rate": 0.5, "max_depth": 1, "min_samples_leaf": 1, "subsample": 1.0}
+    models = Q.fit_candidates(df, target="y", features=["x"], candidates=[config])[0]
+    for model, alpha in zip(models.values(), (0.1, 0.5, 0.9)):
+        base = low(y, alpha)
+        split = len(model.trees[0].value) > 1
+        want = [base + 0.5 * low((y - base)[x == v] if split else y - base, alpha) for v in (0.0, 1.0)]
+        assert model.base == base and model.predict(np.array([[0.0], [1.0]])).tolist() == want
+
+
 def test_least_squares_far_from_zero_agrees_with_numpy(spark):
     """Centred sums keep a series at level 4,000 as exact as one around zero."""
     rng = np.random.default_rng(13)

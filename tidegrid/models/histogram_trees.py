@@ -5,7 +5,8 @@ the running forecast of every fit on every row. A pass over the blocks counts ro
 node, feature and bin, and how many of them lie at or below the forecast; the pinball gradient
 takes two values only, so these two counts give every split's gain exactly. One pass grows one
 level of the current tree of all fits, and one more finds the quantile of the residuals in all
-leaves. Passes per round depend on the depth alone: fits of other quantiles, candidates, targets
+leaves; leaves of very many residuals take a few more, each over a narrower span around the
+quantile, which is exact at every size. Passes per round depend on the depth alone: fits of other quantiles, candidates, targets
 and row sets add columns to the same pass and no jobs.
 
 With few partitions the counts come to the driver, as many as a tree level has cells; with more
@@ -17,9 +18,11 @@ replay of those at most.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from tidegrid.session import cut_lineage
 
 BINS = 32
 SKETCH_ACCURACY = 10_000
-#: Residuals of a leaf are exact up to so many values; beyond, ranks are off by at most one in so many.
+#: Distinct residuals of a leaf that one pass keeps; of more it keeps evenly spaced ranks, and further passes narrow down to the quantile.
 LEAF_VALUES = 10_000
 ROUNDS_PER_CHECKPOINT = 25
 #: Partitions whose counts the driver sums itself.
@@ -179,28 +182,106 @@ Summary = tuple[np.ndarray, np.ndarray]
 
 
 def merged(*parts: Summary) -> Summary:
-    """Sorted values with weights; thinned to evenly spaced ranks beyond ``LEAF_VALUES``."""
+    """Sorted distinct values with weights; thinned to evenly spaced ranks beyond ``LEAF_VALUES``."""
+    return _merged(*parts)[0]
+
+
+def _merged(*parts: Summary) -> tuple[Summary, bool]:
+    """The merged summary, and whether it holds every value."""
     values, weights = (np.concatenate(some) for some in zip(*parts))
     order = np.argsort(values, kind="stable")
     values, upto = values[order], np.cumsum(weights[order])
-    if len(values) > LEAF_VALUES:
+    last = np.append(values[1:] != values[:-1], True)[: len(values)]
+    values, upto = values[last], upto[last]
+    whole = len(values) <= LEAF_VALUES
+    if not whole:
         ranks = -(-upto[-1] * np.arange(1, LEAF_VALUES + 1) // LEAF_VALUES)
         at = np.unique(np.searchsorted(upto, ranks))
         values, upto = values[at], upto[at]
-    return values, np.diff(upto, prepend=0)
+    return (values, np.diff(upto, prepend=0)), whole
+
+
+def lower_rank(alpha: float, n: int) -> int:
+    """The least rank with at least a share ``alpha`` of ``n`` at or below it; the share counts as it is written."""
+    return max(1, math.ceil(Fraction(str(float(alpha))) * int(n)))
 
 
 def lower_quantile(summary: Summary, alpha: float) -> float:
     """The smallest value with at least a share ``alpha`` of the weight at or below it."""
     values, weights = summary
     upto = np.cumsum(weights)
-    return float(values[np.searchsorted(upto, max(1, int(np.ceil(alpha * upto[-1] - 1e-9))))])
+    return float(values[np.searchsorted(upto, lower_rank(alpha, upto[-1]))])
+
+
+Leaf = tuple[int, int]
+#: Residuals above the first and up to the second value.
+Span = tuple[float, float]
+EVERYTHING: Span = (-np.inf, np.inf)
+
+
+@dataclass
+class Inside:
+    """Residuals of a leaf: how many lie at or before the start of a span, and a summary of those inside."""
+
+    below: int
+    summary: Summary
+    whole: bool
+
+    @classmethod
+    def of(cls, rest: np.ndarray, span: Span) -> Inside:
+        low, high = span
+        here = rest if span == EVERYTHING else rest[(rest > low) & (rest <= high)]
+        below = 0 if span == EVERYTHING else int((rest <= low).sum())
+        return cls(below, *_merged((here, np.ones(len(here), np.int64))))
 
+    def __add__(self, other: Inside) -> Inside:
+        summary, whole = _merged(self.summary, other.summary)
+        return Inside(self.below + other.below, summary, whole and self.whole and other.whole)
 
-def _residuals(block: Block, fits: Sequence[Fit], trees: dict[int, Grown]) -> Iterator[tuple[tuple[int, int], Summary]]:
-    """Per fit and leaf: the residuals."""
+
+@dataclass
+class Search:
+    """A rank of a leaf's residuals, a span that surely holds it and the narrower one to look at."""
+
+    rank: int
+    known: Span
+    guess: Span
+
+
+def located(seen: Inside, search: Search) -> float | Search:
+    """The value of the rank if ``seen`` decides it, else a narrower search.
+
+    The known span loses values each time, so a wrong guess, which the errors of thinned
+    summaries may lead to, costs a pass and nothing else.
+    """
+    (values, weights), (low, high) = seen.summary, search.guess
+    upto, rank = np.cumsum(weights), search.rank - seen.below
+    if rank < 1:
+        span = (search.known[0], low)
+        return Search(search.rank, span, span)
+    if not len(upto) or rank > upto[-1]:
+        span = (high, search.known[1])
+        return Search(search.rank, span, span)
+    if seen.whole:
+        return float(values[np.searchsorted(upto, rank)])
+    slack = upto[-1] // 100
+    first, last = np.searchsorted(upto, [rank - slack, rank + slack])
+    guess = (float(values[first - 1]) if first else low, float(values[last]) if last < len(values) - 1 else high)
+    if guess == (low, high):  # one value holds most rows: look at that value alone
+        value = float(values[np.searchsorted(upto, rank)])
+        guess = (float(np.nextafter(value, -np.inf)), value)
+    return Search(search.rank, (low, high), guess)
+
+
+def _residuals(
+    block: Block, fits: Sequence[Fit], trees: dict[int, Grown], searches: dict[Leaf, Search] | None
+) -> Iterator[tuple[Leaf, Inside]]:
+    """Per fit and leaf: the residuals, or those in the spans searched."""
+    searched = None if searches is None else {k for k, _ in searches}
     for k, tree in trees.items():
         fit = fits[k]
+        if searched is not None and k not in searched:
+            continue
         rows = block.rows(fit)
         if not len(rows):
             continue
@@ -209,7 +290,29 @@ def _residuals(block: Block, fits: Sequence[Fit], trees: dict[int, Grown]) -> It
         order = np.lexsort((rest, leaf))
         leaf, rest = leaf[order], rest[order]
         for part in np.split(np.arange(len(leaf)), np.flatnonzero(np.diff(leaf)) + 1):
-            yield (k, int(leaf[part[0]])), merged((rest[part], np.ones(len(part), np.int64)))
+            key = (k, int(leaf[part[0]]))
+            if searches is None:
+                yield key, Inside.of(rest[part], EVERYTHING)
+            elif key in searches:
+                yield key, Inside.of(rest[part], searches[key].guess)
+
+
+def _quantiles(passes: Passes, fits: Sequence[Fit], trees: dict[int, Grown]) -> dict[Leaf, float]:
+    """The quantile of the residuals in every leaf, exact: one pass, and more for leaves of very many residuals."""
+    found: dict[Leaf, float] = {}
+    searches: dict[Leaf, Search] | None = None
+
+    def finish(key: Leaf, seen: Inside) -> float | Search:
+        if searches is None:
+            rank = lower_rank(fits[key[0]].alpha, seen.summary[1].sum())
+            return located(seen, Search(rank, EVERYTHING, EVERYTHING))
+        return located(seen, searches[key])
+
+    while searches is None or searches:
+        seen = passes.reduce(lambda b: _residuals(b, fits, trees, searches), Inside.__add__, finish)  # noqa: B023
+        found |= {key: value for key, value in seen.items() if not isinstance(value, Search)}
+        searches = {key: value for key, value in seen.items() if isinstance(value, Search)}
+    return found
 
 
 Measure = Callable[[Block], Iterator[tuple]]
@@ -287,8 +390,7 @@ Passes = LocalPasses | SparkPasses
 def _bases(passes: Passes, fits: Sequence[Fit]) -> np.ndarray:
     """The quantile of every fit's target."""
     stumps = {k: Grown.empty(0) for k in range(len(fits))}
-    quantile = lambda key, summary: lower_quantile(summary, fits[key[0]].alpha)
-    found = passes.reduce(lambda b: _residuals(b, fits, stumps), merged, quantile)
+    found = _quantiles(passes, fits, stumps)
     if any((k, 0) not in found for k in stumps):
         raise ValueError("no complete training row")
     return np.array([found[k, 0] for k in stumps])
@@ -297,7 +399,6 @@ def _bases(passes: Passes, fits: Sequence[Fit]) -> np.ndarray:
 def _rounds(passes: Passes, fits: Sequence[Fit]) -> list[list[Grown]]:
     """All rounds of all fits: a pass per level of the trees, and one for the leaves."""
     trees: list[list[Grown]] = [[] for _ in fits]
-    quantile = lambda key, summary: lower_quantile(summary, fits[key[0]].alpha)
     for number in range(1, max(fit.rounds for fit in fits) + 1):
         grown = {k: Grown.empty(fit.depth) for k, fit in enumerate(fits) if fit.rounds >= number}
         for level in range(max(fits[k].depth for k in grown)):
@@ -308,8 +409,7 @@ def _rounds(passes: Passes, fits: Sequence[Fit]) -> list[list[Grown]]:
                 grown[k].feature[nodes], grown[k].cut[nodes] = feature, cut
             if not any((feature >= 0).any() for feature, _ in splits.values()):
                 break
-        leaves = passes.reduce(lambda b: _residuals(b, fits, grown), merged, quantile)  # noqa: B023
-        for (k, leaf), value in leaves.items():
+        for (k, leaf), value in _quantiles(passes, fits, grown).items():
             grown[k].value[leaf] = value
         for k, tree in grown.items():
             trees[k].append(tree)
