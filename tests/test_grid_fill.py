@@ -181,3 +181,36 @@ def test_impute_per_series(spark):
     df = spark.createDataFrame(rows, "s string, split string, x double")
     out = impute_train_median(df, ["x"], keys=["s"]).where("split = 'test'")
     assert sorted((r.s, r.x) for r in out.collect()) == [("a", 1.0), ("b", 9.0)]
+
+
+def test_resample_of_any_gaps_equals_a_loop(spark, monkeypatch):
+    """Chunk starts, ends and whole chunks without rows; a NULL value is a row all the same."""
+    monkeypatch.setattr(C, "CHUNK_ROWS", 7)
+    rng = np.random.default_rng(5)
+    rows = [(s, at(int(h)), None if h % 5 == 0 else float(h)) for s in "abc" for h in rng.choice(90, 9, replace=False)]
+    out = G.resample_mean(frame(spark, rows, True), ts="ts", value="y", series_keys=["series"]).collect()
+    want = {}
+    for s in "abc":
+        seen = {t: y for k, t, y in rows if k == s}
+        hours = int((max(seen) - min(seen)).total_seconds()) // 3600
+        want |= {(s, t): seen.get(t) for t in (min(seen) + dt.timedelta(hours=h) for h in range(hours + 1))}
+    assert len(out) == len(want) and {(r.series, r.ts): r.y for r in out} == want
+
+
+def test_no_aggregate_holds_the_empty_slots(spark):
+    df = frame(spark, [("a", at(h), 1.0) for h in (0, 5)], True)
+    out = G.resample_mean(df, ts="ts", value="y", series_keys=["series"])
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in text[: text.index("posexplode")]
+
+
+@pytest.mark.parametrize("fill", [True, False])
+def test_grid_rows_are_dealt_to_a_fixed_number_of_partitions(spark, fill):
+    df = G.resample_mean(frame(spark, [("a", at(h), 1.0) for h in (0, 5)], True), ts="ts", value="y", series_keys=["series"])
+    if fill:
+        out = interpolate(df, "y", ts="ts", limit=3, series_keys=["series"])
+    else:
+        out = G.timestamp_difference(df, df.where("y IS NOT NULL"), ["series", "ts"])
+    text = out._jdf.queryExecution().executedPlan().toString()
+    above = text[: text.index("posexplode")]
+    assert "REPARTITION_BY_NUM" in above

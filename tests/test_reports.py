@@ -1,6 +1,8 @@
 import datetime as dt
 import json
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +196,27 @@ def test_horizon_leads(hourly):
     assert [r.load_target_t_plus_1 for r in rows] == [2.0, None, 4.0, None]
     assert [r.target_available_t_plus_2 for r in rows] == [0, 1, 0, 0]
     assert rows[3].target_timestamp_t_plus_1 is None and rows[1].target_timestamp_t_plus_2 == rows[3].ts
+
+
+def test_series_audit_equals_a_loop(spark):
+    """Repeated, off-grid and NULL times, and rows outside of the range."""
+    rng = np.random.default_rng(8)
+    start = dt.datetime(2023, 12, 30)
+    times = [start + dt.timedelta(hours=int(h), minutes=int(m)) for h, m in zip(rng.integers(0, 400, 500), rng.choice([0, 0, 0, 30], 500))]
+    rows = [("a", t, None if k % 7 == 0 else 1.0) for k, t in enumerate(times)] + [("a", None, 1.0)] * 2
+    low, high = start + dt.timedelta(hours=20), start + dt.timedelta(hours=300)
+    row = AU.series_audit(
+        spark.createDataFrame(rows, "s string, ts timestamp_ntz, y double"), ts="ts", value="y", series_keys=["s"],
+        start=F.lit(low), end=F.lit(high),
+    ).first()
+    inside = {t for t in times if low <= t <= high and t.minute == 0}
+    assert (row.expected_count, row.observed_count, row.missing_count) == (281, 502, 281 - len(inside))
+    assert (row.null_count, row.duplicate_count) == (72, 502 - len(set(times)) - 1)
+    assert (row.start_utc, row.end_utc) == (min(times), max(times))
+
+
+def test_an_audit_of_a_grid_groups_by_many_steps(spark):
+    df = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), 1.0)], "s string, ts timestamp_ntz, y double")
+    out = AU.series_audit(df, ts="ts", value="y", series_keys=["s"])
+    groups = re.findall(r"Aggregate \[(.*?)\], \[", out._jdf.queryExecution().analyzed().toString())
+    assert groups and all("ts#" not in group for group in groups)

@@ -56,33 +56,42 @@ def series_audit(
 ) -> DataFrame:
     """Expected, observed, missing, NULL and duplicate counts and the range of each series.
 
-    Rows are first combined per time, so a repeated time or a hot series shrinks
-    before the shuffle. The lists behind the counts are tables of their own
-    (missing_timestamps, null_rows).
+    Rows are first combined per 64 steps, whose times are bits of a number, and times
+    off the grid one by one. So a repeated time or a hot series shrinks before the
+    shuffle, and a task holds a 64th of its grid rows. The lists behind the counts are
+    tables of their own (missing_timestamps, null_rows).
     """
     C.time_type(df, ts)
     keys = list(series_keys)
-    per_time = df.groupBy(*keys, ts).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.count_if(F.col(value).isNull()).alias("_nulls"),
-    )
     position = C.grid_position(F.col(ts), step)
-    low = F.min(position) if start is None else F.max(C.grid_position(start, step))
-    high = F.max(position) if end is None else F.max(C.grid_position(end, step))
-    expected = high - low + 1
     on_grid = C.micros(F.col(ts)) == position * C.step_micros(step)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(position, F.lit(64)).cast("int"))
+    inside = on_grid
     if start is not None:
-        on_grid = on_grid & (F.col(ts) >= start)
+        inside = inside & (F.col(ts) >= start)
     if end is not None:
-        on_grid = on_grid & (F.col(ts) <= end)
-    return per_time.groupBy(*keys).agg(
+        inside = inside & (F.col(ts) <= end)
+    # A NULL time is one time off the grid.
+    per_word = df.groupBy(*keys, C.floor_div(position, 64).alias("_word"), F.when(~on_grid, F.col(ts)).alias("_off")).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_if(F.col(value).isNull()).alias("_nulls"),
+        F.bit_or(F.when(on_grid, bit)).alias("_times"),
+        F.bit_or(F.when(inside, bit)).alias("_inside"),
+        F.min(ts).alias("_first"),
+        F.max(ts).alias("_last"),
+    )
+    low = F.min(C.grid_position(F.col("_first"), step)) if start is None else F.max(C.grid_position(start, step))
+    high = F.max(C.grid_position(F.col("_last"), step)) if end is None else F.max(C.grid_position(end, step))
+    expected = high - low + 1
+    times = F.coalesce(F.bit_count("_times"), F.lit(1))
+    return per_word.groupBy(*keys).agg(
         expected.alias("expected_count"),
         F.sum("_rows").alias("observed_count"),
-        (expected - F.count_if(on_grid)).alias("missing_count"),
+        (expected - F.sum(F.coalesce(F.bit_count("_inside"), F.lit(0)))).alias("missing_count"),
         F.sum("_nulls").alias("null_count"),
-        F.sum(F.col("_rows") - 1).alias("duplicate_count"),
-        F.min(ts).alias("start_utc"),
-        F.max(ts).alias("end_utc"),
+        F.sum(F.col("_rows") - times).alias("duplicate_count"),
+        F.min("_first").alias("start_utc"),
+        F.max("_last").alias("end_utc"),
     )
 
 

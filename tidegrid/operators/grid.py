@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidegrid.operators import chunks as C
 from tidegrid.session import cut_lineage, shuffle_partitions
 
-_LOW, _HIGH = "_low", "_high"
+_LOW, _HIGH, _LAST, _SLOT = "_low", "_high", "_last", "_slot"
 
 
 def _keys_present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -62,22 +62,28 @@ def _bounds(
     return df.groupBy(*keys).agg(low.alias(_LOW), high.alias(_HIGH))
 
 
-def _expand(bounds: DataFrame, keys: list[str]) -> DataFrame:
-    """All positions between the bounds of each series.
-
-    Chunks are listed first and spread by a fixed number of partitions, so that
-    neither one long series nor a small bounds table generates its grid in one task.
-    """
+def _chunk_edges(bounds: DataFrame) -> DataFrame:
+    """Per series and chunk of time: the first and last position inside the bounds."""
     size = F.lit(C.CHUNK_ROWS).cast("bigint")
     low, high = F.col(_LOW), F.col(_HIGH)
     listed = bounds.where(low <= high).withColumn(
         C.CHUNK,
         F.explode(F.sequence(C.floor_div(low, C.CHUNK_ROWS), C.floor_div(high, C.CHUNK_ROWS))),
     )
-    spread = listed.repartition(shuffle_partitions(bounds.sparkSession), *keys, C.CHUNK)
     first = F.greatest(low, F.col(C.CHUNK) * size)
     last = F.least(high, F.col(C.CHUNK) * size + size - 1)
-    return spread.select(*keys, F.explode(F.sequence(first, last)).alias(C.POSITION))
+    return listed.withColumns({C.POSITION: first, _LAST: last}).drop(_LOW, _HIGH)
+
+
+def _expand(bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """All positions between the bounds of each series.
+
+    Chunks are listed first and spread by a fixed number of partitions, so that
+    neither one long series nor a small bounds table generates its grid in one task.
+    """
+    edges = _chunk_edges(bounds)
+    spread = edges.repartition(shuffle_partitions(bounds.sparkSession), *keys, C.CHUNK)
+    return spread.select(*keys, F.explode(F.sequence(F.col(C.POSITION), F.col(_LAST))).alias(C.POSITION))
 
 
 def build_grid(
@@ -113,9 +119,10 @@ def resample_mean(
     """Mean per left-closed, left-labelled slot, after averaging duplicates.
 
     It is the mean of the per-time means. Every slot from the first to the last
-    of each series appears, an empty one with NULL. The empty slots enter the
-    slot aggregation as NULL rows, so aligning costs no join: one hash aggregate
-    with map-side combine serves both.
+    of each series appears, an empty one with NULL. The first slot of every chunk
+    enters the slot aggregation as a NULL row, and each slot is then followed by the
+    empty ones up to the next in its chunk: only slots with rows and chunk starts are
+    shuffled, sorted or held in memory, however many empty slots there are.
 
     ``unique_times=True`` promises at most one row per series and time. The
     duplicate average is then skipped, and raw rows combine to one per slot before
@@ -145,12 +152,22 @@ def resample_mean(
         bounds = seen.where(reduce(and_, [F.col(f"_n{i}") >= 0 for i in range(len(values))]))
     else:
         bounds = _bounds(kept, ts, keys, step, start, end)
-    empty = _expand(bounds, keys)
-    slots = per_time.unionByName(empty, allowMissingColumns=True)
-    return (
-        slots.groupBy(*keys, C.POSITION)
-        .agg(*[F.avg(v).alias(v) for v in values])
-        .select(*keys, C.slot_start(F.col(C.POSITION), step, data_type).alias(ts), *values)
+    slots = (
+        per_time.withColumn(C.CHUNK, C.floor_div(F.col(C.POSITION), C.CHUNK_ROWS))
+        .unionByName(_chunk_edges(bounds), allowMissingColumns=True)
+        .groupBy(*keys, C.CHUNK, C.POSITION)
+        .agg(*[F.avg(v).alias(v) for v in values], F.max(_LAST).alias(_LAST))
+    )
+    following = F.lead(C.POSITION).over(C.chunk_window(keys)) - 1
+    # The chunk's first slot has its end; it comes first in the window.
+    end = F.first(_LAST).over(C.chunk_window(keys))
+    spread = slots.repartition(shuffle_partitions(df.sparkSession), *keys, C.CHUNK)
+    runs = spread.withColumn(_LAST, F.coalesce(following, end))
+    slot = F.posexplode(F.sequence(F.col(C.POSITION), F.col(_LAST))).alias("_n", _SLOT)
+    return runs.select(*keys, *values, slot).select(
+        *keys,
+        C.slot_start(F.col(_SLOT), step, data_type).alias(ts),
+        *[F.when(F.col("_n") == 0, F.col(v)).alias(v) for v in values],
     )
 
 
