@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import chunks as C
 from tidegrid.operators.order_stats import medians
+from tidegrid.session import shuffle_partitions
 
 
 def interpolate(
@@ -33,7 +34,8 @@ def interpolate(
 
     Neighbours may be any distance away. Each chunk therefore gets the nearest
     valid row before and after it, carried over the short list of chunk
-    summaries, and windows stay inside the chunk. Set ``regular=False`` when rows
+    summaries, and windows stay inside the chunk. For them, rows are dealt to a fixed number
+    of partitions: measured in compressed bytes, gap rows look smaller than they sort. Set ``regular=False`` when rows
     are not one per step; positions are then counted.
     """
     if method not in ("linear", "time"):
@@ -59,12 +61,18 @@ def interpolate(
         point = F.struct(F.col(C.POSITION).alias("at"), x.alias("x"), F.col(name).alias("y"))
         return F.when(F.col(name).isNotNull(), point)
 
-    summaries = []
+    summaries, points = [], {}
     for i, name in enumerate(names):
         at = F.when(F.col(name).isNotNull(), F.col(C.POSITION))
-        summaries += [F.max_by(found(name), at).alias(f"_before{i}"), F.min_by(found(name), at).alias(f"_after{i}")]
+        # Plain columns, not structs: those would sort every row to group it.
+        for side, extreme, pick in (("before", F.max, F.max_by), ("after", F.min, F.min_by)):
+            parts = {"at": extreme(at), "x": pick(x, at), "y": pick(name, at)}
+            summaries += [part.alias(f"_{side}{i}_{p}") for p, part in parts.items()]
+            point = F.struct(*[F.col(f"_{side}{i}_{p}").alias(p) for p in parts])
+            points[f"_{side}{i}"] = F.when(F.col(f"_{side}{i}_at").isNotNull(), point)
     sides = [[f"_{side}{i}" for i in range(len(names))] for side in ("before", "after")]
-    carry = C.scan_chunks(chunked.groupBy(*keys, C.CHUNK).agg(*summaries), keys, earlier=sides[0], later=sides[1])
+    summary = chunked.groupBy(*keys, C.CHUNK).agg(*summaries).withColumns(points)
+    carry = C.scan_chunks(summary, keys, earlier=sides[0], later=sides[1])
 
     upward = C.chunk_window(keys).rowsBetween(Window.unboundedPreceding, 0)
     downward = C.chunk_window(keys, descending=True).rowsBetween(Window.unboundedPreceding, 0)
@@ -73,7 +81,8 @@ def interpolate(
         valid = found(name)
         neighbours[f"_p{i}"] = F.last(valid, ignorenulls=True).over(upward)
         neighbours[f"_n{i}"] = F.last(valid, ignorenulls=True).over(downward)
-    joined = chunked.withColumns(neighbours).join(carry, [*keys, C.CHUNK], "left")
+    dealt = chunked.repartition(shuffle_partitions(df.sparkSession), *keys, C.CHUNK)
+    joined = dealt.withColumns(neighbours).join(carry, [*keys, C.CHUNK], "left")
 
     filled = {}
     for i, name in enumerate(names):
