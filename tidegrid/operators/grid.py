@@ -223,13 +223,14 @@ def missing_timestamps(
 def timestamp_difference(expected: DataFrame, observed: DataFrame, on: Sequence[str]) -> DataFrame:
     """Distinct times of ``expected`` that are not in ``observed`` (set difference).
 
-    One hash aggregate with map-side combine: repeated observations shrink before
-    the shuffle.
+    Repeated observations shrink before the shuffle. Both sides are then dealt to a fixed
+    number of partitions, as times compress so well that a size in shuffled bytes would put
+    too many of them into one hash aggregate.
     """
     columns = list(on)
     both = expected.select(*columns, F.lit(0).alias("_seen")).unionByName(
-        observed.select(*columns, F.lit(1).alias("_seen"))
-    )
+        observed.select(*columns).distinct().withColumn("_seen", F.lit(1))
+    ).repartition(shuffle_partitions(expected.sparkSession), *columns)
     return both.groupBy(*columns).agg(F.max("_seen").alias("_seen")).where(F.col("_seen") == 0).drop("_seen")
 
 
