@@ -222,8 +222,13 @@ def null_hours(spark, sf_dir):
 
 def wide_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One column per event type on the common hourly grid."""
+    return widened(by_type(spark, sf_dir))
+
+
+def widened(series: DataFrame) -> DataFrame:
+    """The same from the hourly series of the types."""
     wide = (
-        by_type(spark, sf_dir)
+        series
         .withColumn("event_type", R.listed("event_type", EVENT_TYPES))
         .groupBy("ts")
         .pivot("event_type", list(EVENT_TYPES))
@@ -818,15 +823,18 @@ def least_squares_fit(spark, sf_dir):
 
 
 def boost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every type's filled series with calendar, history, targets, split, views as the exogenous series and two weather columns."""
-    series = by_type(spark, sf_dir)
+    """Every type's filled series with calendar, history, targets, split, views as the exogenous series and two weather columns.
+
+    The hourly series is stored once: five branches start from it, and each would read the events again.
+    """
+    series = cut_lineage(by_type(spark, sf_dir))
     filled = interpolate(series, "value", ts="ts", limit=3, series_keys=["event_type"])
     wind = ML.prepare_wind(
         series.select("ts", F.col("event_type").alias("psr_type"), F.col("value").alias("generation_mw")), ts="ts", label="view"
     )
     joined = add_calendar_features(G.join_on_time(filled, wind, ts="ts"), "ts")
     weather = ML.add_weather(
-        joined, wide_types(spark, sf_dir).select("ts", "purchase", "signup"), ["purchase", "signup"], ts="ts", series_keys=["event_type"]
+        cut_lineage(joined), widened(series).select("ts", "purchase", "signup"), ["purchase", "signup"], ts="ts", series_keys=["event_type"]
     )
     featured = ML.build_supervised_table(weather, value="value", prefix="load", ts="ts", series_keys=["event_type"])
     return S.add_split(featured, split_label())

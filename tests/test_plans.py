@@ -10,6 +10,8 @@ sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 import __spark_entry__ as entry  # noqa: E402
 
 from __spark_entry__ import ORACLE, QUERIES  # noqa: E402
+from catalog import spark_queries  # noqa: E402
+from tidegrid.session import in_utc  # noqa: E402
 from tests.compare import connect, differences  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -85,3 +87,7 @@ def test_no_single_partition_grows_with_the_rows(spark, name):
         if "Exchange SinglePartition" in line:
             # Partial results of one aggregate, or the super-chunks of a series without a key.
             assert re.search(r"Aggregate\(keys?=\[(\]|_super)", lines[k + 1]), text
+
+
+def test_boost_table_doesn_t_read_the_events_again(spark):
+    assert "FileScan" not in plan(spark_queries.boost_table(in_utc(spark), SMALL))

@@ -332,7 +332,9 @@ def score_horizons(
     targets = {label: f"{target_prefix}{label}" for label in horizons}
     every = list(dict.fromkeys(f for names in sets.values() for f in names))
     needed = dict.fromkeys([*keep, "split", *every, *targets.values()])
-    prepared = cut_lineage(drop_incomplete(impute_train_median(df.select(*needed), impute), every))
+    # The medians take several passes over their rows.
+    stored = cut_lineage(df.select(*needed))
+    prepared = cut_lineage(drop_incomplete(impute_train_median(stored, impute), every))
     searches = fit_searches(prepared, targets=targets, feature_sets=sets, candidates=candidates)
     results = _candidate_metrics(prepared, searches, candidates)
     chosen, parts = _choices(results), []
