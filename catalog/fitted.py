@@ -13,6 +13,7 @@ from tidegrid.operators import metrics as M
 from tidegrid.operators.features import add_history_features
 from tidegrid.plans import reports as RP
 from tidegrid.plans.walk_forward import fold_metrics, summarise_folds, walk_forward_least_squares
+from tidegrid.session import cut_lineage
 from tidegrid.sources.constants import MODEL_FEATURES
 from tidegrid.operators.conformal import conformal_calibrate
 
@@ -28,20 +29,20 @@ def quantile_boost(spark, sf_dir):
     )
 
 
-def _searched(spark, sf_dir, features):
+def _searched(table, features):
     return B.score_horizons(
-        Q.boost_table(spark, sf_dir), horizons=H.HORIZONS, features=features, keep=["event_type", "ts"], impute=["load_rollstd_24"]
+        table, horizons=H.HORIZONS, features=features, keep=["event_type", "ts"], impute=["load_rollstd_24"]
     )
 
 
 def candidate_table(spark, sf_dir):
     """Validation metrics of every candidate and horizon, with the chosen one marked."""
-    return _searched(spark, sf_dir, MODEL_FEATURES)[1].drop("feature_set")
+    return _searched(Q.boost_table(spark, sf_dir), MODEL_FEATURES)[1].drop("feature_set")
 
 
 def boost_horizon_report(spark, sf_dir):
     """All horizons: candidates searched, intervals calibrated on validation, both splits reported side by side."""
-    predictions, _ = _searched(spark, sf_dir, MODEL_FEATURES)
+    predictions, _ = _searched(Q.boost_table(spark, sf_dir), MODEL_FEATURES)
     calibrated = conformal_calibrate(predictions, actual="actual_target_mw", keys=["horizon"]).withColumns(
         {"pred_q10": F.col("calibrated_lower"), "pred_q90": F.col("calibrated_upper")}
     )
@@ -53,13 +54,14 @@ def boost_horizon_report(spark, sf_dir):
 
 def boost_weather(spark, sf_dir):
     """Plain and weather-augmented models of every horizon, reported side by side."""
-    predictions, _ = _searched(spark, sf_dir, {"plain": MODEL_FEATURES, "weather": WEATHER_FEATURES})
+    predictions, _ = _searched(Q.boost_table(spark, sf_dir), {"plain": MODEL_FEATURES, "weather": WEATHER_FEATURES})
     return RP.horizon_report(predictions, actual="actual_target_mw", by=("horizon", "lead_steps", "feature_set", "model_name"))
 
 
 def boost_checks(spark, sf_dir):
     """Per horizon and feature set: candidates, the chosen one, predicted rows, and the loss against a constant forecast."""
-    predictions, table = _searched(spark, sf_dir, {"plain": MODEL_FEATURES, "weather": WEATHER_FEATURES})
+    featured = cut_lineage(Q.boost_table(spark, sf_dir))
+    predictions, table = _searched(featured, {"plain": MODEL_FEATURES, "weather": WEATHER_FEATURES})
     by = ["horizon", "feature_set"]
     complete = [F.col(f"pred_{q}").isNotNull() for q in ("q10", "q50", "q90")]
     rows = predictions.groupBy(*by).agg(
@@ -67,7 +69,7 @@ def boost_checks(spark, sf_dir):
         F.count_if(F.col("split") == "test").alias("test_rows"),
         F.count_if(complete[0] & complete[1] & complete[2]).alias("predicted_rows"),
     )
-    known = H.long_horizons(Q.boost_table(spark, sf_dir)).where("target IS NOT NULL")
+    known = H.long_horizons(featured).where("target IS NOT NULL")
     usual = known.where("split = 'train'").groupBy("horizon").agg(F.percentile_approx("target", 0.5, 100_000).alias("_usual"))
     constant = M.metric_table(
         known.where("split = 'test'").join(usual, "horizon").withColumns({c: F.col("_usual") for c in M.QUANTILES}), actual="target", by=["horizon"]

@@ -10,7 +10,7 @@ sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 import __spark_entry__ as entry  # noqa: E402
 
 from __spark_entry__ import ORACLE, QUERIES  # noqa: E402
-from catalog import spark_queries  # noqa: E402
+from catalog import fitted, spark_queries  # noqa: E402
 from tidegrid.session import in_utc  # noqa: E402
 from tests.compare import connect, differences  # noqa: E402
 
@@ -91,3 +91,22 @@ def test_no_single_partition_grows_with_the_rows(spark, name):
 
 def test_boost_table_doesn_t_read_the_events_again(spark):
     assert "FileScan" not in plan(spark_queries.boost_table(in_utc(spark), SMALL))
+
+
+def test_boost_checks_builds_its_table_once(spark, monkeypatch):
+    built = []
+
+    def table(spark, sf_dir):
+        built.append(sf_dir)
+        return spark_queries.S.add_split(spark_queries.supervised(spark, sf_dir), spark_queries.split_label())
+
+    def searched(df, **options):
+        rows = df.where("split <> 'train' AND load_target_t_plus_1 IS NOT NULL").selectExpr(
+            "'t_plus_1' AS horizon", "'plain' AS feature_set", "split", "load_target_t_plus_1 AS actual_target_mw",
+            *[f"CAST(1 AS DOUBLE) AS pred_{q}" for q in ("q10", "q50", "q90")],
+        )
+        return rows, df.selectExpr("'t_plus_1' AS horizon", "'plain' AS feature_set", "TRUE AS selected", "CAST(1 AS DOUBLE) AS pinball_q50")
+
+    monkeypatch.setattr(spark_queries, "boost_table", table)
+    monkeypatch.setattr(fitted.B, "score_horizons", searched)
+    assert fitted.boost_checks(in_utc(spark), SMALL).count() == 1 and len(built) == 1
