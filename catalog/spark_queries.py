@@ -25,7 +25,7 @@ from tidegrid.operators import ranking as R
 from tidegrid.operators import splits as S
 from tidegrid.operators.chunks import add_row_number
 from tidegrid.operators.conformal import conformal_adjustment, conformal_calibrate
-from tidegrid.operators.features import add_history_features
+from tidegrid.operators.features import add_history_features, resample_with_history
 from tidegrid.operators.fill import drop_incomplete, impute_train_median, interpolate
 from tidegrid.operators.order_stats import median
 from tidegrid.plans import modeling as ML
@@ -316,12 +316,9 @@ def supplier_history(spark, sf_dir):
     shipped = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", F.col("l_shipdate").alias("ts"), "l_quantity"
     )
-    daily = G.resample_mean(
-        shipped, ts="ts", value="l_quantity", series_keys=["l_suppkey"], step="1 day"
-    )
     return rounded(
-        add_history_features(
-            daily, value="l_quantity", ts="ts", series_keys=["l_suppkey"], step="1 day",
+        resample_with_history(
+            shipped, value="l_quantity", ts="ts", series_keys=["l_suppkey"], step="1 day",
             prefix="quantity", lags=(1, 7), rolling=(7,),
         )
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import chunks as C
 from tidegrid.operators import grid as G
+from tidegrid.operators.features import add_history_features, resample_with_history
 from tidegrid.operators.fill import impute_train_median, interpolate
 
 T0 = dt.datetime(2024, 1, 1)
@@ -214,3 +215,23 @@ def test_grid_rows_are_dealt_to_a_fixed_number_of_partitions(spark, fill):
     text = out._jdf.queryExecution().executedPlan().toString()
     above = text[: text.index("posexplode")]
     assert "REPARTITION_BY_NUM" in above
+
+
+@pytest.mark.parametrize("chunk_rows", [5, 8192])
+def test_resample_with_history_equals_the_two_steps(spark, monkeypatch, chunk_rows):
+    monkeypatch.setattr(C, "CHUNK_ROWS", chunk_rows)
+    rng = np.random.default_rng(5)
+    rows = [
+        (key, T0 + dt.timedelta(hours=float(h) / 2), None if rng.random() < 0.1 else float(rng.integers(0, 50)))
+        for key, share in (("dense", 0.9), ("sparse", 0.1))
+        for h in np.flatnonzero(rng.random(160) < share)
+    ]
+    df = spark.createDataFrame(rows, "series string, ts timestamp_ntz, y double")
+    options = {"value": "y", "ts": "ts", "series_keys": ["series"]}
+    history = {"prefix": "y", "lags": (1, 3, 7), "rolling": (2, 4)}
+    want = add_history_features(G.resample_mean(df, **options), **options, **history)
+    got = resample_with_history(df, **options, **history)
+    assert got.columns == want.columns
+    frames = [x.toPandas().sort_values(["series", "ts"]).reset_index(drop=True) for x in (got, want)]
+    pd.testing.assert_frame_equal(*frames)
+    assert frames[0].notna().sum().min() > 10

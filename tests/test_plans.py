@@ -110,3 +110,8 @@ def test_boost_checks_builds_its_table_once(spark, monkeypatch):
     monkeypatch.setattr(spark_queries, "boost_table", table)
     monkeypatch.setattr(fitted.B, "score_horizons", searched)
     assert fitted.boost_checks(in_utc(spark), SMALL).count() == 1 and len(built) == 1
+
+
+def test_supplier_history_does_not_shuffle_the_grid(spark):
+    text = plan(entry.queries()["supplier_history"](spark, SMALL))
+    assert text.index("posexplode") < text.index("Exchange") and text.count("Sort [") == 1

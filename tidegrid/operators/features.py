@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tidegrid.operators import chunks as C
+from tidegrid.operators import grid as G
 
 # Lags and trailing window of the modelling table, in steps.
 LAGS = (1, 24, 48, 168)
@@ -73,3 +74,44 @@ def add_history_features(
         exclude_current=exclude_current,
     )
     return C.drop_halo(chunked.withColumns(added))
+
+
+def resample_with_history(
+    df: DataFrame,
+    *,
+    value: str,
+    ts: str,
+    series_keys: Sequence[str] = (),
+    step: str = "1 hour",
+    prefix: str = "load",
+    lags: Sequence[int] = LAGS,
+    rolling: Sequence[int] = (ROLLING_STEPS,),
+) -> DataFrame:
+    """``resample_mean`` and ``add_history_features`` in one, for series with many empty slots and short lags.
+
+    Windows run over the slots with rows only: an empty slot has no trailing statistic, and its
+    lags are values of slots within the longest lag of the one before it, which come along as
+    an array. So the complete grid is neither shuffled nor sorted.
+    """
+    data_type, keys = C.time_type(df, ts), list(series_keys)
+    reach = max([0, *lags])
+    window = C.chunk_window(keys)
+    trailing = history_columns(value, window, prefix=prefix, lags=(), rolling=rolling)
+    earlier = F.array(*[C.at_step(value, -k, window) for k in range(1, reach + 1)]).cast("array<double>")
+    runs = G.resample_runs(
+        df, ts=ts, value=value, series_keys=keys, step=step, back=history_reach(lags, rolling)
+    )
+    own = F.col(C.POSITION) >= F.col(C.CHUNK) * F.lit(C.CHUNK_ROWS).cast("bigint")
+    runs = G.run_ends(runs, keys).withColumns(trailing | {"_earlier": earlier}).where(own)
+    n, observed = F.col("_n"), F.col("_n") == 0
+
+    def lag(k: int) -> Column:
+        return F.when(n == k, F.col(value)).when(n < k, F.get("_earlier", k - 1 - n))
+
+    return runs.select(*keys, value, *trailing, "_earlier", G.run_slots()).select(
+        *keys,
+        C.slot_start(F.col("_slot"), step, data_type).alias(ts),
+        F.when(observed, F.col(value)).alias(value),
+        *[lag(k).alias(f"{prefix}_lag_{k}") for k in lags],
+        *[F.when(observed, F.col(c)).alias(c) for c in trailing],
+    )

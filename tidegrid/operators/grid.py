@@ -104,7 +104,7 @@ def build_grid(
     )
 
 
-def resample_mean(
+def resample_runs(
     df: DataFrame,
     *,
     ts: str,
@@ -115,24 +115,13 @@ def resample_mean(
     end: Column | None = None,
     unique_times: bool = False,
     materialize: bool = False,
+    back: int = 0,
 ) -> DataFrame:
-    """Mean per left-closed, left-labelled slot, after averaging duplicates.
-
-    It is the mean of the per-time means. Every slot from the first to the last
-    of each series appears, an empty one with NULL. The first slot of every chunk
-    enters the slot aggregation as a NULL row, and each slot is then followed by the
-    empty ones up to the next in its chunk: only slots with rows and chunk starts are
-    shuffled, sorted or held in memory, however many empty slots there are.
+    """The slots of ``resample_mean`` before the empty ones are listed, dealt by series and chunk.
 
-    ``unique_times=True`` promises at most one row per series and time. The
-    duplicate average is then skipped, and raw rows combine to one per slot before
-    the only shuffle, at the price of a second pass over the times for the range of each
-    series. Otherwise the range is taken from the averaged rows, through the same exchange,
-    so the input is read once. A fixed start or end still looks at all times: series without
-    a row inside have a range too. ``materialize=True`` stores the averaged rows first, for
-    inputs that are costly to compute twice, such as parsed documents.
+    A row has its chunk and position, and ``_last``, the last position of its chunk, if it is the chunk's
+    first. With ``back``, slots that close to the end of a chunk are there for the next chunk too.
     """
-    data_type = C.time_type(df, ts)
     keys, values = list(series_keys), _as_list(value)
     kept = _keys_present(df, [*keys, ts]).select(*keys, ts, *values)
     if materialize:
@@ -152,19 +141,65 @@ def resample_mean(
         bounds = seen.where(reduce(and_, [F.col(f"_n{i}") >= 0 for i in range(len(values))]))
     else:
         bounds = _bounds(kept, ts, keys, step, start, end)
+    if back:
+        placed = C.add_chunks(per_time, F.col(C.POSITION), back=back).drop(C.HOME)
+    else:
+        placed = per_time.withColumn(C.CHUNK, C.floor_div(F.col(C.POSITION), C.CHUNK_ROWS))
     slots = (
-        per_time.withColumn(C.CHUNK, C.floor_div(F.col(C.POSITION), C.CHUNK_ROWS))
-        .unionByName(_chunk_edges(bounds), allowMissingColumns=True)
+        placed.unionByName(_chunk_edges(bounds), allowMissingColumns=True)
         .groupBy(*keys, C.CHUNK, C.POSITION)
         .agg(*[F.avg(v).alias(v) for v in values], F.max(_LAST).alias(_LAST))
     )
-    following = F.lead(C.POSITION).over(C.chunk_window(keys)) - 1
-    # The chunk's first slot has its end; it comes first in the window.
-    end = F.first(_LAST).over(C.chunk_window(keys))
-    spread = slots.repartition(shuffle_partitions(df.sparkSession), *keys, C.CHUNK)
-    runs = spread.withColumn(_LAST, F.coalesce(following, end))
-    slot = F.posexplode(F.sequence(F.col(C.POSITION), F.col(_LAST))).alias("_n", _SLOT)
-    return runs.select(*keys, *values, slot).select(
+    return slots.repartition(shuffle_partitions(df.sparkSession), *keys, C.CHUNK)
+
+
+def run_ends(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``_last`` as the position before the next row of the chunk; the chunk's last row reaches to its end."""
+    window = C.chunk_window(keys)
+    # The chunk's first slot has its end; it comes before all others of the chunk.
+    return runs.withColumn(_LAST, F.coalesce(F.lead(C.POSITION).over(window) - 1, F.max(_LAST).over(window)))
+
+
+def run_slots() -> Column:
+    """Every slot of a row that ``run_ends`` has marked, as ``_n`` (from 0, the row's own) and ``_slot``."""
+    return F.posexplode(F.sequence(F.col(C.POSITION), F.col(_LAST))).alias("_n", _SLOT)
+
+
+def resample_mean(
+    df: DataFrame,
+    *,
+    ts: str,
+    value: str | Sequence[str],
+    series_keys: Sequence[str] = (),
+    step: str = "1 hour",
+    start: Column | None = None,
+    end: Column | None = None,
+    unique_times: bool = False,
+    materialize: bool = False,
+) -> DataFrame:
+    """Mean per left-closed, left-labelled slot, after averaging duplicates.
+
+    It is the mean of the per-time means. Every slot from the first to the last
+    of each series appears, an empty one with NULL. The first slot of every chunk
+    enters the slot aggregation as a NULL row, and each slot is then followed by the
+    empty ones up to the next in its chunk: only slots with rows and chunk starts are
+    shuffled, sorted or held in memory, however many empty slots there are.
+
+    ``unique_times=True`` promises at most one row per series and time. The
+    duplicate average is then skipped, and raw rows combine to one per slot before
+    the only shuffle, at the price of a second pass over the times for the range of each
+    series. Otherwise the range is taken from the averaged rows, through the same exchange,
+    so the input is read once. A fixed start or end still looks at all times: series without
+    a row inside have a range too. ``materialize=True`` stores the averaged rows first, for
+    inputs that are costly to compute twice, such as parsed documents.
+    """
+    data_type = C.time_type(df, ts)
+    keys, values = list(series_keys), _as_list(value)
+    runs = resample_runs(
+        df, ts=ts, value=values, series_keys=keys, step=step, start=start, end=end,
+        unique_times=unique_times, materialize=materialize,
+    )
+    return run_ends(runs, keys).select(*keys, *values, run_slots()).select(
         *keys,
         C.slot_start(F.col(_SLOT), step, data_type).alias(ts),
         *[F.when(F.col("_n") == 0, F.col(v)).alias(v) for v in values],
