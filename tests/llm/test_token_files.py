@@ -63,3 +63,10 @@ def test_nulls_repeats_segments_and_empty_table(spark, docs, monkeypatch):
     got = sorted((tuple(r) for r in T.tokens_on_file(docs(rows, "shard"), PATH).collect()), key=lambda r: r[1])
     assert got == expected([(None, "x"), (1, None), (2, ""), (3, "a b"), (3, "a b")])
     assert T.tokens_on_file(docs([]), PATH).count() == 0
+
+
+def test_words_before_marks_are_kept_once():
+    encoder, plain = T.TextEncoder(PATH), Tokenizer.from_file(PATH)
+    for text in ("one word. one, word!? one", "word's word-word. é.. é", "word.\n word,\x1c(word)"):
+        assert list(struct.unpack(f"<{len(b := encoder.encode(text)) // 4}I", b)) == plain.encode(text, add_special_tokens=False).ids
+    assert {" word", "."} <= set(encoder._known) and not {" word.", " one,", " word!?"} & set(encoder._known)

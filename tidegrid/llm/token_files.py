@@ -137,9 +137,12 @@ class Segment:
 
 #: White space of the vocabulary's splitting; borders of these pieces are borders of its words.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_PIECES = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: Letters followed by marks: two words of the vocabulary's splitting, whatever stands around them.
-_LETTERS_MARKS = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*#$|\"()-]+)")
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?%&*#$|\"()-"
+#: Letters followed by marks up to the end of a piece are two words, whatever stands around them.
+_PIECES = re.compile(
+    f" ?[{_LETTERS}]++(?=[{_MARKS}]*+(?:[{_SPACE}]|\\Z))|(?<=[{_LETTERS}])[{_MARKS}]++(?=[{_SPACE}]|\\Z)"
+    f"| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+)
 _KEPT, _KEPT_CHARS = 600_000, 48
 
 
@@ -164,32 +167,20 @@ class TextEncoder:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learnt(self, pieces: set[str]) -> list[str]:
-        """Add the ids of new pieces, and of the two words of those that are letters followed by marks; what was added."""
-        known, words, paired = self._known, {}, []
-        for piece in pieces:
-            parts = _LETTERS_MARKS.fullmatch(piece)
-            if parts is None:
-                words[piece] = b""
-                continue
-            pair = parts.groups()
-            paired.append((piece, *pair))
-            for word in pair:
-                if word not in known:
-                    words[word] = b""
-        blank = [w for w in words if w.isspace() or w[-1] == " "]
-        solid = [w for w in words if not (w.isspace() or w[-1] == " ")] if blank else list(words)
+        """Add the ids of new pieces; what was added, in the order of the ids."""
+        solid = [piece for piece in pieces if not piece.isspace()]
         if solid:
             ids = self._whole("\n".join(solid))
-            ends = np.flatnonzero(ids == self._break).tolist()
-            raw, starts = ids.tobytes(), [0, *(e + 1 for e in ends)]
-            for word, start, end in zip(solid, starts, [*ends, len(ids)], strict=True):
-                words[word] = raw[4 * start : 4 * end]
-        for word in blank:
-            words[word] = self._whole(word).tobytes()
-        known.update(words)
-        for piece, letters, marks in paired:
-            known[piece] = known[letters] + known[marks]
-        return [*words, *(piece for piece, _, _ in paired)]
+            ends = (4 * np.flatnonzero(ids == self._break)).tolist()
+            raw = ids.tobytes()
+            ends.append(len(raw))
+            starts = [0, *(end + 4 for end in ends[:-1])]
+            self._known.update(zip(solid, [raw[start:end] for start, end in zip(starts, ends, strict=True)], strict=True))
+        if len(solid) == len(pieces):
+            return solid
+        blank = [piece for piece in pieces if piece.isspace()]
+        self._known.update((piece, self._whole(piece).tobytes()) for piece in blank)
+        return blank + solid
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -199,12 +190,13 @@ class TextEncoder:
         new = set(pieces).difference(known)
         if not new:
             return b"".join(map(known.__getitem__, pieces))
-        room = _KEPT - len(known)
+        room = max(0, _KEPT - len(known))
         added = self._learnt(new)
         joined = b"".join(map(known.__getitem__, pieces))
-        for k, piece in enumerate(added):
-            if k >= room or len(piece) > _KEPT_CHARS:
-                known.pop(piece, None)
+        for piece in added[room:]:
+            del known[piece]
+        for piece in [piece for piece in added[:room] if len(piece) > _KEPT_CHARS]:
+            del known[piece]
         return joined
 
 
